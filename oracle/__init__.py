@@ -4,8 +4,8 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from . import kpis
+    from . import compare_charts, kpis
     out: dict[str, str] = {}
-    for mod in (kpis,):
+    for mod in (kpis, compare_charts):
         out.update(mod.queries())
     return out

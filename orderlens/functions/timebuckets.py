@@ -45,7 +45,7 @@ def grain_from_data(df: DataFrame, col: str = "order_date",
 
     One global min/max aggregate; only its single row reaches the driver.
     """
-    row = df.agg(F.timestampdiff("SECOND", F.min(col), F.max(col)).alias("s")).first()
+    row = df.agg(F.expr(f"timestampdiff(SECOND, min({col}), max({col}))").alias("s")).first()
     if row is None or row["s"] is None:
         return "daily"
     return grain_for_days(int(row["s"]) // 86400, thresholds)

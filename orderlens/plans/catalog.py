@@ -73,3 +73,43 @@ register("kt1_total_orders_weekly_trend")(lambda s, d: kpis.kpi_trend(
 register("kt3_gross_revenue_daily_trend")(lambda s, d: kpis.kpi_trend(
     fetched(s, d, HistoryRequest("2001-01-01", "2001-01-31")), HistoryRequest("2001-01-01", "2001-01-31"),
     "gross_revenue"))
+
+
+# ---- P: segment and period comparisons ------------------------------------
+from ..operators import charts, compare  # noqa: E402
+
+P6_SKU_1, P6_SKU_2 = " YCE_17_5 ", "42_3"
+
+
+def cmp_request() -> HistoryRequest:
+    return HistoryRequest(CMP_START, CMP_END)
+
+
+register("p1_cod_vs_prepaid")(lambda s, d: compare.cod_vs_prepaid(fetched(s, d)))
+register("p2_b2b_vs_b2c")(lambda s, d: compare.b2b_vs_b2c(fetched(s, d)))
+register("p3_top_states_vs_rest")(lambda s, d: compare.top_states_vs_rest(history(s, d), cmp_request()))
+register("p4_top_skus_rank_growth")(lambda s, d: compare.top_skus_rank_growth(history(s, d), cmp_request()))
+register("p5_size_mix_change")(lambda s, d: compare.size_mix_change(history(s, d), cmp_request()))
+register("p6_sku_vs_sku_30d")(lambda s, d: compare.sku_vs_sku(
+    history(s, d), HistoryRequest(FULL_START, CARD_END), P6_SKU_1, P6_SKU_2, "30d"))
+register("p6_sku_vs_sku_all_time")(lambda s, d: compare.sku_vs_sku(
+    history(s, d), full_request(), P6_SKU_1, P6_SKU_2, "all-time"))
+
+# ---- G: chart data ---------------------------------------------------------
+for _key, _fn in [("g1_orders_line", charts.orders_line), ("g2_units_line", charts.units_line),
+                  ("g3_revenue_line", charts.revenue_line), ("g4_orders_aov_line", charts.orders_aov_line),
+                  ("g5_payment_mix_area", charts.payment_mix_area),
+                  ("g6_order_type_mix_area", charts.order_type_mix_area),
+                  ("g7_cancellation_return_rate_line", charts.cancellation_return_rate_line)]:
+    register(_key)(lambda s, d, _fn=_fn: _fn(fetched(s, d), full_request()))
+register("g1_orders_line_weekly")(lambda s, d: charts.orders_line(
+    fetched(s, d, full_request(granularity="weekly")), full_request(granularity="weekly")))
+register("g8_order_intensity_heatmap")(lambda s, d: charts.order_intensity_heatmap(fetched(s, d)))
+register("g9_top_skus_units")(lambda s, d: charts.top_skus_units(fetched(s, d)))
+register("g10_top_skus_revenue")(lambda s, d: charts.top_skus_revenue(fetched(s, d)))
+register("g11_sku_revenue_vs_cancellation")(lambda s, d: charts.sku_revenue_vs_cancellation(fetched(s, d)))
+register("g12_base_sku_size_heatmap")(lambda s, d: charts.base_sku_size_heatmap(fetched(s, d)))
+register("g13_top_base_sku_size_distribution")(lambda s, d: charts.top_base_sku_size_distribution(fetched(s, d)))
+register("g14_top_sku_weekly_velocity")(lambda s, d: charts.top_sku_weekly_velocity(fetched(s, d)))
+register("g15_sku_revenue_change_waterfall")(lambda s, d: charts.sku_revenue_change_waterfall(
+    history(s, d), cmp_request()))
