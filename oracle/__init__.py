@@ -4,8 +4,8 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from . import compare_charts, kpis
+    from . import compare_charts, kpis, metrics
     out: dict[str, str] = {}
-    for mod in (kpis, compare_charts):
+    for mod in (kpis, compare_charts, metrics):
         out.update(mod.queries())
     return out

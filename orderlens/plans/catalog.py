@@ -113,3 +113,26 @@ register("g13_top_base_sku_size_distribution")(lambda s, d: charts.top_base_sku_
 register("g14_top_sku_weekly_velocity")(lambda s, d: charts.top_sku_weekly_velocity(fetched(s, d)))
 register("g15_sku_revenue_change_waterfall")(lambda s, d: charts.sku_revenue_change_waterfall(
     history(s, d), cmp_request()))
+
+# ---- M: metric endpoints ---------------------------------------------------
+from ..operators import metrics  # noqa: E402
+
+for _key, _fn in [
+        ("m1_sku_diversity_index", metrics.sku_diversity_index), ("m2_top_skus_by_revenue", metrics.top_skus_by_revenue),
+        ("m3_top_skus_by_units", metrics.top_skus_by_units), ("m4_average_units_per_order", metrics.average_units_per_order),
+        ("m5_size_mix_distribution", metrics.size_mix_distribution),
+        ("m6_sku_performance_matrix", metrics.sku_performance_matrix), ("m7_fulfillment_rate", metrics.fulfillment_rate),
+        ("m8_order_value_distribution", metrics.order_value_distribution), ("m9_order_velocity", metrics.order_velocity),
+        ("m10_units_velocity", metrics.units_velocity), ("m11_top_states_by_revenue", metrics.top_states_by_revenue),
+        ("m12_top_states_by_orders", metrics.top_states_by_orders),
+        ("m13_geographic_revenue_concentration", metrics.geographic_revenue_concentration),
+        ("m14_state_cancellation_rates", metrics.state_cancellation_rates),
+        ("m15_marketplace_performance", metrics.marketplace_performance),
+        ("m16_courier_performance", metrics.courier_performance), ("m17_warehouse_efficiency", metrics.warehouse_efficiency),
+        ("m18_payment_mode_breakdown", metrics.payment_mode_breakdown), ("m19_order_type_breakdown", metrics.order_type_breakdown),
+        ("m20_overall_fulfillment_rate", metrics.fulfillment_rate), ("m21_overall_issue_rate", metrics.overall_issue_rate),
+        ("m22_payment_risk_analysis", metrics.payment_risk_analysis),
+        ("m23_marketplace_risk_score", metrics.marketplace_risk_score),
+        ("m24_revenue_per_channel", metrics.revenue_per_channel), ("m25_seasonal_trends", metrics.seasonal_trends),
+        ("m26_product_payment_correlation", metrics.product_payment_correlation)]:
+    register(_key)(lambda s, d, _fn=_fn: _fn(fetched(s, d)))

@@ -37,6 +37,8 @@ def history_lines(lines: DataFrame) -> DataFrame:
     if "invoice_id" not in lines.columns and "line_no" in lines.columns:
         lines = lines.withColumn("invoice_id", F.concat_ws("-", F.col("order_id").cast("string"),
                                                            F.col("line_no").cast("string")))
+    if "suborder_model_no" not in lines.columns and "model_no" in lines.columns:
+        lines = lines.withColumn("suborder_model_no", F.col("model_no"))
     if "selling_price" not in lines.columns and "total_amount" in lines.columns:
         lines = lines.withColumn("selling_price", F.col("total_amount"))
     return conform(lines, {**HISTORY_TYPES, **HISTORY_EXTRA_TYPES})
