@@ -4,8 +4,8 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from . import compare_charts, kpis, metrics
+    from . import compare_charts, kpis, metrics, tools_profit
     out: dict[str, str] = {}
-    for mod in (kpis, compare_charts, metrics):
+    for mod in (kpis, compare_charts, metrics, tools_profit):
         out.update(mod.queries())
     return out

@@ -136,3 +136,42 @@ for _key, _fn in [
         ("m24_revenue_per_channel", metrics.revenue_per_channel), ("m25_seasonal_trends", metrics.seasonal_trends),
         ("m26_product_payment_correlation", metrics.product_payment_correlation)]:
     register(_key)(lambda s, d, _fn=_fn: _fn(fetched(s, d)))
+
+# ---- T: callable metric functions (raw order lines) ------------------------
+from ..operators import paycycle, profit, stats  # noqa: E402
+from ..sources.tables import payment_cycle_sheet, vendor_cost_sheet  # noqa: E402
+
+CORR_FIELDS = ["total_amount", "item_quantity", "mrp", "cost"]
+PROFILE_COLUMNS = ["order_status", "payment_mode", "order_type", "state", "marketplace", "courier",
+                   "import_warehouse_name", "item_quantity", "sku"]
+CUSTOM_EXPR = "ROUND(CAST(SUM(total_amount) AS DOUBLE) / COUNT(DISTINCT order_id), 2)"
+
+register("t1_aov")(lambda s, d: stats.aov(history(s, d)))
+register("t2_total_revenue")(lambda s, d: stats.total_revenue(history(s, d)))
+register("t3_order_count")(lambda s, d: stats.order_count(history(s, d)))
+register("t4_distributions")(lambda s, d: stats.distributions(history(s, d)))
+register("t5_top_localities")(lambda s, d: stats.top_values(history(s, d), "pin_code", 10))
+register("t6_average_charges")(lambda s, d: stats.averages(history(s, d), ["mrp", "cost"]))
+register("t7_conversion_rate")(lambda s, d: stats.conversion_rate(history(s, d), "Shipped"))
+register("t8_cod_vs_prepaid_exact")(lambda s, d: stats.cod_vs_prepaid_exact(history(s, d)))
+register("t9_common_metrics")(lambda s, d: stats.common_metrics(history(s, d)))
+register("t10_geographic_insights")(lambda s, d: stats.geographic_insights(history(s, d), "pin_code"))
+register("t11_cancelled_count")(lambda s, d: stats.cancelled_count(history(s, d)))
+register("t12_statistical_summary")(lambda s, d: stats.statistical_summary(history(s, d), "total_amount"))
+register("t13_percentile_90")(lambda s, d: stats.percentile_of(history(s, d), "total_amount", 90))
+register("t14_top_percentile_95")(lambda s, d: stats.tail_percentile(history(s, d), "total_amount", 95, True))
+register("t15_bottom_percentile_5")(lambda s, d: stats.tail_percentile(history(s, d), "total_amount", 5, False))
+register("t16_correlation_matrix")(lambda s, d: stats.correlation_matrix(history(s, d), CORR_FIELDS))
+register("t18_column_profile")(lambda s, d: stats.column_profile(history(s, d).select(*PROFILE_COLUMNS)))
+register("t19_custom_metric")(lambda s, d: stats.custom_metric(history(s, d), CUSTOM_EXPR, "revenue_per_order"))
+
+# ---- V: profit (vendor cost sheet) -----------------------------------------
+register("v1_v5_profit_totals")(lambda s, d: profit.profit_totals(vendor_cost_sheet(s, d)))
+register("v6_profit_items")(lambda s, d: profit.profit_items(vendor_cost_sheet(s, d)))
+register("v6_profit_by_group")(lambda s, d: profit.profit_summary(profit.profit_items(vendor_cost_sheet(s, d)), "brand"))
+
+# ---- D: payment cycle (distributor sheet) ------------------------------------
+register("d_payment_cycle_metrics")(lambda s, d: paycycle.payment_cycle_metrics(payment_cycle_sheet(s, d)))
+register("d2_weighted_avg_margin_by_cd")(lambda s, d: paycycle.payment_cycle_metrics(
+    payment_cycle_sheet(s, d), volume_column="cd").select("weighted_avg_margin"))
+register("d5_high_risk_distributors")(lambda s, d: paycycle.high_risk_distributors(payment_cycle_sheet(s, d)))

@@ -78,6 +78,7 @@ def materialize_history(spark: SparkSession, sf_dir: str, overwrite: bool = Fals
     path = history_path(spark, sf_dir)
     if not overwrite and table_written(spark, path):
         return path
+    forget_history(spark)
     lines = history_lines(order_lines(spark, sf_dir))
     (lines.withColumn("order_month", F.date_format("order_date", "yyyy-MM"))
      .repartitionByRange("order_date", "order_id")
@@ -85,10 +86,29 @@ def materialize_history(spark: SparkSession, sf_dir: str, overwrite: bool = Fals
     return path
 
 
+# One lazily-evaluated handle per (session, source): reusing the DataFrame
+# reuses its file index (listing, partition discovery, footer schema) the way
+# a catalog table would, instead of re-listing the table for every query.
+_HANDLES: dict[tuple, DataFrame] = {}
+
+
 def load_history(spark: SparkSession, sf_dir: str, use_materialized: bool = True) -> DataFrame:
     """The history table: the materialized copy if present, else the derived view."""
+    key = (id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir), use_materialized)
+    if key in _HANDLES:
+        return _HANDLES[key]
+    df = None
     if use_materialized:
         path = history_path(spark, sf_dir)
         if table_written(spark, path):
-            return spark.read.parquet(path).drop("order_month")
-    return history_lines(order_lines(spark, sf_dir))
+            df = spark.read.parquet(path).drop("order_month")
+    if df is None:
+        df = history_lines(order_lines(spark, sf_dir))
+    _HANDLES[key] = df
+    return df
+
+
+def forget_history(spark: SparkSession | None = None) -> None:
+    """Drop cached handles (after the table was rewritten)."""
+    for k in [k for k in _HANDLES if spark is None or k[0] == id(spark)]:
+        del _HANDLES[k]
