@@ -175,3 +175,32 @@ register("d_payment_cycle_metrics")(lambda s, d: paycycle.payment_cycle_metrics(
 register("d2_weighted_avg_margin_by_cd")(lambda s, d: paycycle.payment_cycle_metrics(
     payment_cycle_sheet(s, d), volume_column="cd").select("weighted_avg_margin"))
 register("d5_high_risk_distributors")(lambda s, d: paycycle.high_risk_distributors(payment_cycle_sheet(s, d)))
+
+# ---- N: posted-orders analytics over nested documents ----------------------
+from ..operators import posted  # noqa: E402
+from ..sources.nested import posted_orders  # noqa: E402
+
+N13_STATE = "nation_3"   # matched case-insensitively
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posted_orders(spark, sf_dir)
+
+
+register("c1_flatten_orders")(lambda s, d: posted.flatten_orders(docs(s, d)).select(
+    "order_id", "order_status", "payment_mode", "suborder_sku", "suborder_item_quantity", "suborder_cancelled_quantity",
+    "suborder_returned_quantity", "suborder_size"))
+register("n1_volume")(lambda s, d: posted.volume(docs(s, d)))
+register("n1_n7_by_state")(lambda s, d: posted.by_state(docs(s, d)))
+register("n2_revenue")(lambda s, d: posted.revenue(docs(s, d)))
+register("n3_payment")(lambda s, d: posted.payment(docs(s, d)))
+register("n3_payment_breakdown")(lambda s, d: posted.payment_breakdown(docs(s, d)))
+register("n4_cancellation")(lambda s, d: posted.cancellation(docs(s, d)))
+register("n5_day_frequency")(lambda s, d: posted.day_frequency(docs(s, d)))
+register("n6_processing_times")(lambda s, d: posted.processing_times(docs(s, d)))
+register("n8_top_products")(lambda s, d: posted.top_products(docs(s, d)))
+register("n9_volume_chart")(lambda s, d: posted.volume_chart(docs(s, d)))
+register("n10_revenue_chart")(lambda s, d: posted.revenue_chart(docs(s, d)))
+register("n11_payment_chart")(lambda s, d: posted.payment_chart(docs(s, d)))
+register("n12_cancellation_chart")(lambda s, d: posted.cancellation_chart(docs(s, d)))
+register("n13_pincodes_in_state")(lambda s, d: posted.pincodes_in_state(docs(s, d), N13_STATE))
