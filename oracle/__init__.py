@@ -4,8 +4,8 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from . import compare_charts, kpis, metrics, posted, tools_profit
+    from . import bundle, compare_charts, kpis, metrics, posted, tools_profit
     out: dict[str, str] = {}
-    for mod in (kpis, compare_charts, metrics, tools_profit, posted):
+    for mod in (kpis, compare_charts, metrics, tools_profit, posted, bundle):
         out.update(mod.queries())
     return out

@@ -70,6 +70,7 @@ def history(start: str = "1995-01-01 00:00:00", end: str = "2001-12-31 23:59:59"
     {STATUS_CASE} AS order_status,
     COALESCE(NULLIF(TRIM(state),''),'UNKNOWN') AS state,
     order_type, marketplace, courier, import_warehouse_name, sku, model_no, model_no AS suborder_model_no,
+    NULLIF(regexp_extract(sku, '_([^_]*)$', 1), '') AS size,
     pin_code, raw_sku,
     product_name, brand, mrp, cost,
     COALESCE(regexp_replace(NULLIF(TRIM(sku),''),'^YCE_',''),'UNKNOWN') AS canonical_sku_normalized

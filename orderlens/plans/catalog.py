@@ -204,3 +204,15 @@ register("n10_revenue_chart")(lambda s, d: posted.revenue_chart(docs(s, d)))
 register("n11_payment_chart")(lambda s, d: posted.payment_chart(docs(s, d)))
 register("n12_cancellation_chart")(lambda s, d: posted.cancellation_chart(docs(s, d)))
 register("n13_pincodes_in_state")(lambda s, d: posted.pincodes_in_state(docs(s, d), N13_STATE))
+
+# ---- B: batch bundle -------------------------------------------------------
+from ..operators import bundle  # noqa: E402
+
+register("b1_batch_all_metrics")(lambda s, d: bundle.batch_all_metrics(fetched(s, d, extra_cols=("size",))))
+register("b2_primary_kpis")(lambda s, d: bundle.primary_kpis(fetched(s, d)))
+register("b3_b4_product_metrics")(lambda s, d: bundle.product_metrics(fetched(s, d)))
+register("b5_b6_performance_metrics")(lambda s, d: bundle.performance_metrics(fetched(s, d)))
+register("b7_b8_geographic_metrics")(lambda s, d: bundle.geographic_metrics(fetched(s, d)))
+register("b9_b10_channel_metrics")(lambda s, d: bundle.channel_metrics(fetched(s, d)))
+register("b11_b12_quality_metrics")(lambda s, d: bundle.quality_metrics(fetched(s, d)))
+register("b13_advanced_metrics")(lambda s, d: bundle.advanced_metrics(fetched(s, d)))
