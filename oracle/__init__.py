@@ -4,8 +4,9 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from . import bundle, compare_charts, kpis, metrics, posted, tools_profit
+    from . import bundle, compare_charts, kpis, metrics, posted, profiles, tools_profit
     out: dict[str, str] = {}
-    for mod in (kpis, compare_charts, metrics, tools_profit, posted, bundle):
+    for mod in (kpis, compare_charts, metrics, tools_profit, posted, bundle, profiles):
         out.update(mod.queries())
-    return out
+    from .base import spark_rounding
+    return {k: spark_rounding(v) for k, v in out.items()}

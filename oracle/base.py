@@ -93,8 +93,56 @@ def money(expr: str) -> str:
     return f"CAST(ROUND({expr}, 2) AS DOUBLE)"
 
 
+def dround(expr: str, scale: int = 2) -> str:
+    return f"ROUND({expr}, {scale})"
+
+
+def _split_args(body: str) -> tuple[str, str] | None:
+    depth, quote, last = 0, False, -1
+    for i, ch in enumerate(body):
+        if ch == "'":
+            quote = not quote
+        elif not quote:
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 0:
+                last = i
+    return None if last < 0 else (body[:last], body[last + 1:])
+
+
+def spark_rounding(sql: str) -> str:
+    """Rewrite every ``ROUND(x, s)`` to round the way Spark rounds a double: half-up on the
+    value's shortest decimal text (which DuckDB's VARCHAR cast also produces). Exact
+    decimals are unchanged by the detour; the result is DOUBLE like Spark's."""
+    out, i = [], 0
+    while True:
+        j = sql.find("ROUND(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        k, depth, quote = j + len("ROUND("), 1, False
+        while depth:
+            ch = sql[k]
+            if ch == "'":
+                quote = not quote
+            elif not quote:
+                depth += 1 if ch == "(" else -1 if ch == ")" else 0
+            k += 1
+        body = sql[j + len("ROUND("):k - 1]
+        parts = _split_args(body)
+        if parts is None:
+            out.append("ROUND(" + spark_rounding(body) + ")")
+        else:
+            expr, scale = spark_rounding(parts[0]), parts[1].strip()
+            out.append(f"CAST(ROUND(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,18)), {scale}) AS DOUBLE)")
+        i = k
+
+
 def ratio(n: str, d: str, scale: int = 2) -> str:
-    return f"ROUND(COALESCE(CAST({n} AS DOUBLE) / NULLIF(CAST({d} AS DOUBLE), 0), 0.0), {scale})"
+    return dround(f"COALESCE(CAST({n} AS DOUBLE) / NULLIF(CAST({d} AS DOUBLE), 0), 0.0)", scale)
 
 
 def pct(n: str, d: str) -> str:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import kpis
 from ..sources.history import load_history
@@ -216,3 +217,54 @@ register("b7_b8_geographic_metrics")(lambda s, d: bundle.geographic_metrics(fetc
 register("b9_b10_channel_metrics")(lambda s, d: bundle.channel_metrics(fetched(s, d)))
 register("b11_b12_quality_metrics")(lambda s, d: bundle.quality_metrics(fetched(s, d)))
 register("b13_advanced_metrics")(lambda s, d: bundle.advanced_metrics(fetched(s, d)))
+
+# ---- U: per-SKU profiles and the incremental job ---------------------------
+from ..operators import sku_profiles as U  # noqa: E402
+from .profile_job import run_profile_job  # noqa: E402
+
+U_SPLIT = "1999-01-01"          # second incremental run re-reads from one month before this day
+U_RERUN_FROM = "1998-12-01"
+
+
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.prepare(history(spark, sf_dir))
+
+
+register("u1_sku_profile_cumulative")(lambda s, d: U.cumulative(prepared(s, d)))
+register("u2_status_breakdown")(lambda s, d: U.status_breakdown(prepared(s, d)))
+register("u3_payment_split")(lambda s, d: U.payment_split(prepared(s, d)))
+register("u4_by_marketplace")(lambda s, d: U.by_marketplace(prepared(s, d)))
+register("u5_price_history")(lambda s, d: U.price_history(prepared(s, d)))
+register("u6_by_state")(lambda s, d: U.by_state(prepared(s, d)))
+register("u7_by_size")(lambda s, d: U.by_size(prepared(s, d)))
+register("u8_fulfilment_distribution")(lambda s, d: U.fulfilment_distribution(prepared(s, d)))
+register("u9_daily_series")(lambda s, d: U.daily_series(prepared(s, d)).withColumn("day", F.date_format("day", "yyyy-MM-dd")))
+register("u10_rolling")(lambda s, d: U.rolling(U.daily_series(prepared(s, d))))
+
+
+@register("u11_merge_incremental")
+def _u11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily rows of an earlier batch merged with a later, overlapping batch (new wins) = one-shot daily."""
+    h = history(spark, sf_dir)
+    first = U.daily_series(U.prepare(h.where(F.col("order_date") < F.lit(U_SPLIT).cast("timestamp_ntz"))))
+    second = U.daily_series(U.prepare(h.where(F.col("order_date") >= F.lit(U_RERUN_FROM).cast("timestamp_ntz"))))
+    return U.merge_latest(first, second, [U.KEY, "day"]).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@register("u12_incremental_job")
+def _u12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of the incremental job (data as of the split day, then all data re-read from one
+    month earlier) in a fresh folder under the checkpoint dir; returns the committed daily table."""
+    import uuid as _uuid
+    from ..session import scratch_path
+    from ..sources import state as _state
+    root = scratch_path(spark, "orderlens-profiles", _uuid.uuid4().hex)
+    h = history(spark, sf_dir)
+    run_profile_job(spark, h.where(F.col("order_date") < F.lit(U_SPLIT).cast("timestamp_ntz")), root, "1999-01-01")
+    run_profile_job(spark, h, root, "2002-01-01", since=U_RERUN_FROM)
+    daily = _state.read_table(spark, root, "daily")
+    return daily.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+register("u13_profile_export")(lambda s, d: U.profile_export(
+    U.daily_series(prepared(s, d)), U.cumulative(prepared(s, d))))

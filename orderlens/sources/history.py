@@ -42,8 +42,9 @@ def history_lines(lines: DataFrame) -> DataFrame:
         lines = lines.withColumn("size", F.nullif(F.regexp_extract("sku", "_([^_]*)$", 1), F.lit("")))
     if "suborder_model_no" not in lines.columns and "model_no" in lines.columns:
         lines = lines.withColumn("suborder_model_no", F.col("model_no"))
-    if "selling_price" not in lines.columns and "total_amount" in lines.columns:
-        lines = lines.withColumn("selling_price", F.col("total_amount"))
+    if "selling_price" not in lines.columns and "mrp" in lines.columns:
+        # unit selling price of the suborder (the fixture's list price)
+        lines = lines.withColumn("selling_price", F.col("mrp"))
     return conform(lines, {**HISTORY_TYPES, **HISTORY_EXTRA_TYPES})
 
 
