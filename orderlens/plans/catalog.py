@@ -268,3 +268,60 @@ def _u12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("u13_profile_export")(lambda s, d: U.profile_export(
     U.daily_series(prepared(s, d)), U.cumulative(prepared(s, d))))
+
+# ---- S / C4: sources, sinks, ingest ----------------------------------------
+from ..sources import ingest as I  # noqa: E402
+from ..sources import views as SV  # noqa: E402
+from ..sources.nested import read_daily_orders, write_daily_json  # noqa: E402
+from .presets import preset_kpis  # noqa: E402
+
+C4_COLUMNS = ["invoice_id", "order_id", "sku", "suborder_marketplace_sku", "size", "item_quantity", "suborder_mrp",
+              "canonical_sku", "payment_mode", "state"]
+S6_PARTY = "Supplier#000000007"
+
+
+def _scratch(spark: SparkSession, kind: str) -> str:
+    import uuid as _uuid
+    from ..session import scratch_path
+    return scratch_path(spark, f"orderlens-{kind}", _uuid.uuid4().hex)
+
+
+register("c4_ingest_projection")(lambda s, d: I.project_orders(docs(s, d), "orders", "all").select(*C4_COLUMNS))
+
+
+@register("s1_s10_daily_json_roundtrip")
+def _s1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Land every order document as daily JSON (S10), read the whole range back (S1), count per day."""
+    path = _scratch(spark, "landing")
+    write_daily_json(docs(spark, sf_dir), path)
+    back = read_daily_orders(spark, path, FULL_START, FULL_END)
+    return back.groupBy("day").agg(F.count(F.lit(1)).alias("orders"))
+
+
+@register("s11_upsert_history")
+def _s11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two overlapping extraction runs into one table: each invoice once, newest version kept."""
+    root, landing = _scratch(spark, "history-table"), _scratch(spark, "landing")
+    d = docs(spark, sf_dir)
+    I.run_extraction(spark, d, landing + "/a", root, "1995-01-01", "1998-12-31").collect()
+    I.run_extraction(spark, d, landing + "/b", root, "1998-12-01", "2001-12-31").collect()
+    from ..sources import state as _state
+    return _state.read_table(spark, root, "history").select(*C4_COLUMNS)
+
+
+register("s12_extraction_run")(lambda s, d: I.run_extraction(
+    s, docs(s, d), _scratch(s, "landing"), _scratch(s, "history-table"), FULL_START, FULL_END))
+register("s5_vendor_cost_sheet")(lambda s, d: SV.vendor_costs(vendor_cost_sheet(s, d)).select(
+    "style_name", "collection_name", "brand", F.col("mrp").cast("double").alias("mrp"),
+    F.col("final_price").cast("double").alias("final_price")))
+register("s6_payment_cycle_for_party")(lambda s, d: SV.payment_cycle_for(payment_cycle_sheet(s, d), S6_PARTY))
+register("s7_filter_options")(lambda s, d: SV.filter_options(history(s, d)))
+register("s9_preview")(lambda s, d: SV.preview(fetched(s, d)).select(
+    "order_id", "sku", "order_status", "payment_mode", "state", F.col("total_amount").cast("double").alias("total_amount"),
+    "item_quantity", "total_rows_fetched"))
+
+
+@register("s16_kpi_presets")
+def _s16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from datetime import datetime as _dt
+    return preset_kpis(history(spark, sf_dir), _dt.fromisoformat(f"{CARD_END} 12:00:00"), f"{FULL_START} 00:00:00")

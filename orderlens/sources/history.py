@@ -37,6 +37,8 @@ def history_lines(lines: DataFrame) -> DataFrame:
     if "invoice_id" not in lines.columns and "line_no" in lines.columns:
         lines = lines.withColumn("invoice_id", F.concat_ws("-", F.col("order_id").cast("string"),
                                                            F.col("line_no").cast("string")))
+    if "billing_state" not in lines.columns and "state" in lines.columns:
+        lines = lines.withColumn("billing_state", F.col("state"))   # Q27: projected, not dropped
     if "size" not in lines.columns and "sku" in lines.columns:
         # the size the ingest projection carries: the SKU's last "_" segment
         lines = lines.withColumn("size", F.nullif(F.regexp_extract("sku", "_([^_]*)$", 1), F.lit("")))
