@@ -325,3 +325,26 @@ register("s9_preview")(lambda s, d: SV.preview(fetched(s, d)).select(
 def _s16(spark: SparkSession, sf_dir: str) -> DataFrame:
     from datetime import datetime as _dt
     return preset_kpis(history(spark, sf_dir), _dt.fromisoformat(f"{CARD_END} 12:00:00"), f"{FULL_START} 00:00:00")
+
+# ---- F: filters and predicates -----------------------------------------------
+from ..functions import filters as FL  # noqa: E402
+
+F2_FILTERS = {"marketplace": [" building ", "MACHINERY", ""], "courier": "nation_7", "ignored_key": "x"}
+F3_DAYS = ["1996-03-01", "1997-07-04", "2000-02-29", "2001-01-01"]
+F4_SPECS = [{"field": "payment_mode", "operator": "contains", "value": "PAID"},
+            {"field": "item_quantity", "operator": "gte", "value": 10},
+            {"field": "order_status", "operator": "ne", "value": "RTO"},
+            {"field": "state", "operator": "in", "value": ["NATION_1", "NATION_2", "NATION_3"]}]
+F5_SPECS = [{"field": "size", "operator": "eq", "value": "7"},
+            {"field": "mrp", "operator": "gt", "value": 1500},
+            {"field": "sku", "operator": "contains", "value": "yce_"}]
+
+register("f2_dimension_filter_kpis")(lambda s, d: kpis.kpi_bundle(fetched(s, d, full_request(**F2_FILTERS))))
+register("f3_day_filter_orders")(lambda s, d: fetched(s, d, full_request(order_date=F3_DAYS)).groupBy(
+    F.date_format("order_date", "yyyy-MM-dd").alias("day")).agg(F.countDistinct("order_id").alias("orders")))
+register("f4_predicate_filter")(lambda s, d: FL.apply_filters(history(s, d), F4_SPECS).groupBy("state", "payment_mode")
+                                .agg(F.count(F.lit(1)).alias("rows")))
+register("f5_nested_predicate_filter")(lambda s, d: FL.apply_filters(
+    docs(s, d), F5_SPECS, nested_fields=["size", "mrp", "sku"]).agg(F.count(F.lit(1)).alias("orders")))
+register("f8_state_pincodes")(lambda s, d: docs(s, d).where(FL.state_equals("NATION_11")).groupBy("pin_code")
+                              .agg(F.count(F.lit(1)).alias("orders")))
