@@ -21,12 +21,13 @@ from .tables import order_lines
 
 
 def conform(df: DataFrame, types: dict) -> DataFrame:
-    """Cast present columns to their declared type; add missing ones as typed nulls."""
+    """Cast present columns to their declared type (malformed values become null);
+    add missing ones as typed nulls."""
     present = set(df.columns)
     cols = []
     for name, dtype in types.items():
         if name in present:
-            cols.append(F.col(name).cast(dtype).alias(name))
+            cols.append(F.col(name).try_cast(dtype).alias(name))   # malformed → null (ANSI-safe)
         else:
             cols.append(F.lit(None).cast(dtype).alias(name))
     return df.select(*cols)
