@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import label_or_unknown, money, ratio, safe_pct
+from ..functions.quantiles import exact_quantile
 from ..functions.timebuckets import growth_series
 from . import kpis, metrics
 from .core import status_order_counts
@@ -81,7 +82,7 @@ def performance_metrics(df: DataFrame) -> DataFrame:
     v = F.col("total_amount").cast("double")
     dist = df.agg(money(F.min("total_amount")).alias("min"), money(F.max("total_amount")).alias("max"),
                   ratio(F.sum("total_amount"), F.count("total_amount")).alias("mean"),
-                  F.round(F.percentile(v, F.lit(0.5)), 2).alias("median"), F.round(F.stddev_samp(v), 2).alias("std"))
+                  F.round(exact_quantile(df, v, 0.5), 2).alias("median"), F.round(F.stddev_samp(v), 2).alias("std"))
     parts = [_long(_row_rate(df, BUNDLE_FULFILLED), "performance", "fulfillment_rate", None, "value"),
              _row_metrics(df, "performance", dist.select(*[F.col(c).alias(f"order_value_{c}") for c in dist.columns])),
              _long(metrics.order_velocity(df), "performance", "order_velocity_daily", None, "daily"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import label_or_unknown, money, normalize_order_type, normalize_payment_member, ratio, safe_pct
+from ..functions.quantiles import exact_quantiles
 from .core import status_order_counts, status_rate
 from .kpis import CANCELLED, RTO
 
@@ -109,9 +110,9 @@ def fulfillment_rate(df: DataFrame) -> DataFrame:
 def order_value_distribution(df: DataFrame) -> DataFrame:
     """M8: exact linear percentiles, min, max, mean and sample std of line amounts."""
     v = F.col("total_amount").cast("double")
+    q = exact_quantiles(df, v, [0.25, 0.5, 0.75])
     return df.agg(
-        F.round(F.percentile(v, F.lit(0.25)), 2).alias("p25"), F.round(F.percentile(v, F.lit(0.5)), 2).alias("median"),
-        F.round(F.percentile(v, F.lit(0.75)), 2).alias("p75"),
+        F.round(q[0.25], 2).alias("p25"), F.round(q[0.5], 2).alias("median"), F.round(q[0.75], 2).alias("p75"),
         money(F.min("total_amount")).alias("min"), money(F.max("total_amount")).alias("max"),
         ratio(F.sum("total_amount"), F.count("total_amount")).alias("mean"),
         F.round(F.stddev_samp(v), 2).alias("std_dev"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import money, ratio, safe_pct
+from ..functions.quantiles import exact_quantile, exact_quantiles
 
 DISTRIBUTION_COLUMNS = ["order_status", "payment_mode", "marketplace", "state", "courier"]
 # Fixed limits of the custom-metric input (name pattern and text length).
@@ -83,24 +84,25 @@ def cod_vs_prepaid_exact(df: DataFrame) -> DataFrame:
 def statistical_summary(df: DataFrame, field: str) -> DataFrame:
     """Count, mean, median, sample std, min, max, q25, q75 of a numeric field."""
     v = _num(field)
+    q = exact_quantiles(df, v, [0.25, 0.5, 0.75])
     return df.agg(
         F.count(v).alias("count"), F.round(F.coalesce(F.avg(v), F.lit(0.0)), 2).alias("mean"),
-        F.round(F.coalesce(F.percentile(v, F.lit(0.5)), F.lit(0.0)), 2).alias("median"),
+        F.round(F.coalesce(q[0.5], F.lit(0.0)), 2).alias("median"),
         F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 2).alias("std"),
         F.round(F.coalesce(F.min(v), F.lit(0.0)), 2).alias("min"), F.round(F.coalesce(F.max(v), F.lit(0.0)), 2).alias("max"),
-        F.round(F.coalesce(F.percentile(v, F.lit(0.25)), F.lit(0.0)), 2).alias("q25"),
-        F.round(F.coalesce(F.percentile(v, F.lit(0.75)), F.lit(0.0)), 2).alias("q75"))
+        F.round(F.coalesce(q[0.25], F.lit(0.0)), 2).alias("q25"),
+        F.round(F.coalesce(q[0.75], F.lit(0.0)), 2).alias("q75"))
 
 
 def percentile_of(df: DataFrame, field: str, p: float) -> DataFrame:
     """The p-th percentile (0–100), 2 places."""
-    return df.agg(F.round(F.coalesce(F.percentile(_num(field), F.lit(p / 100.0)), F.lit(0.0)), 2).alias("value"))
+    return df.agg(F.round(F.coalesce(exact_quantile(df, _num(field), p / 100.0), F.lit(0.0)), 2).alias("value"))
 
 
 def tail_percentile(df: DataFrame, field: str, p: float, top: bool) -> DataFrame:
     """T14 (top, p=95) / T15 (bottom, p=5): threshold, rows beyond it, their share of rows, their total."""
     v = _num(field)
-    threshold = df.agg(F.percentile(v, F.lit(p / 100.0))).scalar()
+    threshold = exact_quantile(df, v, p / 100.0)
     hit = (v >= threshold) if top else (v <= threshold)
     return df.agg(
         F.round(F.coalesce(threshold, F.lit(0.0)), 2).alias("threshold"),
@@ -156,14 +158,15 @@ def cancelled_count(df: DataFrame) -> DataFrame:
 def common_metrics(df: DataFrame) -> DataFrame:
     """AOV, revenue, row count and the amount summary in one row (distributions: T4)."""
     v = F.col("total_amount").cast("double")
+    q = exact_quantiles(df, v, [0.25, 0.5, 0.75])
     return df.agg(
         ratio(F.sum("total_amount"), F.count("total_amount")).alias("aov"),
         money(F.coalesce(F.sum("total_amount"), F.lit(0))).alias("total_revenue"),
         F.count(F.lit(1)).alias("order_count"),
-        F.round(F.percentile(v, F.lit(0.5)), 2).alias("amount_median"),
+        F.round(q[0.5], 2).alias("amount_median"),
         F.round(F.stddev_samp(v), 2).alias("amount_std"),
-        F.round(F.percentile(v, F.lit(0.25)), 2).alias("amount_q25"),
-        F.round(F.percentile(v, F.lit(0.75)), 2).alias("amount_q75"))
+        F.round(q[0.25], 2).alias("amount_q25"),
+        F.round(q[0.75], 2).alias("amount_q75"))
 
 
 def column_profile(df: DataFrame, max_listed: int = 50, categorical_max: int = 20) -> DataFrame:
