@@ -11,7 +11,8 @@ fl AS (SELECT order_id, order_status, courier, import_warehouse_name,
          ROW_NUMBER() OVER (PARTITION BY order_id ORDER BY line_no, order_status, courier, import_warehouse_name) AS rn
        FROM ol),
 o AS (SELECT ol.order_id, MIN(order_date) AS order_date, SUM(total_amount) AS total_amount,
-        MIN(payment_mode) AS payment_mode, MIN(state) AS state, MIN(pin_code) AS pin_code
+        MIN(payment_mode) AS payment_mode, MIN(state) AS state, MIN(pin_code) AS pin_code,
+        MIN(order_type) AS order_type, MIN(marketplace) AS marketplace
       FROM ol GROUP BY ol.order_id),
 od AS (SELECT o.*, fl.order_status FROM o JOIN fl ON o.order_id = fl.order_id AND fl.rn = 1),
 li AS (SELECT order_id, order_date, state, sku, product_name AS productName, mrp AS selling_price, cost, mrp,

@@ -72,7 +72,8 @@ def group_payment_cycle_metrics(grouped_sheet: DataFrame) -> DataFrame:
         F.count(F.when((m > RISK_MARGIN) & (cyc > RISK_CYCLE), 1)).alias("high_risk_count"))
 
 
-def compare_groups(metrics: DataFrame, value_cols: list[str], lower_is_better: tuple[str, ...] = ()) -> DataFrame:
+def compare_groups(metrics: DataFrame, value_cols: list[str], n_groups: int,
+                   lower_is_better: tuple[str, ...] = ()) -> DataFrame:
     """Differences to the baseline (first group) and winners.
 
     Two groups → pairwise rules (the second group wins ties); more → the
@@ -80,7 +81,6 @@ def compare_groups(metrics: DataFrame, value_cols: list[str], lower_is_better: t
     minimum (e.g. the lowest-risk group). The windows run over one row per
     group (a request-sized frame).
     """
-    n_groups = metrics.select("group_id").distinct().count()
     pairwise = n_groups == 2
     base = metrics.where(F.col("group_index") == metrics.agg(F.min("group_index")).scalar())
     out = metrics

@@ -348,3 +348,46 @@ register("f5_nested_predicate_filter")(lambda s, d: FL.apply_filters(
     docs(s, d), F5_SPECS, nested_fields=["size", "mrp", "sku"]).agg(F.count(F.lit(1)).alias("orders")))
 register("f8_state_pincodes")(lambda s, d: docs(s, d).where(FL.state_equals("NATION_11")).groupBy("pin_code")
                               .agg(F.count(F.lit(1)).alias("orders")))
+
+# ---- X: user-defined group comparison ----------------------------------------
+from ..operators import groups as X  # noqa: E402
+
+ORDER_GROUPS = [{"group_id": "cod", "filters": {"payment_mode": "cod"}},
+                {"group_id": "prepaid", "filters": {"payment_mode": {"operator": "contains", "value": "paid"}}},
+                {"group_id": "b2b_building", "filters": {"order_type": "B2B",
+                                                         "marketplace": {"operator": "in", "value": ["BUILDING"]}}}]
+PROFIT_GROUPS = [{"group_id": "brand1", "filters": {"brand": "Brand#1"}},
+                 {"group_id": "brand2", "filters": {"brand": "brand#2"}},
+                 {"group_id": "premium", "filters": {"mrp": {"operator": "gte", "value": 1500}}}]
+CYCLE_GROUPS = [{"group_id": "asm1", "filters": {"asm_name": "NATION_1"}},
+                {"group_id": "asm2", "filters": {"asm_name": "nation_2"}},
+                {"group_id": "high_margin", "filters": {"margin": {"operator": "gt", "value": 30}}}]
+ORDER_METRICS = ["count", "total_revenue", "avg_order_value"]
+
+
+def grouped_orders(spark: SparkSession, sf_dir: str, groups: list[dict]) -> DataFrame:
+    return X.assign_groups(docs(spark, sf_dir), groups)
+
+
+register("x1_group_assignment")(lambda s, d: grouped_orders(s, d, ORDER_GROUPS).groupBy("group_id", "group_index")
+                                .agg(F.count(F.lit(1)).alias("orders")))
+register("x2_group_order_metrics")(lambda s, d: X.group_order_metrics(grouped_orders(s, d, ORDER_GROUPS)))
+register("x2_group_distributions")(lambda s, d: X.group_distributions(grouped_orders(s, d, ORDER_GROUPS)))
+register("x4_pairwise_order_comparison")(lambda s, d: X.compare_groups(
+    X.group_order_metrics(grouped_orders(s, d, ORDER_GROUPS[:2])), ORDER_METRICS, 2))
+register("x5_multi_group_order_comparison")(lambda s, d: X.compare_groups(
+    X.group_order_metrics(grouped_orders(s, d, ORDER_GROUPS)), ORDER_METRICS, 3))
+
+
+@register("x6_profit_group_comparison")
+def _x6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sheet = X.assign_groups(vendor_cost_sheet(spark, sf_dir), PROFIT_GROUPS)
+    items = profit.profit_items(sheet, keep=("style_name", "brand", "group_id", "group_index"))
+    return X.compare_groups(X.group_profit_metrics(items), ["avg_gross_margin", "avg_markup_percent", "total_gross_profit"], 3)
+
+
+@register("x3_x7_payment_cycle_group_comparison")
+def _x7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sheet = X.assign_groups(payment_cycle_sheet(spark, sf_dir), CYCLE_GROUPS)
+    return X.compare_groups(X.group_payment_cycle_metrics(sheet), ["avg_margin", "margin_per_payment_day", "high_risk_count"],
+                            3, lower_is_better=("high_risk_count",))
