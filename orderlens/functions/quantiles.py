@@ -13,12 +13,15 @@ selection:
    over those distinct values (≈ 6·n/accuracy of them) gives each value's rank
    range, from which the two order statistics are read.
 
-Everything stays lazy (scalar subqueries); a violated bracket fails loudly
-instead of returning a wrong value.
+Only bounded control numbers reach the driver (a count, bracket values,
+below-counts and two order statistics per probability); a violated bracket
+fails loudly instead of returning a wrong value.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,49 +29,56 @@ ACCURACY = 1_000_000
 
 
 def exact_quantiles(df: DataFrame, value: Column, probs: list[float], accuracy: int = ACCURACY) -> dict[float, Column]:
-    """Scalar Columns with the exact p-quantiles (linear interpolation) of ``value`` over ``df``.
+    """The exact p-quantiles (linear interpolation, as Spark's ``percentile``) of ``value`` over ``df``.
 
-    One pass computes the count and every bracket (one sketch for all
-    probabilities), one pass counts the rows below each bracket, and each
-    probability then reads its own small band of distinct values.
+    Three distributed jobs, each returning a handful of numbers to the driver:
+    (1) count + one sketch for every bracket, (2) rows below each bracket,
+    (3) per probability, the band's distinct values with running counts →
+    the two order statistics. The results are returned as literal Columns.
     """
     base = df.select(value.cast("double").alias("v")).where(F.col("v").isNotNull())
-    aggs = [F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")]
     inner = sorted({q for p in probs for q in (p - 3.0 / accuracy, p + 3.0 / accuracy) if 0 < q < 1})
+    aggs = [F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")]
     if inner:
         aggs.append(F.percentile_approx("v", F.array(*[F.lit(q) for q in inner]), accuracy).alias("qs"))
-    stats = base.agg(*aggs)
+    row = base.agg(*aggs).first()
+    n = int(row["n"])
+    if n == 0:
+        return {p: F.lit(None).cast("double") for p in probs}
 
-    def bound(q: float) -> Column:
-        if q <= 0:
-            return stats.select("mn").scalar()
-        if q >= 1:
-            return stats.select("mx").scalar()
-        return stats.select(F.col("qs")[inner.index(q)]).scalar()
+    def bound(q: float) -> float:
+        return row["mn"] if q <= 0 else row["mx"] if q >= 1 else row["qs"][inner.index(q)]
 
-    n = stats.select("n").scalar()
-    brackets = {p: (bound(p - 3.0 / accuracy), bound(p + 3.0 / accuracy)) for p in probs}
-    belows = base.agg(*[F.count(F.when(F.col("v") < lo, 1)).alias(f"b{i}") for i, (lo, _) in enumerate(brackets.values())])
+    brackets = [(bound(p - 3.0 / accuracy), bound(p + 3.0 / accuracy)) for p in probs]
+    below_row = base.agg(*[F.count(F.when(F.col("v") < F.lit(lo), 1)).alias(f"b{i}")
+                           for i, (lo, _) in enumerate(brackets)]).first()
+    below = [int(below_row[f"b{i}"]) for i in range(len(probs))]
+    pos = [(n - 1) * float(p) for p in probs]
+    ranks = [(math.floor(x), math.ceil(x)) for x in pos]
+    # all bands in one job: rows tagged with the probability index, grouped by value
+    tagged = base.select(F.explode(F.array(*[
+        F.when((F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi)), F.lit(i)) for i, (lo, hi) in enumerate(brackets)
+    ])).alias("i"), "v").where(F.col("i").isNotNull())
+    counted = tagged.groupBy("i", "v").agg(F.count(F.lit(1)).alias("k"))
+    # window per probability over that band's distinct values (≈ 6·n/accuracy rows each)
+    cum = F.sum("k").over(Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("cum", cum)
+    picks = []
+    for i, (f, c) in enumerate(ranks):
+        here = (F.col("i") == i)
+        picks += [F.min(F.when(here & (F.col("cum") + below[i] > f), F.col("v"))).alias(f"f{i}"),
+                  F.min(F.when(here & (F.col("cum") + below[i] > c), F.col("v"))).alias(f"c{i}")]
+    got = ranked.agg(*picks).first()
     out = {}
-    for i, (p, (lo, hi)) in enumerate(brackets.items()):
-        below = belows.select(f"b{i}").scalar()
-        band = base.where((F.col("v") >= lo) & (F.col("v") <= hi)).groupBy("v").agg(F.count(F.lit(1)).alias("k"))
-        ranked = band.withColumn("cum", F.sum("k").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-        pos = (n - 1).cast("double") * F.lit(float(p))
-        f_rank, c_rank = F.floor(pos), F.ceil(pos)
-
-        def at(rank: Column, ranked=ranked, below=below) -> Column:
-            # smallest value whose cumulative count (ranks below the band included) exceeds rank
-            return ranked.where(F.col("cum") + below > rank).agg(F.min("v")).scalar()
-
-        vf, vc = at(f_rank), at(c_rank)
-        result = F.when(f_rank == c_rank, vf).otherwise(vf + (pos - f_rank) * (vc - vf))
-        broken = (below > f_rank) | vc.isNull()
-        out[p] = F.when(n == 0, F.lit(None).cast("double")).when(
-            broken, F.raise_error(F.lit("exact_quantile: approximate bracket missed the target rank"))).otherwise(result)
+    for i, p in enumerate(probs):
+        f, c = ranks[i]
+        vf, vc = got[f"f{i}"], got[f"c{i}"]
+        if below[i] > f or vc is None:
+            raise RuntimeError("exact_quantile: approximate bracket missed the target rank")
+        out[p] = F.lit(vf if f == c else vf + (pos[i] - f) * (vc - vf)).cast("double")
     return out
 
 
 def exact_quantile(df: DataFrame, value: Column, p: float, accuracy: int = ACCURACY) -> Column:
-    """A scalar Column: the exact p-quantile (linear interpolation) of ``value`` over ``df``."""
+    """The exact p-quantile (linear interpolation) of ``value`` over ``df``."""
     return exact_quantiles(df, value, [p], accuracy)[p]
