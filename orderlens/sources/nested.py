@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import order_document_schema
-from .history import history_lines
-from .tables import order_lines
+from .history import load_history
 
 ORDER_FIELDS = [f.name for f in order_document_schema().fields if f.name != "suborders"]
 
@@ -35,7 +34,7 @@ def posted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     courier, warehouse) come from the order's first line (lowest line number,
     then status), matching the first-suborder rule of the ingest projection.
     """
-    lines = history_lines(order_lines(spark, sf_dir))
+    lines = load_history(spark, sf_dir)
     cancelled = F.col("order_status") == "Cancelled"
     returned = F.col("order_status").isin("Returned", "RTO")
     shipped = F.col("order_status").isin("Shipped", "Manifest Scanned")
