@@ -28,8 +28,8 @@ def first_non_empty(*cols: str | Column) -> Column:
 
 
 def to_timestamp_lenient(c: str | Column) -> Column:
-    """Text or timestamp → timestamp; unparsable → null."""
-    return F.try_to_timestamp(_c(c).cast("string"))
+    """Text or timestamp → zone-free timestamp (wall clock kept exactly); unparsable → null."""
+    return _c(c).cast("string").try_cast("timestamp_ntz")
 
 
 def to_number(c: str | Column, dtype: T.DataType = MONEY) -> Column:

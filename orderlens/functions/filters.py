@@ -30,12 +30,17 @@ def date_range(lo: datetime | None, hi: datetime | None, col: str = "order_date"
     """inclusive on both ends; null dates never match."""
     cond = _c(col).isNotNull()
     if lo is not None:
-        cond = cond & (_c(col) >= F.lit(lo).cast("timestamp_ntz"))
+        cond = cond & (_c(col) >= ts_literal(lo))
     if hi is not None:
-        cond = cond & (_c(col) <= F.lit(hi).cast("timestamp_ntz"))
+        cond = cond & (_c(col) <= ts_literal(hi))
     return cond
 
 
+def ts_literal(value: datetime) -> Column:
+    """A zone-free timestamp literal (ISO text cast to timestamp_ntz; no session/OS zone shift)."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def _as_list(value: Any) -> list:
     return list(value) if isinstance(value, (list, tuple, set)) else [value]
 

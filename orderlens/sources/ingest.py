@@ -75,12 +75,12 @@ def run_extraction(spark: SparkSession, docs: DataFrame, landing: str, table_roo
     Returns ``(day, orders_landed, rows_upserted)``; the upserted table is
     committed as a new version under ``table_root``.
     """
-    ts = F.try_to_timestamp(F.col("order_date"))
+    ts = F.col("order_date").cast("string").try_cast("timestamp_ntz")
     in_range = docs.where((F.to_date(ts) >= F.lit(start_day)) & (F.to_date(ts) <= F.lit(end_day)))
     write_daily_json(in_range, landing)
     landed = read_daily_orders(spark, landing, start_day, end_day)
     projected = project_orders(landed.drop("month"), source_tag, source_month=start_day[:7]) \
-        .withColumn("day", F.date_format(F.try_to_timestamp("order_date"), "yyyy-MM-dd"))
+        .withColumn("day", F.date_format(F.col("order_date").try_cast("timestamp_ntz"), "yyyy-MM-dd"))
     stored = state.read_table(spark, table_root, "history")
     merged = upsert(stored, projected)
     version = f"{start_day}_{end_day}"

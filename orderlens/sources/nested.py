@@ -91,7 +91,7 @@ def posted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_daily_json(docs: DataFrame, path: str) -> None:
     """Land documents as JSON, one folder per day under its month folder."""
-    ts = F.try_to_timestamp(F.col("order_date"))
+    ts = F.col("order_date").cast("string").try_cast("timestamp_ntz")
     (docs.withColumn("month", F.date_format(ts, "yyyy-MM")).withColumn("day", F.date_format(ts, "yyyy-MM-dd"))
      .repartition("month", "day")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
