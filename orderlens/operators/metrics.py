@@ -56,8 +56,11 @@ def _sku_base(df: DataFrame, units: Column) -> DataFrame:
 
 
 def top_skus_by_revenue(df: DataFrame, n: int = 5) -> DataFrame:
-    """M2: top-n SKUs (trimmed raw SKU) by revenue; units fall back per SKU."""
-    per = _sku_base(df, F.lit(0))
+    """M2: top-n SKUs (trimmed raw SKU) by revenue; units fall back per SKU.
+
+    The per-SKU aggregate is the same plan as M3 / M6, so in the bundle Spark
+    reuses one shuffle for all three lists."""
+    per = _sku_base(df, units_by_value(df))
     units = F.when(F.coalesce(F.col("_iq"), F.lit(0)) > 0, F.col("_iq")).otherwise(F.coalesce(F.col("_sq"), F.col("_oq")))
     return _top(per, "_rev", "_sku", n).select(
         F.col("_sku").alias("sku"), F.coalesce(F.col("_style"), F.lit("")).alias("style_name"),

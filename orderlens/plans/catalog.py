@@ -42,9 +42,19 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_history(spark, sf_dir)
 
 
+_FETCHED: dict[tuple, DataFrame] = {}
+
+
 def fetched(spark: SparkSession, sf_dir: str, req: HistoryRequest | None = None,
             extra_cols: tuple[str, ...] = ()) -> DataFrame:
-    return fetch(history(spark, sf_dir), req or full_request(), extra_cols)
+    """The fetched + enriched history for a request. The lazy DataFrame is reused per
+    (session, source, request) so repeated queries skip re-building the same plan."""
+    req = req or full_request()
+    h = history(spark, sf_dir)
+    key = (id(h), req.start, req.end, repr(sorted(req.filters.items())), tuple(extra_cols))
+    if key not in _FETCHED:
+        _FETCHED[key] = fetch(h, req, extra_cols)
+    return _FETCHED[key]
 
 
 # ---- K: KPI bundle and cards ----------------------------------------------
