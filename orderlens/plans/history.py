@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import enrich, to_number
@@ -38,10 +38,23 @@ def _coerce(df: DataFrame) -> DataFrame:
     return df.withColumns(cols)
 
 
+def month_bounds(start: datetime | None, end: datetime | None) -> Column:
+    """The ``order_month`` range implied by a date window: prunes whole month folders."""
+    cond = F.lit(True)
+    if start is not None:
+        cond = cond & (F.col("order_month") >= F.lit(start.strftime("%Y-%m")))
+    if end is not None:
+        cond = cond & (F.col("order_month") <= F.lit(end.strftime("%Y-%m")))
+    return cond
+
+
 def fetch(history: DataFrame, req: HistoryRequest, extra_cols: tuple[str, ...] = ()) -> DataFrame:
     """Filtered, enriched history rows for one request window."""
     cols = [c for c in dict.fromkeys([*HISTORY_COLUMNS, *extra_cols]) if c in history.columns]
-    df = history.select(*cols).where(history_filter(req.start, req.end, req.filters))
+    cond = history_filter(req.start, req.end, req.filters)
+    if "order_month" in history.columns:
+        cond = cond & month_bounds(req.start, req.end)
+    df = history.where(cond).select(*cols)
     return enrich(_coerce(df))
 
 

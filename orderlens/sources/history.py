@@ -108,7 +108,8 @@ def load_history(spark: SparkSession, sf_dir: str, use_materialized: bool = True
     if use_materialized:
         path = history_path(spark, sf_dir)
         if table_written(spark, path):
-            df = spark.read.parquet(path).drop("order_month")
+            # order_month stays visible so fetches can prune month folders
+            df = spark.read.parquet(path)
     if df is None:
         df = history_lines(order_lines(spark, sf_dir))
     _HANDLES[key] = df
