@@ -33,6 +33,16 @@ def _long(df: DataFrame, category: str, metric: str, key: Column | str | None, v
     return df.select(F.lit(category).alias("category"), F.lit(metric).alias("metric"), k.alias("key"), v.alias("value"))
 
 
+def _long_multi(df: DataFrame, category: str, key: Column | str | None, metrics_: dict[str, Column | str]) -> DataFrame:
+    """Several metrics of ONE aggregated frame in long form: one projection (``inline``),
+    so the aggregate under it is computed once instead of once per metric."""
+    k = F.lit(None).cast("string") if key is None else (F.col(key) if isinstance(key, str) else key).cast("string")
+    items = [F.struct(F.lit(m).alias("metric"), (F.col(v) if isinstance(v, str) else v).cast("double").alias("value"))
+             for m, v in metrics_.items()]
+    return df.select(k.alias("key"), F.inline(F.array(*items))).select(
+        F.lit(category).alias("category"), "metric", "key", "value")
+
+
 def _row_metrics(df: DataFrame, category: str, row: DataFrame) -> DataFrame:
     """Unpivot a one-row frame into long form (metric = column name)."""
     cols = [c for c in row.columns]
@@ -49,15 +59,45 @@ def primary_kpis(df: DataFrame) -> DataFrame:
                .agg(F.countDistinct("order_id").alias("orders"), F.sum("total_amount").alias("_rev"))
                .withColumn("revenue", money(F.col("_rev"))))
     monthly = monthly.withColumns({"orders_growth": growth_series("orders"), "revenue_growth": growth_series("revenue")})
-    for m in ("orders", "revenue", "orders_growth", "revenue_growth"):
-        parts.append(_long(monthly, "primary", f"{m}_series", "bucket", m))
+    parts.append(_long_multi(monthly, "primary", "bucket", {
+        f"{m}_series": m for m in ("orders", "revenue", "orders_growth", "revenue_growth")}))
     return reduce(DataFrame.unionByName, parts)
 
 
+def whole_table_scalars(df: DataFrame) -> DataFrame:
+    """ONE pass for every whole-table scalar of the bundle (M1, M4, B5, B6, B11, velocities).
+
+    The two distinct counts share one Expand of a narrow projection; every other
+    value is a plain aggregate of the same scan. Identical plans built by several
+    bundle parts are reused by Spark (same exchanges), so the scan runs once.
+    (Fetched rows always carry an order date — F1 drops null dates — so the
+    velocity spans and distinct orders come from the same rows.)
+    """
+    v = F.col("total_amount").cast("double")
+    st = F.col("order_status")
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(F.when(st.isin(BUNDLE_FULFILLED), 1)).alias("fulfilled"),
+        F.count(F.when(st.isin(BUNDLE_ISSUES), 1)).alias("issues"),
+        F.min("total_amount").alias("amt_min"), F.max("total_amount").alias("amt_max"),
+        F.sum("total_amount").alias("amt_sum"), F.count("total_amount").alias("amt_n"),
+        F.stddev_samp(v).alias("amt_std"),
+        F.coalesce(F.sum("item_quantity"), F.lit(0)).cast("bigint").alias("units"),
+        F.countDistinct("order_id").alias("orders"), F.countDistinct("sku").alias("skus"),
+        (F.floor(F.expr("timestampdiff(SECOND, min(order_date), max(order_date))") / 86400) + 1)
+        .cast("bigint").alias("period_days"))
+
+
+def _scalar_parts(df: DataFrame, category: str, exprs: dict[str, Column]) -> DataFrame:
+    row = whole_table_scalars(df).select(*[c.alias(n) for n, c in exprs.items()])
+    return _row_metrics(df, category, row)
+
+
 def product_metrics(df: DataFrame) -> DataFrame:
     """B3 (raw-size row counts) and B4 (SKU lists)."""
-    parts = [_long(metrics.sku_diversity_index(df), "product", "sku_diversity_index", None, "value"),
-             _long(metrics.average_units_per_order(df), "product", "avg_units_per_order", None, "value")]
+    parts = [_scalar_parts(df, "product", {
+        "sku_diversity_index": ratio(F.col("skus"), F.col("orders"), 4),
+        "avg_units_per_order": ratio(F.col("units"), F.col("orders"))})]
     top_rev = metrics.top_skus_by_revenue(df, 5)
     parts.append(_long(top_rev, "product", "top_skus_by_revenue", "sku", "revenue"))
     top_units = metrics.top_skus_by_units(df, 5)
@@ -66,28 +106,22 @@ def product_metrics(df: DataFrame) -> DataFrame:
     parts.append(_long(perf, "product", "sku_performance_revenue", "sku", "revenue"))
     sizes = df.where(F.col("size").isNotNull()).groupBy("size").agg(F.count(F.lit(1)).alias("count"))
     total = sizes.agg(F.sum("count")).scalar()
-    parts.append(_long(sizes, "product", "size_mix_count", "size", "count"))
-    parts.append(_long(sizes.withColumn("pct", F.round(safe_pct(F.col("count"), total), 2)), "product", "size_mix_pct",
-                       "size", "pct"))
+    parts.append(_long_multi(sizes, "product", "size", {
+        "size_mix_count": "count", "size_mix_pct": F.round(safe_pct(F.col("count"), total), 2)}))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _row_rate(df: DataFrame, statuses: list[str]) -> DataFrame:
-    return df.agg(F.round(safe_pct(F.count(F.when(F.col("order_status").isin(statuses), 1)), F.count(F.lit(1))), 2)
-                  .alias("value"))
-
-
 def performance_metrics(df: DataFrame) -> DataFrame:
     """B5 (fulfilment over rows) and B6 (value distribution, velocities)."""
-    v = F.col("total_amount").cast("double")
-    dist = df.agg(money(F.min("total_amount")).alias("min"), money(F.max("total_amount")).alias("max"),
-                  ratio(F.sum("total_amount"), F.count("total_amount")).alias("mean"),
-                  F.round(exact_quantile(df, v, 0.5), 2).alias("median"), F.round(F.stddev_samp(v), 2).alias("std"))
-    parts = [_long(_row_rate(df, BUNDLE_FULFILLED), "performance", "fulfillment_rate", None, "value"),
-             _row_metrics(df, "performance", dist.select(*[F.col(c).alias(f"order_value_{c}") for c in dist.columns])),
-             _long(metrics.order_velocity(df), "performance", "order_velocity_daily", None, "daily"),
-             _long(metrics.units_velocity(df), "performance", "units_velocity", None, "value")]
-    return reduce(DataFrame.unionByName, parts)
+    median = exact_quantile(df, F.col("total_amount").cast("double"), 0.5)
+    daily = F.coalesce(F.try_divide(F.col("orders").cast("double"), F.col("period_days").cast("double")), F.lit(0.0))
+    return _scalar_parts(df, "performance", {
+        "fulfillment_rate": F.round(safe_pct(F.col("fulfilled"), F.col("rows")), 2),
+        "order_value_min": money(F.col("amt_min")), "order_value_max": money(F.col("amt_max")),
+        "order_value_mean": ratio(F.col("amt_sum"), F.col("amt_n")),
+        "order_value_median": F.round(median, 2), "order_value_std": F.round(F.col("amt_std"), 2),
+        "order_velocity_daily": F.round(daily, 2),
+        "units_velocity": ratio(F.col("units"), F.col("period_days"))})
 
 
 def geographic_metrics(df: DataFrame, n: int = 10) -> DataFrame:
@@ -102,12 +136,11 @@ def geographic_metrics(df: DataFrame, n: int = 10) -> DataFrame:
     rates = status_order_counts(st, ["_state"], {"c": kpis.CANCELLED})
     rates = rates.withColumn("rate", F.round(safe_pct(F.col("c_orders"), F.col("orders")), 2)).where(F.col("rate") > 0)
     top_rates = rates.orderBy(F.col("rate").desc(), F.col("_state").asc()).limit(n)
-    parts = [_long(top_rev.withColumn("v", money(F.col("_rev"))), "geographic", "top_states_by_revenue", "_state", "v"),
-             _long(top_rev.withColumn("p", F.round(safe_pct(F.col("_rev"), tot_top), 2)), "geographic",
-                   "top_states_by_revenue_pct", "_state", "p"),
-             _long(top_rows, "geographic", "top_states_by_rows", "_state", "rows"),
-             _long(top_rows.withColumn("p", F.round(safe_pct(F.col("rows"), tot_rows), 2)), "geographic",
-                   "top_states_by_rows_pct", "_state", "p"),
+    parts = [_long_multi(top_rev, "geographic", "_state", {
+                 "top_states_by_revenue": money(F.col("_rev")),
+                 "top_states_by_revenue_pct": F.round(safe_pct(F.col("_rev"), tot_top), 2)}),
+             _long_multi(top_rows, "geographic", "_state", {
+                 "top_states_by_rows": "rows", "top_states_by_rows_pct": F.round(safe_pct(F.col("rows"), tot_rows), 2)}),
              _long(conc, "geographic", "geo_concentration", None, "concentration_pct"),
              _long(top_rates, "geographic", "state_cancellation_rate", "_state", "rate")]
     return reduce(DataFrame.unionByName, parts)
@@ -122,10 +155,10 @@ def channel_metrics(df: DataFrame) -> DataFrame:
     dim = F.when(F.col("_gid") == 3, "marketplace").when(F.col("_gid") == 5, "courier").otherwise("warehouse")
     g = g.select(dim.alias("dim"), F.coalesce("marketplace", "courier", "warehouse").alias("k"), "orders",
                  money(F.col("_rev")).alias("revenue"), ratio(F.col("_rev"), F.col("orders")).alias("aov"))
-    parts = []
-    for m in ("orders", "revenue", "aov"):
-        parts.append(g.select(F.lit("channel").alias("category"), F.concat(F.col("dim"), F.lit(f"_{m}")).alias("metric"),
-                              F.col("k").cast("string").alias("key"), F.col(m).cast("double").alias("value")))
+    per_metric = F.array(*[F.struct(F.concat(F.col("dim"), F.lit(f"_{m}")).alias("metric"),
+                                    F.col(m).cast("double").alias("value")) for m in ("orders", "revenue", "aov")])
+    parts = [g.select(F.col("k").cast("string").alias("key"), F.inline(per_metric))
+             .select(F.lit("channel").alias("category"), "metric", "key", "value")]
     for col, cat, name in (("payment_mode", "channel", "payment_mode_share"), ("order_type", "order_type", "order_type_share")):
         cnt = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
         tot = cnt.agg(F.sum("n")).scalar()
@@ -137,8 +170,9 @@ def quality_metrics(df: DataFrame) -> DataFrame:
     """B5 again (overall fulfilment), B11 (issue rate over rows), B12 (marketplace risk of the union)."""
     risk = status_order_counts(df.withColumn("_mp", label_or_unknown("marketplace")), ["_mp"], {"u": BUNDLE_RISK})
     risk = risk.withColumn("score", F.round(safe_pct(F.col("u_orders"), F.col("orders")), 2))
-    parts = [_long(_row_rate(df, BUNDLE_FULFILLED), "quality", "overall_fulfillment", None, "value"),
-             _long(_row_rate(df, BUNDLE_ISSUES), "quality", "overall_issue_rate", None, "value"),
+    parts = [_scalar_parts(df, "quality", {
+                 "overall_fulfillment": F.round(safe_pct(F.col("fulfilled"), F.col("rows")), 2),
+                 "overall_issue_rate": F.round(safe_pct(F.col("issues"), F.col("rows")), 2)}),
              _long(risk, "quality", "marketplace_risk_score", "_mp", "score")]
     return reduce(DataFrame.unionByName, parts)
 
@@ -149,8 +183,8 @@ def advanced_metrics(df: DataFrame) -> DataFrame:
     monthly = (df.where(F.col("order_date").isNotNull()).groupBy(F.date_format("order_date", "yyyy-MM").alias("k"))
                .agg(F.countDistinct("order_id").alias("o"), money(F.sum("total_amount")).alias("r")))
     return reduce(DataFrame.unionByName, [_long(mp, "advanced", "revenue_per_marketplace", "k", "v"),
-                                          _long(monthly, "advanced", "monthly_orders", "k", "o"),
-                                          _long(monthly, "advanced", "monthly_revenue", "k", "r")])
+                                          _long_multi(monthly, "advanced", "k", {"monthly_orders": "o",
+                                                                                 "monthly_revenue": "r"})])
 
 
 def batch_all_metrics(df: DataFrame) -> DataFrame:
