@@ -1,6 +1,8 @@
 """Batch bundle of all metric categories in one job.
 
-Output is long form ``(category, metric, key, value)``. Every part is a
+Output is long form ``(category, metric, key, value)`` — every part emits exactly
+these four columns in this order, so parts are combined with positional ``union``
+(no by-name re-resolution of the growing plan). Every part is a
 bounded aggregate (a handful of KPI rows, top-n lists, per-dimension rows of
 low-cardinality dimensions, one row per month) and the parts are unioned into
 a single plan, so Spark runs them as one job whose branches each scan only
@@ -61,10 +63,21 @@ def primary_kpis(df: DataFrame) -> DataFrame:
     monthly = monthly.withColumns({"orders_growth": growth_series("orders"), "revenue_growth": growth_series("revenue")})
     parts.append(_long_multi(monthly, "primary", "bucket", {
         f"{m}_series": m for m in ("orders", "revenue", "orders_growth", "revenue_growth")}))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.union, parts)
+
+
+_SCALARS: dict[int, tuple[DataFrame, DataFrame]] = {}
 
 
 def whole_table_scalars(df: DataFrame) -> DataFrame:
+    """Built once per input frame (the same plan object is shared by every bundle part)."""
+    hit = _SCALARS.get(id(df))
+    if hit is None or hit[0] is not df:
+        hit = _SCALARS[id(df)] = (df, _whole_table_scalars(df))
+    return hit[1]
+
+
+def _whole_table_scalars(df: DataFrame) -> DataFrame:
     """ONE pass for every whole-table scalar of the bundle (M1, M4, B5, B6, B11, velocities).
 
     The two distinct counts share one Expand of a narrow projection; every other
@@ -108,7 +121,7 @@ def product_metrics(df: DataFrame) -> DataFrame:
     total = sizes.agg(F.sum("count")).scalar()
     parts.append(_long_multi(sizes, "product", "size", {
         "size_mix_count": "count", "size_mix_pct": F.round(safe_pct(F.col("count"), total), 2)}))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.union, parts)
 
 
 def performance_metrics(df: DataFrame) -> DataFrame:
@@ -143,7 +156,7 @@ def geographic_metrics(df: DataFrame, n: int = 10) -> DataFrame:
                  "top_states_by_rows": "rows", "top_states_by_rows_pct": F.round(safe_pct(F.col("rows"), tot_rows), 2)}),
              _long(conc, "geographic", "geo_concentration", None, "concentration_pct"),
              _long(top_rates, "geographic", "state_cancellation_rate", "_state", "rate")]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.union, parts)
 
 
 def channel_metrics(df: DataFrame) -> DataFrame:
@@ -163,7 +176,7 @@ def channel_metrics(df: DataFrame) -> DataFrame:
         cnt = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
         tot = cnt.agg(F.sum("n")).scalar()
         parts.append(_long(cnt.withColumn("p", F.round(safe_pct(F.col("n"), tot), 2)), cat, name, col, "p"))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.union, parts)
 
 
 def quality_metrics(df: DataFrame) -> DataFrame:
@@ -174,7 +187,7 @@ def quality_metrics(df: DataFrame) -> DataFrame:
                  "overall_fulfillment": F.round(safe_pct(F.col("fulfilled"), F.col("rows")), 2),
                  "overall_issue_rate": F.round(safe_pct(F.col("issues"), F.col("rows")), 2)}),
              _long(risk, "quality", "marketplace_risk_score", "_mp", "score")]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.union, parts)
 
 
 def advanced_metrics(df: DataFrame) -> DataFrame:
@@ -182,14 +195,14 @@ def advanced_metrics(df: DataFrame) -> DataFrame:
     mp = df.groupBy(label_or_unknown("marketplace").alias("k")).agg(money(F.sum("total_amount")).alias("v"))
     monthly = (df.where(F.col("order_date").isNotNull()).groupBy(F.date_format("order_date", "yyyy-MM").alias("k"))
                .agg(F.countDistinct("order_id").alias("o"), money(F.sum("total_amount")).alias("r")))
-    return reduce(DataFrame.unionByName, [_long(mp, "advanced", "revenue_per_marketplace", "k", "v"),
+    return reduce(DataFrame.union, [_long(mp, "advanced", "revenue_per_marketplace", "k", "v"),
                                           _long_multi(monthly, "advanced", "k", {"monthly_orders": "o",
                                                                                  "monthly_revenue": "r"})])
 
 
 def batch_all_metrics(df: DataFrame) -> DataFrame:
     """B1: every category from the fetched frame, one long-form result."""
-    return reduce(DataFrame.unionByName, [primary_kpis(df), product_metrics(df), performance_metrics(df),
+    return reduce(DataFrame.union, [primary_kpis(df), product_metrics(df), performance_metrics(df),
                                           geographic_metrics(df), channel_metrics(df), quality_metrics(df),
                                           advanced_metrics(df)])
 

@@ -45,7 +45,18 @@ def sku_diversity_index(df: DataFrame) -> DataFrame:
     return row.select(ratio(F.col("unique_skus"), F.col("total_orders"), 4).alias("value"), "unique_skus", "total_orders")
 
 
-def _sku_base(df: DataFrame, units: Column) -> DataFrame:
+_SKU_BASE: dict[int, tuple[DataFrame, DataFrame]] = {}
+
+
+def _sku_base(df: DataFrame) -> DataFrame:
+    """Per-SKU aggregate shared by M2, M3, M6 (built once per input frame)."""
+    hit = _SKU_BASE.get(id(df))
+    if hit is None or hit[0] is not df:
+        hit = _SKU_BASE[id(df)] = (df, _build_sku_base(df, units_by_value(df)))
+    return hit[1]
+
+
+def _build_sku_base(df: DataFrame, units: Column) -> DataFrame:
     return (df.withColumn("_sku", _clean("sku"))
             .groupBy("_sku").agg(F.countDistinct("order_id").alias("order_count"),
                                  F.sum("total_amount").alias("_rev"),
@@ -60,7 +71,7 @@ def top_skus_by_revenue(df: DataFrame, n: int = 5) -> DataFrame:
 
     The per-SKU aggregate is the same plan as M3 / M6, so in the bundle Spark
     reuses one shuffle for all three lists."""
-    per = _sku_base(df, units_by_value(df))
+    per = _sku_base(df)
     units = F.when(F.coalesce(F.col("_iq"), F.lit(0)) > 0, F.col("_iq")).otherwise(F.coalesce(F.col("_sq"), F.col("_oq")))
     return _top(per, "_rev", "_sku", n).select(
         F.col("_sku").alias("sku"), F.coalesce(F.col("_style"), F.lit("")).alias("style_name"),
@@ -70,7 +81,7 @@ def top_skus_by_revenue(df: DataFrame, n: int = 5) -> DataFrame:
 
 def top_skus_by_units(df: DataFrame, n: int = 5) -> DataFrame:
     """M3: top-n SKUs by units (value-based unit column)."""
-    per = _sku_base(df, units_by_value(df))
+    per = _sku_base(df)
     return _top(per, "_units", "_sku", n).select(
         F.col("_sku").alias("sku"), F.coalesce(F.col("_style"), F.lit("")).alias("style_name"),
         F.col("_units").cast("bigint").alias("units"), "order_count", money(F.col("_rev")).alias("revenue"),
@@ -94,7 +105,7 @@ def size_mix_distribution(df: DataFrame) -> DataFrame:
 
 def sku_performance_matrix(df: DataFrame, n: int = 20) -> DataFrame:
     """M6: top-n SKUs by revenue with revenue per unit and units per order."""
-    per = _sku_base(df, units_by_value(df))
+    per = _sku_base(df)
     return _top(per, "_rev", "_sku", n).select(
         F.col("_sku").alias("sku"), F.coalesce(F.col("_style"), F.lit("")).alias("style_name"),
         money(F.col("_rev")).alias("revenue"), F.col("_units").cast("bigint").alias("units"), "order_count",
