@@ -53,7 +53,7 @@ def rolling() -> str:
             w = f"OVER (PARTITION BY canonical_sku ORDER BY {order} {frame})"
             cols += [f"ROUND(SUM(revenue) {w}, 2) AS r{n}{kind}_revenue",
                      f"ROUND(SUM(units_sold) {w}, 2) AS r{n}{kind}_units_sold",
-                     f"SUM(orders) {w} AS r{n}{kind}_orders",
+                     f"CAST(SUM(orders) {w} AS BIGINT) AS r{n}{kind}_orders",
                      f"ROUND(COALESCE(SUM(gross_profit) {w} / NULLIF(SUM(revenue) {w}, 0) * 100.0, 0.0), 2) AS r{n}{kind}_gross_margin_pct"]
     return f"""{P}, g AS ({DAILY_AGG}), d AS ({daily_select('day')}),
 x AS (SELECT *, CAST(day - DATE '1970-01-01' AS BIGINT) AS dn FROM d),
