@@ -190,7 +190,7 @@ def sku_vs_sku(history: DataFrame, req: HistoryRequest, sku_1: str, sku_2: str,
     diff = {}
     for mname in ("order_count", "units", "revenue", "aov", "cancellation_rate", "rto_rate"):
         o = F.sum(F.col(f"cur_{mname}")).over(other) - F.col(f"cur_{mname}")  # the other SKU's value (2 rows)
-        diff[f"{mname}_diff_vs_other"] = F.round(F.col(f"cur_{mname}") - o, 2)
+        diff[f"{mname}_diff_vs_other"] = F.round(F.col(f"cur_{mname}") - o, 2).cast("double")
         if mname in ("revenue", "units"):
             diff[f"{mname}_lift_pct_vs_other"] = F.round(growth_pct(F.col(f"cur_{mname}"), o), 2)
     growth = {}

@@ -46,13 +46,19 @@ def test_every_query_has_oracle_or_is_rows_only():
     assert rows_only <= {"u13_profile_export"}, rows_only
 
 
+SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("key", KEYS)
 def test_query_matches_oracle(spark, con, key):
-    got = E.queries()[key](spark, SF_SMALL).toPandas()
+    sdf = E.queries()[key](spark, SF_SMALL)
+    got = sdf.toPandas()
     if key not in SQL:
         assert len(got) >= 0
         return
-    want = con.execute(SQL[key]).df()
+    rel = con.sql(SQL[key])
+    assert {n: SPARK_TO_DUCK.get(t, t) for n, t in sdf.dtypes} == {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    want = rel.df()
     assert _rows(got) == _rows(want)
 
 
