@@ -96,28 +96,33 @@ def top_states_vs_rest(history: DataFrame, req: HistoryRequest, n: int = 5) -> D
 def top_skus_rank_growth(history: DataFrame, req: HistoryRequest, n: int = 10) -> DataFrame:
     """Top-n canonical SKUs by current revenue with previous rank and growth.
 
-    The previous rank of each selected SKU is 1 + the number of SKUs ahead of
-    it in the previous window, counted through a broadcast of the n selected
-    rows (bounded) against the per-SKU aggregate — no global window.
+    The previous rank of each selected SKU is 1 + the number of SKUs ahead of it
+    in the previous window. The n selected rows (a bounded collect) become literal
+    thresholds of n conditional counts evaluated in ONE aggregate pass over the
+    per-SKU table — no join, no global window, no row multiplication.
     """
     key = "canonical_sku_normalized"
     per, _ = _two_window_sums(history, req, key, "total_amount")
     top = (per.where(F.col("cur_rows") > 0).orderBy(F.col("cur").desc(), F.col(key).asc()).limit(n)
            .select(F.col(key).alias("sku"), F.col("cur").alias("t_cur"),
                    F.coalesce(F.col("prev"), F.lit(0)).alias("t_prev"), F.col("prev_rows").alias("t_prev_rows")))
+    chosen = [r for r in top.collect() if r.t_prev_rows > 0]        # ≤ n rows
+    prev_rank: dict[str, int] = {}
+    if chosen:
+        prev = per.where(F.col("prev_rows") > 0)
+        counts = prev.agg(*[
+            F.count(F.when((F.col("prev") > F.lit(r.t_prev))
+                           | ((F.col("prev") == F.lit(r.t_prev)) & (F.col(key) < F.lit(r.sku))), 1)).alias(f"a{i}")
+            for i, r in enumerate(chosen)]).first()
+        prev_rank = {r.sku: int(counts[f"a{i}"]) + 1 for i, r in enumerate(chosen)}
+    ranks = (F.create_map(*[x for sku, rank in prev_rank.items() for x in (F.lit(sku), F.lit(rank))])
+             if prev_rank else F.create_map().cast("map<string,int>"))
     ranked = top.withColumn("current_rank", F.row_number().over(Window.orderBy(F.col("t_cur").desc(), F.col("sku"))))
-    prev = per.where(F.col("prev_rows") > 0).select(F.col(key).alias("o_sku"), F.col("prev").alias("o_prev"))
-    ahead = (prev.join(F.broadcast(ranked.select("sku", "t_prev", "t_prev_rows")),
-                       (F.col("t_prev_rows") > 0)
-                       & ((F.col("o_prev") > F.col("t_prev"))
-                          | ((F.col("o_prev") == F.col("t_prev")) & (F.col("o_sku") < F.col("sku")))))
-             .groupBy("sku").agg(F.count(F.lit(1)).alias("ahead")))
-    out = ranked.join(ahead, "sku", "left")
-    prev_rank = F.when(F.col("t_prev_rows") > 0, F.coalesce(F.col("ahead"), F.lit(0)) + 1)
-    return out.select(
+    prev_rank_col = F.element_at(ranks, F.col("sku")).cast("bigint")
+    return ranked.select(
         F.col("sku").alias("canonical_sku"), F.col("current_rank").cast("bigint").alias("current_rank"),
-        prev_rank.cast("bigint").alias("previous_rank"),
-        (prev_rank - F.col("current_rank")).cast("bigint").alias("rank_change"),
+        prev_rank_col.alias("previous_rank"),
+        (prev_rank_col - F.col("current_rank")).cast("bigint").alias("rank_change"),
         money(F.col("t_cur")).alias("current_revenue"), money(F.col("t_prev")).alias("previous_revenue"),
         F.round(growth_pct(F.col("t_cur"), F.col("t_prev")), 2).alias("growth_pct"))
 

@@ -11,7 +11,7 @@ from conftest import SF_SMALL
 
 # queries that write scratch tables while being built (their plans are checked by running them elsewhere)
 SIDE_EFFECT = {"s1_s10_daily_json_roundtrip", "s11_upsert_history", "s12_extraction_run", "u12_incremental_job"}
-NESTED_LOOP_OK = {"p4_top_skus_rank_growth"}   # 10-row top-n broadcast against the per-SKU aggregate
+NESTED_LOOP_OK: set[str] = set()
 
 
 @pytest.fixture(scope="module")
