@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from orderlens.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orderlens.llm.pii import span_digest
+    return span_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -15,6 +20,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op4_token_counts": op4_token_counts,
 }
 
