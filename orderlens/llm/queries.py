@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from orderlens.llm.common import table
+from orderlens.session import scratch_path
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +22,25 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orderlens.llm.secrets import Ledger, span_digest
+    docs = table(spark, sf_dir, "documents")
+    ledger = Ledger(spark, scratch_path(spark, "llm", f"ledger-{uuid.uuid4().hex}"))
+    ledger.scan(docs)
+    return span_digest(ledger.findings(docs))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orderlens.llm.mixing import mix
+    return mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "epochs")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op4_token_counts": op4_token_counts,
+    "op9_secrets": op9_secrets,
+    "op10_mixing": op10_mixing,
 }
 
 SQL: dict[str, str] = {}
