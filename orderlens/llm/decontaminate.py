@@ -2,9 +2,10 @@
 
 Words are runs of ASCII letters and digits (A-Z lower-cased) and of all other
 characters from U+0080 on. An item's windows are its 10 consecutive words, or
-all of its words if there are fewer. Every document makes one row per word
-window and keeps those whose 64-bit hash is an item's; a hit counts only after
-its words have been compared. Hits are gathered per document as intervals.
+all of its words if there are fewer. A document's windows are hashed in place
+and looked up in a bitmap of the items' hashes; those found there become rows
+and are verified by joining the items' windows on their words. Hits are
+gathered per document as intervals.
 
 The item table is broadcast only while it has at most ``MAX_BROADCAST``
 windows; a larger one is joined by shuffle, where Spark splits skewed keys.
@@ -28,18 +29,35 @@ from orderlens.llm.common import ascii_lower, digest_of_strings, split_words, wr
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 MAX_BROADCAST = 400_000  # windows, about 100 bytes each
+MAX_CELLS = 1 << 16  # of 64 bits: 512 KB in the plan
 
 
 def words(text: Column) -> Column:
     return split_words(ascii_lower(text), NOT_WORD)
 
 
-def windows_of(words_: Column, n: int) -> Column:
-    """Array of (at, n, h): every run of ``n`` words by its place, from 1 on, and hash."""
+def windows_of(words_: Column, n: int, bits: Column, mask: int) -> Column:
+    """Array of (at, n, h): the runs of ``n`` words, by place from 1 on and hash, whose hash has its bit set."""
     last = F.size(words_) - n + 1
     starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"),
-                                                  F.xxhash64(F.slice(words_, i, F.lit(n))).alias("h")))
+    every = F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"),
+                                                   F.xxhash64(F.slice(words_, i, F.lit(n))).alias("h")))
+    cell = lambda h: F.get(bits, h.bitwiseAND(F.lit(mask)).cast("int"))
+    bit = lambda h: F.call_function("shiftright", cell(h), F.shiftrightunsigned(h, 58).cast("int"))
+    return F.filter(every, lambda s: bit(s["h"]).bitwiseAND(F.lit(1).cast("long")) == 1)
+
+
+def hash_bits(items: DataFrame, n_windows: int) -> tuple[Column, int]:
+    """A set of the windows' hashes as a bitmap literal: one cell of 64 bits per window, at most ``MAX_CELLS``.
+
+    It only spares rows: what passes is joined with the windows themselves. Beyond that size it passes more.
+    """
+    cells = min(MAX_CELLS, 1 << max(6, n_windows.bit_length()))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))")
+    rows = (items.select(F.col("h").bitwiseAND(F.lit(cells - 1)).cast("int").alias("cell"), bit.alias("bit"))
+            .groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect())  # at most ``cells`` rows
+    table = dict.fromkeys(range(cells), 0) | {r.cell: r.bits for r in rows}
+    return F.split(F.lit(",".join(map(str, table.values()))), ",").cast("array<bigint>"), cells - 1
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -59,25 +77,28 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max
     """
     items = written(item_windows(benchmark, window), "items")
     lengths = sorted(r.n for r in items.select("n").distinct().collect())  # at most ``window`` values
-    marker = docs.sparkSession.createDataFrame([(0, 0, "")], "n int, h long, run string")
-    known = items.select("n", "h", "run").distinct().unionByName(marker)
-    if items.count() <= max_broadcast:
+    marker = docs.sparkSession.range(1).select(F.lit(0).alias("_n"), F.lit(0).cast("long").alias("_h"), F.lit("").alias("_run"))
+    n_windows = items.count()
+    bits, mask = hash_bits(items, n_windows)
+    known = items.select(F.col("n").alias("_n"), F.col("h").alias("_h"), F.col("run").alias("_run")).distinct()
+    known = known.unionByName(marker)
+    if n_windows <= max_broadcast:
         known = F.broadcast(known)
-    known = known.select(F.col("n").alias("_n"), F.col("h").alias("_h"), F.col("run").alias("_run"))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text_hash"),
                        words(F.col(text_col)).alias("_w"))
-    counted = F.array(F.struct(F.size("_w").alias("at"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("h")))
-    every = F.concat(counted, *(windows_of(F.col("_w"), n) for n in lengths))
-    found = rows.select("_id", "_text_hash", "_w", F.inline(every))
-    same = (found["h"] == known["_h"]) & (found["n"] == known["_n"])
-    hits = found.join(known, same).filter(
-        (F.col("n") == 0) | (F.array_join(F.slice("_w", F.greatest("at", F.lit(1)), F.col("n")), " ") == F.col("_run")))
-    hits = hits.select("_id", "_text_hash", "at", "n", F.when(F.col("n") > 0, F.col("_run")).alias("run"))
+    rows = rows.select("*", F.concat(F.array().cast("array<struct<at:int,n:int,h:bigint>>"),
+                                     *(windows_of(F.col("_w"), n, bits, mask) for n in lengths)).alias("_found"))
+    with_words = F.transform("_found", lambda s: F.struct(
+        s["at"].alias("at"), s["n"].alias("n"), s["h"].alias("h"), F.array_join(F.slice("_w", s["at"], s["n"]), " ").alias("run")))
+    counted = F.array(F.struct(F.size("_w").alias("at"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("h"),
+                               F.lit("").alias("run")))
+    found = rows.select("_id", "_text_hash", F.inline(F.concat(counted, with_words)))
+    hits = found.join(known, (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n")) & (F.col("run") == F.col("_run")))
     by_doc = hits.groupBy("_id", "_text_hash").agg(
         F.max(F.when(F.col("n") == 0, F.col("at"))).cast("long").alias("n_words"),
         F.sort_array(F.collect_set(F.when(F.col("n") > 0, F.struct("at", (F.col("at") + F.col("n")).alias("end")))))
         .alias("hits"),
-        F.collect_set("run").alias("_runs"))  # bounded by one document's words
+        F.collect_set(F.when(F.col("n") > 0, F.col("run"))).alias("_runs"))  # bounded by one document's words
     by_doc = written(by_doc, "hits")
     # items by the runs that a document holds: each run once per document
     told = (by_doc.select(F.col("_id").alias("_id2"), F.col("_text_hash").alias("_hash2"), F.explode("_runs").alias("run"))

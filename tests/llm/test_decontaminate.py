@@ -37,7 +37,7 @@ ITEMS = [(1, "One two three four five six seven eight nine ten eleven"), (2, "SH
          (3, None), (4, ""), (5, "éÉ ÀB"), (None, "no id here"), (2, "short item"), (6, "two three " * 8)]
 DOCS = [(20, "zero one two three four five six seven eight nine ten, eleven twelve"), (21, "short-item short item"),
         (22, "éÉ àb ÉÉ Àb éÉ àB éÉ ÀB"), (23, "two three " * 40), (24, "one two three four five six seven eight nine"),
-        (25, "no id here " * 3), (26, "x " * 40000 + "short item")]
+        (25, "no id here " * 3), (26, "x " * 20000 + "short item")]
 
 
 @pytest.fixture()
