@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import decontaminate
+from orderlens.llm import decontaminate, line_dedup
 from orderlens.llm.common import table
 from orderlens.session import scratch_path
 
@@ -32,6 +32,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orderlens.llm.secrets import Ledger, span_digest
     docs = table(spark, sf_dir, "documents")
@@ -51,10 +55,12 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_quality": op3_quality,
     "op4_token_counts": op4_token_counts,
+    "op5_line_dedup": op5_line_dedup,
     "op9_secrets": op9_secrets,
     "op10_mixing": op10_mixing,
 }
 
 SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE_SQL,
+    "op5_line_dedup": line_dedup.ORACLE_SQL,
 }
