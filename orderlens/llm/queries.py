@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import decontaminate, line_dedup
+from orderlens.llm import decontaminate, line_dedup, near_dups
 from orderlens.llm.common import table
 from orderlens.session import scratch_path
 
@@ -36,6 +36,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.component_rows(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orderlens.llm.secrets import Ledger, span_digest
     docs = table(spark, sf_dir, "documents")
@@ -56,6 +60,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
+    "op8_near_dups": op8_near_dups,
     "op9_secrets": op9_secrets,
     "op10_mixing": op10_mixing,
 }
