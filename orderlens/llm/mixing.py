@@ -101,19 +101,22 @@ def best_counts(sizes: list[int], counts: list[int], budget: int, enough: int) -
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17,
-        slack: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, epochs, taken) per row of ``docs``.
+        slack: int = 4096, keep: tuple[str, ...] | None = None, id_col: str = "doc_id", text_col: str = "text",
+        source_col: str = "source") -> DataFrame:
+    """(row, source, size, source_size, target, epochs, taken) per row of ``docs``, whose columns ``keep`` (all if not
+    given) are the struct ``row``.
 
     ``epochs``: how often the document is taken; ``taken``: that times its size. ``slack``: the words that the
     knapsack handles at most, which bounds its memory.
     """
     top = int(cap)
-    rows = written(docs.select(
-        F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_hash")), "mix")
+    row = F.struct(*(keep or ["*"])).alias("row")
+    rows = docs.select(row, F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
+                       F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_hash"))
     rows = (rows.withColumn("_prefix", F.shiftrightunsigned("_hash", 52).cast("int"))
             .withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))  # a null source joins too
-    by_size = written(rows.groupBy("_key", "source", "size").agg(F.count("*").alias("n")), "mix-sizes")
+    counts = written(rows.groupBy("_key", "source", "size", "_prefix").agg(F.count("*").alias("n")), "mix-counts")
+    by_size = written(counts.groupBy("_key", "source", "size").agg(F.sum("n").alias("n")), "mix-sizes")
     goal = targets(by_size.groupBy("_key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")),
                    weights, share, cap)
 
@@ -132,13 +135,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
             fitted, "_key string, size long, source_size long, target double, base long, more long"), "mix-plan")
     # the hash prefix in which a size's quota ends, and how much of it is still open there
     run = Window.partitionBy("_key", "size").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    prefixes = (rows.groupBy("_key", "size", "_prefix").agg(F.count("*").alias("_n"))
-                .withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0))).drop("_n"))
+    prefixes = counts.withColumn("_before", F.coalesce(F.sum("n").over(run), F.lit(0))).drop("n", "source")
     quota = (prefixes.join(plan, ["_key", "size"])
              .select("_key", "size", "_prefix", "source_size", "target", "base", (F.col("more") - F.col("_before")).alias("_open")))
     rank = Window.partitionBy("_key", "size", "_prefix").orderBy("_hash", F.col("_id").asc_nulls_last())
     more = (F.row_number().over(rank) <= F.col("_open")).cast("long")
     chosen = rows.join(quota, ["_key", "size", "_prefix"]).withColumn("_more", more)
     epochs = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("base") + F.col("_more")).cast("long")
-    return chosen.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", epochs.alias("epochs"),
+    return chosen.select("row", "source", "size", "source_size", "target", epochs.alias("epochs"),
                          (epochs * F.col("size")).alias("taken"))

@@ -50,8 +50,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orderlens.llm.mixing import mix
-    return mix(table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken", "source", "epochs")
+    return mix(table(spark, sf_dir, "documents"), keep=("doc_id",)).select(
+        "row.doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
 QUERIES = {

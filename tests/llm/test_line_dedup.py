@@ -13,14 +13,17 @@ def key(line):
     return line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
 
 
-def brute(docs):
+def owners(docs):
     held = {}
     for r, (i, text) in enumerate(docs):
         for line in set(map(key, (text or "").split("\n"))):
             if len(line) >= 20:
                 held.setdefault(line, []).append(i)
-    owner = {k: max((x for x in ids if x is not None), default=None) for k, ids in held.items() if len(ids) >= 3}
-    out = []
+    return {k: max((x for x in ids if x is not None), default=None) for k, ids in held.items() if len(ids) >= 3}
+
+
+def brute(docs):
+    owner, out = owners(docs), []
     for i, text in docs:
         lines = (text or "").split("\n")
         kept = [x for x in lines if owner.get(key(x)) is None or owner[key(x)] == i]

@@ -34,7 +34,7 @@ def check(rows, got, slack=4096):
         assert r.source_size == size[r.source] and r.target == pytest.approx(want[r.source])
         assert r.taken in (0, r["size"], 2 * r["size"])
         taken[r.source] += r.taken
-    assert sorted((str(r.doc_id), r["size"]) for r in got) == sorted((str(i), len((t or "").split())) for i, t, _ in rows)
+    assert sorted((str(r.row.doc_id), r["size"]) for r in got) == sorted((str(i), len((t or "").split())) for i, t, _ in rows)
     return {s: want[s] - taken[s] for s in size}
 
 
