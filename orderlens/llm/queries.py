@@ -36,6 +36,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orderlens.llm.html_text import extracted
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.component_rows(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
+    "op7_html_text": op7_html_text,
     "op8_near_dups": op8_near_dups,
     "op9_secrets": op9_secrets,
     "op10_mixing": op10_mixing,
