@@ -23,7 +23,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, "llm", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    freed = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # the table stands in for the shuffles behind it
+    before = spark.conf.get(freed)
+    spark.conf.set(freed, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(freed, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -36,6 +36,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orderlens.llm.suffix_dedup import removal_digest
+    return removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orderlens.llm.html_text import extracted
     return extracted(table(spark, sf_dir, "pages"))
@@ -65,6 +70,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_html_text": op7_html_text,
     "op8_near_dups": op8_near_dups,
     "op9_secrets": op9_secrets,
