@@ -24,6 +24,10 @@ SELECT state, payment_mode, COUNT(*) AS rows FROM ol
 WHERE LOWER(COALESCE(payment_mode, '')) LIKE '%paid%' AND COALESCE(item_quantity, 0) >= 10
   AND (order_status IS DISTINCT FROM 'RTO') AND state IN ('NATION_1', 'NATION_2', 'NATION_3')
 GROUP BY 1, 2"""
+    q["f4_posted_text_money"] = f"""{BASE},
+n AS (SELECT order_id, SUM(item_quantity) AS order_quantity FROM ol GROUP BY order_id)
+SELECT state, COUNT(*) AS orders FROM od JOIN n ON od.order_id = n.order_id
+WHERE total_amount >= 50000 AND total_amount < 250000.5 AND order_quantity <> 33 GROUP BY state"""
     q["f5_nested_predicate_filter"] = f"""{BASE},
 m AS (SELECT order_id FROM li GROUP BY order_id
       HAVING bool_or(regexp_extract(sku, '_([^_]*)$', 1) = '7')

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from orderlens.plans import catalog as C
+
 from .base import ORDER_LINES, dround
 
 P = f"""WITH ol AS ({ORDER_LINES}),
@@ -108,4 +110,16 @@ FROM p GROUP BY 1, 3"""
     q["u10_rolling"] = rolling()
     q["u11_merge_incremental"] = daily
     q["u12_incremental_job"] = daily
+    late, split = f"TIMESTAMP '{C.U_LATE_FROM} 00:00:00'", f"TIMESTAMP '{C.U_SPLIT} 00:00:00'"
+    two_runs = f"""{P}, late AS (SELECT DISTINCT canonical_sku FROM p WHERE order_date >= {late}),
+q AS (SELECT *, sp * (qty + 1) AS rev, qty + 1 AS units, TRUE AS again FROM p WHERE order_date >= {late}
+      UNION ALL SELECT *, sp * qty AS rev, qty AS units, FALSE AS again FROM p WHERE order_date < {split}),
+last AS (SELECT * FROM q WHERE again OR canonical_sku NOT IN (SELECT canonical_sku FROM late))"""
+    q["u12_breakdowns_after_two_runs"] = f"""{two_runs}
+SELECT canonical_sku, 'payment' AS breakdown, payment_mode AS key, {r2('SUM(rev)')} AS revenue FROM last GROUP BY 1, 3
+UNION ALL
+SELECT canonical_sku, 'size' AS breakdown, parsed_size AS key, {r2('SUM(rev)')} AS revenue FROM last GROUP BY 1, 3"""
+    q["u12_daily_new_values_win"] = f"""{two_runs}
+SELECT canonical_sku, strftime(day, '%Y-%m-%d') AS day, {r2('SUM(units)')} AS units_sold,
+  COUNT(DISTINCT order_id) AS orders, {r2('SUM(rev)')} AS revenue FROM q GROUP BY canonical_sku, day"""
     return q

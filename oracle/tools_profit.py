@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from orderlens.plans import catalog as C
+from orderlens.schema import HISTORY_EXTRA_TYPES, HISTORY_TYPES
 
 from .base import ORDER_LINES, PAYMENT_CYCLE, VENDOR_COST_SHEET, money, pct, ratio
 
@@ -29,20 +30,25 @@ def _geo() -> str:
 
 
 def _profile() -> str:
-    types = {"order_status": "string", "payment_mode": "string", "order_type": "string", "state": "string",
-             "marketplace": "string", "courier": "string", "import_warehouse_name": "string",
-             "item_quantity": "bigint", "sku": "string"}
-    stacked = "\nUNION ALL\n".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS value FROM ol" for c in C.PROFILE_COLUMNS)
-    type_case = " ".join(f"WHEN '{c}' THEN '{types[c]}'" for c in C.PROFILE_COLUMNS)
+    money_ = lambda c: f"CAST({c} AS DECIMAL(18,4))"
+    cells = {"total_amount": money_("total_amount"), "mrp": money_("mrp"), "cost": money_("cost"), "selling_price": money_("mrp"),
+             "billing_state": "state", "suborder_model_no": "model_no",
+             "size": "NULLIF(regexp_extract(sku, '_([^_]*)$', 1), '')",
+             "invoice_id": "CAST(order_id AS VARCHAR) || '-' || CAST(line_no AS VARCHAR)"}
+    there = {"order_id", "order_date", "item_quantity", "sku", "order_status", "payment_mode", "order_type", "state",
+             "marketplace", "courier", "import_warehouse_name", "line_no", "pin_code", "raw_sku", "model_no",
+             "product_name", "brand", "load_ts", *cells}
+    types = {c: t.simpleString() for c, t in {**HISTORY_TYPES, **HISTORY_EXTRA_TYPES}.items()}
+    columns = [c for c in C.PROFILE_COLUMNS if c in there]   # the others are null in every row
+    stacked = "\nUNION ALL\n".join(f"SELECT '{c}' AS col, CAST({cells.get(c, c)} AS VARCHAR) AS value FROM ol" for c in columns)
+    type_case = " ".join(f"WHEN '{c}' THEN '{types[c]}'" for c in columns)
     return f"""{R},
 s AS ({stacked}),
 cnt AS (SELECT col, value, COUNT(*) AS n FROM s WHERE value IS NOT NULL GROUP BY col, value),
-per AS (SELECT col, COUNT(*) AS distinct_count, SUM(n) AS non_null, MIN(value) AS example,
-        string_agg(value, '|' ORDER BY value) AS all_values FROM cnt GROUP BY col)
-SELECT col AS "column", CASE col {type_case} END AS dtype, CAST(non_null AS BIGINT) AS non_null, distinct_count,
-  example, distinct_count <= 20 AS is_categorical,
-  CASE WHEN distinct_count <= 50 THEN all_values END AS "values"
-FROM per"""
+per AS (SELECT col, COUNT(*) AS distinct_count, SUM(n) AS non_null, MIN(value) AS example FROM cnt GROUP BY col)
+SELECT per.col AS "column", CASE per.col {type_case} END AS dtype, CAST(non_null AS BIGINT) AS non_null, distinct_count,
+  example, distinct_count <= 20 AS is_categorical, value, n
+FROM per JOIN cnt ON per.col = cnt.col"""
 
 
 def _corr() -> str:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import operator
 from datetime import datetime
+from decimal import Decimal
 from typing import Any, Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -91,12 +92,25 @@ def predicate(field: str, op: str, value: Any) -> Column:
 
     Text ``eq`` / ``contains`` compare case-insensitively with a missing value
     read as ''; ``ne`` is null-safe; ordered comparisons read a missing value
-    as 0; an unknown operator is an error.
+    as 0; a number compares with cells that read as numbers, whatever the column's
+    type; an unknown operator is an error.
     """
     c = _c(field)
+    text = F.lower(F.coalesce(c.cast("string"), F.lit("")))
+    if isinstance(value, (int, float, Decimal)) and not isinstance(value, bool):
+        # per cell, as numbers where the cell reads as one: text columns hold money, too
+        number = c.cast("string").try_cast("decimal(38,10)") if not isinstance(value, float) else c.cast("string").try_cast("double")
+        other = F.lit(Decimal(value)).cast("decimal(38,10)") if not isinstance(value, float) else F.lit(value)
+        if op == "eq":
+            return F.coalesce(number == other, F.lit(False))
+        if op == "ne":
+            return ~F.coalesce(number == other, F.lit(False))
+        if op in ("gt", "lt", "gte", "lte"):
+            lhs = F.coalesce(number, F.lit(0).cast("decimal(38,10)") if not isinstance(value, float) else F.lit(0.0))
+            return {"gt": lhs > other, "lt": lhs < other, "gte": lhs >= other, "lte": lhs <= other}[op]
     if op == "eq":
         if isinstance(value, str):
-            return F.lower(F.coalesce(c.cast("string"), F.lit(""))) == value.lower()
+            return text == value.lower()
         return F.coalesce(c == F.lit(value), F.lit(False))
     if op == "ne":
         return ~c.eqNullSafe(F.lit(value))
@@ -107,7 +121,11 @@ def predicate(field: str, op: str, value: Any) -> Column:
         needle = "" if value is None else str(value).lower()
         return F.lower(F.coalesce(c.cast("string"), F.lit(""))).contains(needle)
     if op == "in":
-        return F.coalesce(c.isin(_as_list(value)), F.lit(False))
+        members = _as_list(value)
+        numbers = [v for v in members if isinstance(v, (int, float)) and not isinstance(v, bool)]
+        others = [v for v in members if v not in numbers]
+        found = F.coalesce(c.isin(others), F.lit(False)) if others else F.lit(False)
+        return functools.reduce(operator.or_, [predicate(field, "eq", v) for v in numbers], found)
     raise ValueError(f"unknown filter operator {op!r}; expected one of {OPERATORS}")
 
 

@@ -169,13 +169,14 @@ def common_metrics(df: DataFrame) -> DataFrame:
         F.round(q[0.75], 2).alias("amount_q75"))
 
 
-def column_profile(df: DataFrame, max_listed: int = 50, categorical_max: int = 20) -> DataFrame:
-    """Per column type, non-null count, distinct count, example, categorical flag
-    and (for columns with at most ``max_listed`` distinct values) the value list.
+def column_profile(df: DataFrame, categorical_max: int = 20) -> DataFrame:
+    """One row per column and value (nulls are left out): the value's count beside the column's type,
+    non-null count, distinct count, example (its least value) and categorical flag.
 
     All columns are stacked into ``(column, value)`` and counted in one
-    shuffle; value lists are collected only for groups proven small
-    (distinct ≤ max_listed), so no unbounded group is gathered.
+    shuffle, with partial counts before it; the columns' own numbers come from
+    those counts. No list of values is gathered, so a column may have any
+    number of them.
     """
     types = dict(df.dtypes)
     stacked = df.select(F.explode(F.array(*[
@@ -184,13 +185,10 @@ def column_profile(df: DataFrame, max_listed: int = 50, categorical_max: int = 2
         F.count(F.lit(1)).alias("n"))
     per = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"), F.sum("n").alias("non_null"),
                                        F.min("value").alias("example"))
-    small = (counts.join(per.where(F.col("distinct_count") <= max_listed).select("column"), "column", "left_semi")
-             .groupBy("column").agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("values")))
     type_map = F.create_map(*[x for c in df.columns for x in (F.lit(c), F.lit(types[c]))])
-    return (per.join(small, "column", "left")
+    return (counts.join(F.broadcast(per), "column")   # one row per column of the table
             .select("column", F.element_at(type_map, F.col("column")).alias("dtype"), "non_null", "distinct_count",
-                    "example", (F.col("distinct_count") <= categorical_max).alias("is_categorical"),
-                    F.array_join(F.transform("values", lambda s: s["value"]), "|").alias("values")))
+                    "example", (F.col("distinct_count") <= categorical_max).alias("is_categorical"), "value", "n"))
 
 
 def custom_metric(df: DataFrame, expression: str, name: str = "custom_metric") -> DataFrame:

@@ -42,7 +42,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_history(spark, sf_dir)
 
 
-_FETCHED: dict[tuple, DataFrame] = {}
+_FETCHED: dict[tuple, tuple[DataFrame, DataFrame]] = {}   # the table's handle, held so that its id isn't given again
 
 
 def fetched(spark: SparkSession, sf_dir: str, req: HistoryRequest | None = None,
@@ -52,9 +52,12 @@ def fetched(spark: SparkSession, sf_dir: str, req: HistoryRequest | None = None,
     req = req or full_request()
     h = history(spark, sf_dir)
     key = (id(h), req.start, req.end, repr(sorted(req.filters.items())), tuple(extra_cols))
-    if key not in _FETCHED:
-        _FETCHED[key] = fetch(h, req, extra_cols)
-    return _FETCHED[key]
+    hit = _FETCHED.get(key)
+    if hit is None or hit[0] is not h:
+        for old in [k for k, (handle, _) in _FETCHED.items() if handle is not h and k[1:] == key[1:]]:
+            del _FETCHED[old]   # plans over a table that has been read anew
+        hit = _FETCHED[key] = (h, fetch(h, req, extra_cols))
+    return hit[1]
 
 
 # ---- K: KPI bundle and cards ----------------------------------------------
@@ -150,11 +153,11 @@ for _key, _fn in [
 
 # ---- T: callable metric functions (raw order lines) ------------------------
 from ..operators import paycycle, profit, stats  # noqa: E402
+from ..schema import HISTORY_EXTRA_TYPES, HISTORY_TYPES  # noqa: E402
 from ..sources.tables import payment_cycle_sheet, vendor_cost_sheet  # noqa: E402
 
 CORR_FIELDS = ["total_amount", "item_quantity", "mrp", "cost"]
-PROFILE_COLUMNS = ["order_status", "payment_mode", "order_type", "state", "marketplace", "courier",
-                   "import_warehouse_name", "item_quantity", "sku"]
+PROFILE_COLUMNS = [*HISTORY_TYPES, *HISTORY_EXTRA_TYPES]   # every declared column
 CUSTOM_EXPR = "ROUND(CAST(SUM(total_amount) AS DOUBLE) / COUNT(DISTINCT order_id), 2)"
 
 register("t1_aov")(lambda s, d: stats.aov(history(s, d)))
@@ -234,6 +237,7 @@ from .profile_job import run_profile_job  # noqa: E402
 
 U_SPLIT = "1999-01-01"          # second incremental run re-reads from one month before this day
 U_RERUN_FROM = "1998-12-01"
+U_LATE_FROM = "2001-07-01"      # a second run over the last days alone: few SKUs
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,6 +280,37 @@ def _u12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+def _two_profile_runs(spark: SparkSession, sf_dir: str) -> str:
+    """Two runs: the days before U_SPLIT, then those from U_LATE_FROM on with one more of every item."""
+    import uuid as _uuid
+    from ..session import scratch_path
+    root = scratch_path(spark, "orderlens-profiles", _uuid.uuid4().hex)
+    h = history(spark, sf_dir)
+    run_profile_job(spark, h.where(F.col("order_date") < F.lit(U_SPLIT).cast("timestamp_ntz")), root, "1999-01-01")
+    run_profile_job(spark, h.withColumn("item_quantity", F.col("item_quantity") + 1), root, "2002-01-01", since=U_LATE_FROM)
+    return root
+
+
+@register("u12_breakdowns_after_two_runs")
+def _u12b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a second run over the last days alone: every SKU's payment and size breakdown, of its last run."""
+    from ..sources import state as _state
+    root = _two_profile_runs(spark, sf_dir)
+    payment = _state.read_table(spark, root, "payment").select(
+        U.KEY, F.lit("payment").alias("breakdown"), F.col("payment_mode").alias("key"), F.col("revenue"))
+    size = _state.read_table(spark, root, "size").select(
+        U.KEY, F.lit("size").alias("breakdown"), F.col("size").alias("key"), F.col("revenue"))
+    return payment.unionByName(size)
+
+
+@register("u12_daily_new_values_win")
+def _u12c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily table after the second run: its days hold the changed quantities, earlier days the first ones."""
+    from ..sources import state as _state
+    daily = _state.read_table(spark, _two_profile_runs(spark, sf_dir), "daily")
+    return daily.select(U.KEY, F.date_format("day", "yyyy-MM-dd").alias("day"), "units_sold", "orders", "revenue")
+
+
 register("u13_profile_export")(lambda s, d: U.profile_export(
     U.daily_series(prepared(s, d)), U.cumulative(prepared(s, d))))
 
@@ -345,6 +380,9 @@ F4_SPECS = [{"field": "payment_mode", "operator": "contains", "value": "PAID"},
             {"field": "item_quantity", "operator": "gte", "value": 10},
             {"field": "order_status", "operator": "ne", "value": "RTO"},
             {"field": "state", "operator": "in", "value": ["NATION_1", "NATION_2", "NATION_3"]}]
+F4_TEXT_SPECS = [{"field": "total_amount", "operator": "gte", "value": 50000},
+                 {"field": "total_amount", "operator": "lt", "value": 250000.5},
+                 {"field": "order_quantity", "operator": "ne", "value": 33}]
 F5_SPECS = [{"field": "size", "operator": "eq", "value": "7"},
             {"field": "mrp", "operator": "gt", "value": 1500},
             {"field": "sku", "operator": "contains", "value": "yce_"}]
@@ -354,6 +392,8 @@ register("f3_day_filter_orders")(lambda s, d: fetched(s, d, full_request(order_d
     F.date_format("order_date", "yyyy-MM-dd").alias("day")).agg(F.countDistinct("order_id").alias("orders")))
 register("f4_predicate_filter")(lambda s, d: FL.apply_filters(history(s, d), F4_SPECS).groupBy("state", "payment_mode")
                                 .agg(F.count(F.lit(1)).alias("rows")))
+register("f4_posted_text_money")(lambda s, d: FL.apply_filters(docs(s, d), F4_TEXT_SPECS).groupBy("state")
+                                 .agg(F.count(F.lit(1)).alias("orders")))
 register("f5_nested_predicate_filter")(lambda s, d: FL.apply_filters(
     docs(s, d), F5_SPECS, nested_fields=["size", "mrp", "sku"]).agg(F.count(F.lit(1)).alias("orders")))
 register("f8_state_pincodes")(lambda s, d: docs(s, d).where(FL.state_equals("NATION_11")).groupBy("pin_code")

@@ -1,13 +1,14 @@
 """Spark session helpers.
 
 The cluster owns ``spark.checkpoint.dir`` (a shared folder). We only read it;
-a private folder is created only when the setting is absent (unit tests on a
-laptop).
+a private folder is made only in local mode, when the setting is absent. On a
+cluster an absent setting is an error, since executors' own disks aren't shared.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -44,13 +45,15 @@ def build_session(master: str | None = None, app_name: str = "orderlens",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a private one only if unset."""
+    """The shared checkpoint folder that the cluster names; a private one only in local mode, where it is unset."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="orderlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

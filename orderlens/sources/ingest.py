@@ -9,6 +9,8 @@ into a versioned Parquet table where the newest row per ``invoice_id`` wins.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +25,14 @@ def _pick(*cols: Column) -> Column:
     return F.coalesce(*[F.when(c.cast("string") != "", c) for c in cols])
 
 
-def project_orders(docs: DataFrame, source_tag: str, source_month: str, key: str = PRIMARY_KEY) -> DataFrame:
-    """C4: one flat row per order; suborder fields come from the FIRST suborder.
+def project_orders(docs: DataFrame, source_tag: str | Column, source_month: str | Column, key: str = PRIMARY_KEY,
+                   extra: tuple[str, ...] = ()) -> DataFrame:
+    """C4: one flat row per order; suborder fields come from the FIRST suborder. ``extra`` columns are carried along.
 
     ``get(suborders, 0)`` is null for an empty or missing array. A row without
     the primary key fails the job (the source raises for it too).
     """
+    tag, month = (c if isinstance(c, Column) else F.lit(c) for c in (source_tag, source_month))
     first = F.get(F.col("suborders"), 0)
     sku = _pick(first["sku"])
     suborder_sku = _pick(first["sku"])
@@ -38,7 +42,7 @@ def project_orders(docs: DataFrame, source_tag: str, source_month: str, key: str
     checked_key = F.when(k.isNull() | (k == ""), F.raise_error(F.lit(f"order is missing required primary key '{key}'"))) \
         .otherwise(k)
     return docs.select(
-        checked_key.alias(key), F.lit(source_tag).alias("source_file"), F.lit(source_month).alias("source_month"),
+        checked_key.alias(key), tag.alias("source_file"), month.alias("source_month"), *extra,
         "order_id", "order_date", "total_amount",
         _pick(first["item_quantity"]).alias("item_quantity"),
         _pick(first["model_no"]).alias("suborder_model_no"),
@@ -54,36 +58,47 @@ def project_orders(docs: DataFrame, source_tag: str, source_month: str, key: str
 
 
 def upsert(stored: DataFrame | None, new: DataFrame, key: str = PRIMARY_KEY, order_col: str = "_load_seq") -> DataFrame:
-    """Newest row per key wins (later batch first, then ``order_col``, then the row itself).
+    """The last write per key wins: a later batch over the stored rows, then the greatest ``order_col`` (the load
+    position: a day, file, place in it), then, among rows without one, the row itself.
 
     One aggregation over the union — no join and no per-key collection; a hot
     key is reduced map-side to one candidate per task before the shuffle.
     """
     cols = [c for c in new.columns if c not in (key, order_col)]
+    position = new.schema[order_col].dataType if order_col in new.columns else None
+
     def tag(df: DataFrame, prio: int) -> DataFrame:
-        seq = F.col(order_col) if order_col in df.columns else F.lit(0)
-        return df.select(key, F.struct(F.lit(prio).alias("_p"), seq.cast("long").alias("_s"),
-                                       F.struct(*cols).alias("_row")).alias("_v"))
+        seq = (F.lit(0) if position is None else
+               F.col(order_col) if order_col in df.columns else F.lit(None).cast(position))
+        return df.select(key, F.struct(F.lit(prio).alias("_p"), seq.alias("_s"), F.struct(*cols).alias("_row")).alias("_v"))
     parts = tag(new, 1) if stored is None else tag(stored, 0).unionByName(tag(new, 1))
     return parts.groupBy(key).agg(F.max("_v").alias("_v")).select(key, "_v._row.*")
 
 
+def with_load_position(landed: DataFrame) -> DataFrame:
+    """Where a landed document stands: its day, file, block and place in the block, later ones greater."""
+    return landed.withColumn("_load_seq", F.struct(
+        F.col("day").alias("day"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
+
+
 def run_extraction(spark: SparkSession, docs: DataFrame, landing: str, table_root: str,
                    start_day: str, end_day: str, source_tag: str = "orders") -> DataFrame:
     """Land the day range, project, upsert into the history table; per-day counters.
 
-    Returns ``(day, orders_landed, rows_upserted)``; the upserted table is
-    committed as a new version under ``table_root``.
+    Every row carries the month and file name (``<source_tag>_<day>``) of its own day. Returns
+    ``(day, orders_landed, rows_upserted)``; the upserted table is committed as a new version,
+    unique to the run, under ``table_root``.
     """
     ts = F.col("order_date").cast("string").try_cast("timestamp_ntz")
     in_range = docs.where((F.to_date(ts) >= F.lit(start_day)) & (F.to_date(ts) <= F.lit(end_day)))
     write_daily_json(in_range, landing)
-    landed = read_daily_orders(spark, landing, start_day, end_day)
-    projected = project_orders(landed.drop("month"), source_tag, source_month=start_day[:7]) \
-        .withColumn("day", F.date_format(F.col("order_date").try_cast("timestamp_ntz"), "yyyy-MM-dd"))
+    landed = with_load_position(read_daily_orders(spark, landing, start_day, end_day))
+    day = F.col("day")
+    projected = project_orders(landed, F.concat_ws("_", F.lit(source_tag), day), F.substring(day, 1, 7),
+                               extra=("day", "_load_seq"))
     stored = state.read_table(spark, table_root, "history")
     merged = upsert(stored, projected)
-    version = f"{start_day}_{end_day}"
-    state.write_tables(spark, table_root, version, {"history": merged})
+    state.write_tables(spark, table_root, f"{start_day}_{end_day}-{uuid.uuid4().hex[:8]}", {"history": merged})
     counts = landed.groupBy("day").agg(F.count(F.lit(1)).alias("orders_landed"))
     return counts.join(projected.groupBy("day").agg(F.countDistinct(PRIMARY_KEY).alias("rows_upserted")), "day", "left")

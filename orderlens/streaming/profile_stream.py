@@ -10,12 +10,16 @@ Exactness: a day's rows may arrive over several batches (late data). Each
 batch lands its prepared rows under ``landed_rows/batch=<id>/day=<day>``
 (dynamic partition overwrite, so a retried batch rewrites only itself); the
 (SKU, day) keys it touches are then recomputed from every landed row of those
-days — the ``day`` partition filter prunes the scan to the touched days — and
-replace the stored rows of those keys in a new table version.
+keys and replace the stored rows in a new table version. A version's folder
+name is unique to the attempt; a batch whose version is committed is skipped,
+so a retry after the commit changes nothing and a retry before it never meets
+the folder that the first attempt left.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,15 +29,15 @@ from ..sources import state
 
 def merge_landed_batch(spark: SparkSession, root: str, batch_id: int) -> None:
     """Recompute the (SKU, day) keys touched by ``batch_id`` and commit a new daily version."""
-    landed = spark.read.parquet(f"{root}/landed_rows")
-    this = landed.where(F.col("batch") == batch_id)
-    touched_days = [r["day"] for r in this.select("day").distinct().collect()]   # ≤ days in one batch
-    touched = U.daily_series(this.drop("batch")).select(U.KEY, "day")
-    rows = landed.where(F.col("day").isin(touched_days)).drop("batch")
-    recomputed = U.daily_series(rows).join(touched, [U.KEY, "day"], "left_semi")
+    name = f"batch-{batch_id:012d}"
+    if state.is_committed(spark, root, f"{name}-"):
+        return
+    landed = spark.read.parquet(f"{root}/landed_rows").where(F.col("batch") <= batch_id)
+    touched = landed.where(F.col("batch") == batch_id).select(U.KEY, "day").distinct()
+    recomputed = U.daily_series(landed.join(touched, [U.KEY, "day"], "left_semi").drop("batch"))
     old = state.read_table(spark, root, "daily")
     daily = recomputed if old is None else old.join(touched, [U.KEY, "day"], "left_anti").unionByName(recomputed)
-    state.write_tables(spark, root, f"batch-{batch_id:012d}", {"daily": daily})
+    state.write_tables(spark, root, f"{name}-{uuid.uuid4().hex[:8]}", {"daily": daily})
 
 
 def start_profile_stream(spark: SparkSession, history_path: str, history_schema, root: str, checkpoint: str,

@@ -1,7 +1,9 @@
 """Incremental jobs: merge idempotence, two-run job == one-shot, streaming == batch."""
 
+import os
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from orderlens.operators import sku_profiles as U
@@ -59,12 +61,40 @@ def test_streaming_available_now_matches_batch(spark, tmp_dir):
     assert _rows(got) == _rows(U.daily_series(U.prepare(h)))
 
 
+def test_retried_stream_batch_changes_nothing(spark, tmp_dir):
+    from orderlens.streaming.profile_stream import merge_landed_batch
+    h = _history(spark)
+    rows = U.prepare(h).withColumn("batch", F.lit(0))
+    rows.write.partitionBy("batch", "day").parquet(tmp_dir + "/landed_rows")
+    merge_landed_batch(spark, tmp_dir, 0)
+    before, version = _rows(state.read_table(spark, tmp_dir, "daily")), state.current_version(spark, tmp_dir)
+    merge_landed_batch(spark, tmp_dir, 0)   # the stream retries a batch that had been committed
+    assert state.current_version(spark, tmp_dir) == version
+    assert _rows(state.read_table(spark, tmp_dir, "daily")) == before == _rows(U.daily_series(U.prepare(h)))
+
+
+def test_a_version_is_never_overwritten(spark, tmp_dir):
+    df = spark.range(3)
+    state.write_tables(spark, tmp_dir, "v1", {"t": df})
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        state.write_tables(spark, tmp_dir, "v1", {"t": df})
+
+
+def test_only_a_missing_path_means_no_table(spark, tmp_dir):
+    assert state.read_table(spark, tmp_dir + "/none", "t") is None
+    os.makedirs(tmp_dir + "/_current")
+    with open(tmp_dir + "/_current/part-0.parquet", "wb") as f:
+        f.write(b"not a table")
+    with pytest.raises(Exception):
+        state.current_version(spark, tmp_dir)
+
+
 def test_presets_snapshot(spark, tmp_dir):
     today = datetime(2001, 7, 31, 12)
     assert resolve_preset("2001-07-02", "2001-07-31", None, today) == PRESET_30D
     assert resolve_preset("2001-07-02", "2001-07-31", {"state": "x"}, today) is None
     h = _history(spark)
-    precompute_presets(h, tmp_dir, "history", today, "v1", all_time_start="1995-01-01 00:00:00")
-    precompute_presets(h, tmp_dir, "history", today, "v2", all_time_start="1995-01-01 00:00:00")
+    precompute_presets(h, tmp_dir, "history", today, "v9", all_time_start="1995-01-01 00:00:00")
+    precompute_presets(h, tmp_dir, "history", today, "v10", all_time_start="1995-01-01 00:00:00")
     snap = state.read_latest_snapshot(spark, tmp_dir, "history", PRESET_30D)
-    assert snap.select("version").distinct().collect()[0][0] == "v2" and snap.count() == 9
+    assert snap.select("version").distinct().collect()[0][0] == "v10" and snap.count() == 9

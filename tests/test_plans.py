@@ -4,13 +4,14 @@ partition pruning on windowed queries; bounded hand broadcasts only."""
 
 import pytest
 
-import __spark_entry__ as E
+from orderlens.plans.catalog import REGISTRY
 from orderlens.sources.history import forget_history, materialize_history
 
 from conftest import SF_SMALL
 
 # queries that write scratch tables while being built (their plans are checked by running them elsewhere)
-SIDE_EFFECT = {"s1_s10_daily_json_roundtrip", "s11_upsert_history", "s12_extraction_run", "u12_incremental_job"}
+SIDE_EFFECT = {"s1_s10_daily_json_roundtrip", "s11_upsert_history", "s12_extraction_run", "u12_incremental_job", "u12_breakdowns_after_two_runs",
+               "u12_daily_new_values_win"}
 NESTED_LOOP_OK: set[str] = set()
 
 
@@ -22,12 +23,12 @@ def materialised(spark):
 
 
 def _plan(spark, key):
-    return E.queries()[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    return REGISTRY[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_no_cartesian_or_python_anywhere(spark, materialised):
     bad = {}
-    for key in sorted(set(E.queries()) - SIDE_EFFECT):
+    for key in sorted(set(REGISTRY) - SIDE_EFFECT):
         plan = _plan(spark, key)
         for node in ("CartesianProduct", "BatchEvalPython", "ArrowEvalPython"):
             if node in plan:
