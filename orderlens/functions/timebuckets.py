@@ -68,10 +68,10 @@ def with_bucket(df: DataFrame, grain: str, col: str = "order_date") -> DataFrame
 
 
 def finish_series(agg: DataFrame, grain: str) -> DataFrame:
-    """Replace ``_bucket`` by the ``bucket`` key (yyyy-MM-dd) and its chart ``label``."""
+    """Replace ``_bucket`` by the ``bucket`` key (yyyy-MM-dd) and its chart ``label``; rows come by bucket."""
     return (agg.withColumn("bucket", F.date_format("_bucket", "yyyy-MM-dd"))
             .withColumn("label", bucket_label(F.col("_bucket"), grain))
-            .drop("_bucket"))
+            .drop("_bucket").orderBy("bucket"))
 
 
 def growth_series(value: str, order_col: str = "bucket", partition: list[str] | None = None) -> Column:

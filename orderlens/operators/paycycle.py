@@ -49,8 +49,9 @@ def payment_cycle_metrics(sheet: DataFrame, volume_column: str | None = None) ->
 
 def high_risk_distributors(sheet: DataFrame, margin_threshold: float = RISK_MARGIN,
                            cycle_threshold: float = RISK_CYCLE) -> DataFrame:
-    """Margin > threshold and cycle > threshold; score = margin/100 · cycle/45."""
+    """Margin > threshold and cycle > threshold; score = margin/100 · cycle/45, highest first."""
     m, cyc = _n("margin"), _n("payment_cycle")
     return (sheet.where((m > margin_threshold) & (cyc > cycle_threshold))
             .select("party_name", F.col("margin"), F.col("payment_cycle"), F.col("cd"),
-                    F.round(m / 100.0 * (cyc / 45.0), 3).alias("risk_score")))
+                    F.round(m / 100.0 * (cyc / 45.0), 3).alias("risk_score"))
+            .orderBy(F.col("risk_score").desc(), "party_name"))

@@ -173,7 +173,7 @@ def _label(grain: str):
 
 def _finish(agg: DataFrame, grain: str) -> DataFrame:
     return agg.select(F.date_format("_b", "yyyy-MM-dd").alias("bucket"), _label(grain)(F.col("_b")).alias("label"),
-                      F.lit(grain).alias("grain"), *[c for c in agg.columns if c != "_b"])
+                      F.lit(grain).alias("grain"), *[c for c in agg.columns if c != "_b"]).orderBy("bucket")
 
 
 def volume_chart(docs: DataFrame) -> DataFrame:
@@ -218,4 +218,5 @@ def cancellation_chart(docs: DataFrame) -> DataFrame:
 def pincodes_in_state(docs: DataFrame, state: str) -> DataFrame:
     """Orders per pincode within one state (case-insensitive), most orders first."""
     return (docs.where(state_equals(state)).groupBy("pin_code").agg(F.count(F.lit(1)).alias("order_count"))
-            .select(F.col("pin_code").cast("string").alias("pin_code"), "order_count"))
+            .select(F.col("pin_code").cast("string").alias("pin_code"), "order_count")
+            .orderBy(F.col("order_count").desc(), "pin_code"))

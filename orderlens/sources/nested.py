@@ -8,15 +8,19 @@
   missing days are simply absent; the day/month partition columns prune.
 * ``normalize_payload`` (S2) — list root, ``{data:{orders}}``, ``{orders}`` or a
   single object → one row per order.
+* ``read_order_days`` — S1 in the source layout: missing days are absent,
+  damaged files go through S3, files without a readable order are reported.
 * ``salvage_files`` (S3) — byte-level reading of damaged files: UTF-8, else
-  Latin-1; parse whole, else keep every complete flat object; report files
-  from which nothing could be read.
+  Latin-1; every whole order with its suborders is kept.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from datetime import date, timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,46 +143,80 @@ def normalize_payload(raw: DataFrame) -> DataFrame:
     return raw.select(F.explode(docs).alias("o")).select("o.*")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, by the file system that holds it; lacking rights or a broken link is an error."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_order_days(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """S1 + S2 + S3 for day files in the source layout: (orders, quarantine).
+
+    A path that isn't there is a day without orders. Whole files are parsed by
+    Spark; files that don't parse go through the salvage, which keeps every
+    whole order in them; files that yield nothing are reported in
+    ``quarantine`` (path, reason).
+    """
+    existing = [p for p in paths if _exists(spark, p)]
+    none = (spark.createDataFrame([], order_document_schema()), spark.createDataFrame([], "path string, reason string"))
+    if not existing:
+        return none
+    schema = payload_schema().add("_corrupt", T.StringType())
+    raw = (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", "_corrupt").json(existing)
+           .withColumn("_path", F.col("_metadata.file_path")))
+    damaged = sorted(r["_path"] for r in raw.where(F.col("_corrupt").isNotNull() & F.col("order_id").isNull())
+                     .select("_path").distinct().collect())   # at most one row per day file
+    orders = normalize_payload(raw.where(~F.col("_path").isin(damaged)) if damaged else raw)
+    if not damaged:
+        return orders, none[1]
+    salvaged, quarantine = salvage_files(spark, damaged)
+    return orders.unionByName(salvaged.drop("path")), quarantine
+
+
 def read_order_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """S1 + S2 for day files in the source layout: existing paths only, multi-line JSON."""
-    existing = []
-    for p in paths:
+    """The orders of ``read_order_days``."""
+    return read_order_days(spark, paths)[0]
+
+
+def whole_orders(content: bytes) -> list[str]:
+    """The whole orders in a damaged file as JSON texts, each with its suborders: from every opening brace on, the
+    object that begins there, if it is whole; objects that hold orders are taken apart."""
+    try:
+        text = content.decode("utf-8")
+    except UnicodeDecodeError:
+        text = content.decode("latin-1")
+    decode, found, at = json.JSONDecoder().raw_decode, [], text.find("{")
+    while at >= 0:
         try:
-            spark.read.format("binaryFile").load(p)
-            existing.append(p)
-        except Exception:  # noqa: BLE001 - a missing day is skipped
-            continue
-    if not existing:
-        return spark.createDataFrame([], order_document_schema())
-    raw = spark.read.schema(payload_schema()).option("multiLine", True).option("mode", "PERMISSIVE").json(existing)
-    return normalize_payload(raw)
+            thing, end = decode(text, at)
+        except (ValueError, RecursionError):
+            end = at + 1   # cut off or damaged: look inside it
+        else:
+            inside = thing.get("data") if isinstance(thing.get("data"), dict) else thing
+            several = inside.get("orders")
+            found += [o for o in (several if isinstance(several, list) else [thing])
+                      if isinstance(o, dict) and (o.get("order_id") is not None or o.get("invoice_id") is not None)]
+        at = text.find("{", end)
+    return [json.dumps(o) for o in found]
 
 
 def salvage_files(spark: SparkSession, paths: list[str] | str) -> tuple[DataFrame, DataFrame]:
     """S3: read damaged JSON files byte-wise; return (orders, quarantine).
 
-    Decoding: UTF-8 when valid, else Latin-1. Parsing: the whole text as a
-    list / object payload; when that fails, every complete object without
-    nested braces that parses as an order. Files yielding nothing go to the
-    quarantine frame ``(path, reason)``.
+    UTF-8 when valid, else Latin-1; every whole order is kept with its
+    ``suborders[]``, whatever the payload's shape and wherever the damage is.
+    Files yielding nothing go to the quarantine frame ``(path, reason)``. A
+    file is one row here, so it must be smaller than 2 GiB.
     """
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    s = F.col("content").cast("string")
-    text = F.when(F.is_valid_utf8(s), s).otherwise(F.decode(F.col("content"), "ISO-8859-1"))
-    doc = order_document_schema()
-    parsed = files.select("path", text.alias("text")).select(
-        "path", "text",
-        F.from_json("text", T.ArrayType(doc), {"mode": "PERMISSIVE"}).alias("as_list"),
-        F.from_json("text", payload_schema(), {"mode": "PERMISSIVE"}).alias("as_obj"))
-    obj = F.col("as_obj")
-    whole = F.coalesce(
-        F.col("as_list"), obj["data"]["orders"], obj["orders"],
-        F.when(obj["order_id"].isNotNull() | obj["invoice_id"].isNotNull(),
-               F.array(obj.withField("orders", F.lit(None)).dropFields("orders", "data"))))
-    pieces = F.transform(F.regexp_extract_all("text", F.lit(r"(\{[^{}]*\})"), 1), lambda t: F.from_json(t, doc))
-    salvaged = F.filter(pieces, lambda o: o["order_id"].isNotNull() | o["invoice_id"].isNotNull())
-    recovered = parsed.select("path", F.coalesce(whole, salvaged).alias("orders"))
-    orders = recovered.select("path", F.explode("orders").alias("o")).select("path", "o.*")
-    quarantine = recovered.where(F.coalesce(F.size("orders"), F.lit(0)) <= 0).select(
-        "path", F.lit("no readable order").alias("reason"))
+
+    def taken(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"path": part["path"], "found": [whole_orders(c) for c in part["content"]]})
+
+    found = files.mapInPandas(taken, "path string, found array<string>")
+    orders = (found.select("path", F.explode("found").alias("j"))
+              .select("path", F.from_json("j", order_document_schema()).alias("o")).select("path", "o.*"))
+    quarantine = found.where(F.size("found") == 0).select("path", F.lit("no readable order").alias("reason"))
     return orders, quarantine

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +22,11 @@ def payment_cycle_for(sheet: DataFrame, party_name: str | None = None) -> DataFr
 
 
 def filter_options(history: DataFrame) -> DataFrame:
-    """Distinct trimmed non-blank names per filter dimension (long form, sort on read)."""
-    parts = [history.select(F.lit(name).alias("option"), F.trim(F.col(col)).alias("value"))
-             .where(F.col("value").isNotNull() & (F.col("value") != "")).distinct()
-             for name, col in FILTER_OPTION_COLUMNS.items()]
-    return reduce(DataFrame.unionByName, parts)
+    """Distinct trimmed non-blank names per filter dimension (long form, by option and name); one scan."""
+    pairs = F.array(*(F.struct(F.lit(name).alias("option"), F.trim(F.col(col)).alias("value"))
+                      for name, col in FILTER_OPTION_COLUMNS.items()))
+    return (history.select(F.inline(pairs)).where(F.col("value").isNotNull() & (F.col("value") != ""))
+            .distinct().orderBy("option", "value"))
 
 
 def preview(fetched: DataFrame, n: int = 3, order: tuple[str, ...] = ("order_date", "order_id", "sku")) -> DataFrame:

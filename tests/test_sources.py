@@ -92,3 +92,20 @@ def test_extraction_stamps_each_day(spark, tmp_dir):
     from orderlens.sources import state
     got = {(r.invoice_id, r.source_month, r.source_file) for r in state.read_table(spark, tmp_dir + "/table", "history").collect()}
     assert got == {(str(i), f"2026-0{i}", f"orders_2026-0{i}-11") for i in range(1, 4)}
+
+
+def test_damaged_days_are_salvaged_and_reported(spark, tmp_dir):
+    orders = [dict(ORDER, invoice_id=str(i)) for i in range(1, 4)]
+    whole = json.dumps(orders)
+    wrapped = json.dumps({"data": {"orders": orders}})
+    files = {"2026-02/2026-02-17.json": whole.encode(),
+             "2026-02/2026-02-18.json": whole[:len(whole) - 40].encode(),          # cut inside the last order
+             "2026-02/2026-02-19.json": wrapped[:len(wrapped) * 2 // 3 + 20].encode(),
+             "2026-02/2026-02-20.json": b"[{\"order_id\": "}
+    for rel, content in files.items():
+        _write(os.path.join(tmp_dir, rel), content)
+    got, quarantine = nested.read_order_days(spark, nested.day_paths(tmp_dir, "2026-02-16", "2026-02-21"))
+    rows = got.collect()
+    assert sorted(r.invoice_id for r in rows) == ["1", "1", "1", "2", "2", "2", "3"]
+    assert all(len(r.suborders) == 2 and r.suborders[0].sku == "11200-850-9" for r in rows)
+    assert [os.path.basename(r.path) for r in quarantine.collect()] == ["2026-02-20.json"]
