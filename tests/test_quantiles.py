@@ -1,5 +1,5 @@
-"""Exact quantiles by selection (functions/quantiles.py) against Spark's single-buffer percentile,
-with the approximate-bracket path forced (n ≫ accuracy) and one value holding a third of the rows."""
+"""Exact quantiles by value bins (functions/quantiles.py) against Spark's single-buffer percentile,
+with few and many bins and one value holding a third of the rows."""
 
 import pytest
 from pyspark.sql import functions as F
