@@ -160,9 +160,9 @@ starts AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - l
   FROM b WHERE len(w) > 0),
 runs AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS run FROM starts),
 lens AS (SELECT DISTINCT n FROM runs),
-at AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n),
-hits AS (SELECT at.r, at.i, at.n, runs.item_id FROM at JOIN runs
-  ON at.n = runs.n AND array_to_string(list_slice(at.w, at.i, at.i + at.n - 1), ' ') = runs.run),
+spots AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n),
+hits AS (SELECT spots.r, spots.i, spots.n, runs.item_id FROM spots JOIN runs
+  ON spots.n = runs.n AND array_to_string(list_slice(spots.w, spots.i, spots.i + spots.n - 1), ' ') = runs.run),
 covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM
   (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM hits)) GROUP BY r),
 items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM
