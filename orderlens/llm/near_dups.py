@@ -11,8 +11,9 @@ has fewer words). Documents are linked if 100 * |A & B| >= 75 * |A | B|.
    smallest class): a row per member, however large the bucket. Round two
    compares what round one left open: members of one bucket that are in
    different components by then. Large buckets are cut into blocks, and the
-   pairs of blocks are compared inside tasks, so pairs are never rows; a pair
-   is compared in its first common band only.
+   pairs of blocks are compared inside tasks, which verify survivors in place
+   and join what is linked: a block returns fewer links than it has members,
+   and pairs are never rows. A pair is verified in its first common band only.
 4. A comparison reads signatures in batches of 16 and stops when the posterior
    probability of similarity >= 0.75 (uniform prior) is below ``MISS``.
 5. Survivors are verified on their full sets, as 64-bit shingle hashes.
@@ -177,10 +178,9 @@ def pruned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(rows, "a long, b long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough; only texts that pairs name are taken apart."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = written(nodes.join(classes.select("node", "first"), "node"), "near-wanted")
+def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, set): the sorted shingle hashes of some classes; only texts that these name are taken apart."""
+    wanted = written(nodes.distinct().join(classes.select("node", "first"), "node"), "near-wanted")
     n, without_id = wanted.agg(F.count("*"), F.sum(F.col("first").isNull().cast("long"))).first()
     ids = wanted.select(F.col("first").alias("_first")).filter("_first is not null").distinct()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -196,15 +196,21 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
                  pa.array([shingles(w).tobytes() for w in words], pa.binary())], ["node", "set"])
 
     full = named.select("_text").mapInArrow(sets, "node long, set binary").join(wanted.select("node"), "node", "left_semi")
-    full = written(full.groupBy("node").agg(F.first("set").alias("set")), "near-sets")
+    return written(full.groupBy("node").agg(F.first("set").alias("set")), "near-sets")
 
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two whole sets are similar enough."""
+    common = np.intersect1d(x, y, assume_unique=True).size
+    return 100 * common >= SIMILAR * (x.size + y.size - common)
+
+
+def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            on = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = np.intersect1d(x, y, assume_unique=True).size
-                on.append(100 * common >= SIMILAR * (x.size + y.size - common))
+            on = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
+                  for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
 
     side = lambda c: full.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
@@ -232,37 +238,42 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Surviving pairs (a, b) of one bucket that are in different components, neither being its centre."""
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, band, node, label, n): members, but for the centre, of buckets in which several components meet."""
     known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     state = known.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     mixed_up = state.filter((F.col("n") >= 3) & (F.col("low") != F.col("high"))).select("bucket", "n")
-    known = written(known.filter(F.col("node") != F.col("centre")).join(mixed_up, "bucket"), "near-open")
+    rest = known.filter(F.col("node") != F.col("centre")).join(mixed_up, "bucket")
+    return written(rest.select("bucket", "band", "node", "label", "n"), "near-open")
+
+
+def open_links(known: DataFrame, classes: DataFrame, full: DataFrame) -> DataFrame:
+    """Links (a, b) that join components inside buckets: in every pair of blocks each two members that nothing joins yet
+    are compared and, if they survive, verified in place, so that a block returns fewer links than it has members."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     # a block meets itself and all others: each member goes to the pairs of blocks that hold its own
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     dealt = (known.select("bucket", "band", "node", "label", own.alias("own"), other.alias("other"))
              .select("bucket", "band", "node", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-             .join(classes.select("node", "sig"), "node"))
+             .join(classes.select("node", "sig"), "node").join(full, "node"))
 
     def compared(part: pd.DataFrame) -> pd.DataFrame:
         i, j, band = int(part["i"].iloc[0]), int(part["j"].iloc[0]), int(part["band"].iloc[0])
-        x, y = part[part["own"] == i], part[part["own"] == j]
-        out: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-        if len(x) and len(y):
-            sx, sy = signatures_of(x["sig"]), signatures_of(y["sig"])
-            nx, ny = x["node"].to_numpy(), y["node"].to_numpy()
-            lx, ly = x["label"].to_numpy(), y["label"].to_numpy()
-            for k in range(len(x)):
-                apart = np.nonzero((ly != lx[k]) & ((ny > nx[k]) if i == j else True))[0]
-                apart = apart[survivors(np.broadcast_to(sx[k], (len(apart), HASHES)), sy[apart])]
-                if len(apart):
-                    common = (sy[apart] == sx[k]).reshape(-1, BANDS, ROWS).all(axis=2)
-                    apart = apart[common.argmax(axis=1) == band]
-                    out.append(np.stack([np.minimum(ny[apart], nx[k]), np.maximum(ny[apart], nx[k])], axis=1))
-        pairs = np.concatenate(out)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        sig, nodes, sets = signatures_of(part["sig"]), part["node"].to_numpy(), part["set"].to_list()
+        label, own = part["label"].to_numpy().copy(), part["own"].to_numpy()
+        out = []
+        later = np.nonzero(own == j)[0]
+        for x in np.nonzero(own == i)[0]:
+            apart = later[(label[later] != label[x]) & ((nodes[later] > nodes[x]) if i == j else True)]
+            apart = apart[survivors(np.broadcast_to(sig[x], (len(apart), HASHES)), sig[apart])]
+            same = sig[apart] == sig[x]
+            first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            for y in apart[first][np.argsort(-same[first].sum(axis=1), kind="stable")]:
+                if label[x] != label[y] and similar(*(np.frombuffer(sets[k], np.uint64) for k in (x, y))):
+                    out.append((nodes[x], nodes[y]))
+                    label[label == label[y]] = label[x]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return dealt.groupBy("bucket", "i", "j").applyInPandas(compared, "a long, b long").distinct()
 
@@ -278,9 +289,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = bands.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     members = written(bands.join(buckets, "bucket"), "near-members")
     star = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(written(pruned(star, classes), "near-star"), classes, docs, id_col, text_col)
-    more = written(open_pairs(members, components(links), classes), "near-more")
-    links = links.unionByName(verified(more, classes, docs, id_col, text_col))
+    star = written(pruned(star, classes), "near-star")
+    both = star.select(F.col("a").alias("node")).union(star.select("b"))
+    links = verified(star, sets_of(both, classes, docs, id_col, text_col))
+    known = open_members(members, components(links))
+    full = sets_of(known.select("node"), classes, docs, id_col, text_col)
+    links = links.unionByName(written(open_links(known, classes, full), "near-more"))
     found = (classes.select("node", "first").join(components(links), "node", "left")
              .withColumn("label", F.coalesce("label", "node")))
     smallest = found.groupBy("label").agg(F.min("first").alias("component_id"))
