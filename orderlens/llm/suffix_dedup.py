@@ -86,25 +86,23 @@ def runs_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 # -- suffix arrays
 
-def suffix_array(s: np.ndarray, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(order, rank) of the suffixes of the whole numbers ``s`` (all above 0) by the difference cover modulo 3.
+def suffix_places(s: np.ndarray, depth: int = 0) -> np.ndarray:
+    """For every suffix of the whole numbers ``s`` (all above 0) how many are smaller, by the difference cover modulo 3.
 
     Names of names cover 3 ** (depth + 1) numbers; once that is ``LENGTH``, equal names need no telling apart: suffixes
-    of one rank are equal in their first ``LENGTH`` numbers, and the order is right by these.
+    of one place are equal in their first ``LENGTH`` numbers, and the order is right by these.
     """
     n = len(s)
     if n < 6:
-        pads = [tuple(s[i:]) for i in range(n)]
-        places = {x: k for k, x in enumerate(sorted(set(pads)))}
-        rank = np.array([places[x] for x in pads], np.int64)
-        return np.argsort(rank, kind="stable"), rank
+        tails = [tuple(s[i:]) for i in range(n)]
+        return np.array([sum(x < y for x in tails) for y in tails], np.int64)
     padded = np.concatenate([s, np.zeros(3, s.dtype)]).astype(np.int64)
     at = np.arange(n + (n % 3 == 1))  # an empty suffix ends the places 1 mod 3 if they reach the end
     sample = np.concatenate([at[at % 3 == 1], at[at % 3 == 2]])
     padded = np.concatenate([padded, np.zeros(2, np.int64)])
     names = named(padded[sample], padded[sample + 1], padded[sample + 2])
     if names.max() + 1 < len(sample) and 3 ** (depth + 1) < LENGTH:
-        _, names = suffix_array(names + 1, depth + 1)
+        names = suffix_places(names + 1, depth + 1)
     rank = np.zeros(n + 5, np.int64)
     rank[sample] = names + 1
     # the remaining suffixes follow their first number and the sampled suffix after it; merge by counting on both sides
@@ -114,20 +112,19 @@ def suffix_array(s: np.ndarray, depth: int = 0) -> tuple[np.ndarray, np.ndarray]
     low = named(padded[by_one], rank[by_one + 1], np.zeros(len(by_one), np.int64))
     high = named(padded[by_two], padded[by_two + 1], rank[by_two + 2])
     z = len(zero)
-    sorted_sample = np.sort(np.concatenate([rank[one], rank[two]]))
+    among_sample = smaller(np.concatenate([rank[one], rank[two]]), n + 2)
+    zeros_low, zeros_high = smaller(low[:z], len(by_one)), smaller(high[:z], len(by_two))
     place = np.empty(n, np.int64)  # how many suffixes are smaller: equal ones share a place
-    zeros = np.sort(low[:z])
-    smaller_one = np.searchsorted(np.sort(low[z:]), low[:z])
-    smaller_two = np.searchsorted(np.sort(high[z:]), high[:z])
-    place[zero] = np.searchsorted(zeros, low[:z]) + smaller_one + smaller_two
-    zeros_two = np.sort(high[:z])
-    place[one] = np.searchsorted(sorted_sample, rank[one]) + np.searchsorted(zeros, low[z:])
-    place[two] = np.searchsorted(sorted_sample, rank[two]) + np.searchsorted(zeros_two, high[z:])
-    order = np.argsort(place, kind="stable")
-    new = np.concatenate([[0], (np.diff(place[order]) != 0).astype(np.int64)])
-    out = np.empty(n, np.int64)
-    out[order] = np.cumsum(new)
-    return order, out
+    place[zero] = zeros_low[low[:z]] + smaller(low[z:], len(by_one))[low[:z]] + smaller(high[z:], len(by_two))[high[:z]]
+    place[one] = among_sample[rank[one]] + zeros_low[low[z:]]
+    place[two] = among_sample[rank[two]] + zeros_high[high[z:]]
+    return place
+
+
+def smaller(values: np.ndarray, top: int) -> np.ndarray:
+    """At every number up to ``top``, how many of ``values`` are smaller."""
+    counts = np.bincount(values, minlength=top + 1)
+    return np.cumsum(counts) - counts
 
 
 def named(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -135,7 +132,7 @@ def named(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     wide_b, wide_c = int(b.max(initial=0)) + 1, int(c.max(initial=0)) + 1
     if (int(a.max(initial=0)) + 1) * wide_b * wide_c < 1 << 62:
         triple = (a * wide_b + b) * wide_c + c
-        order = np.argsort(triple, kind="stable")
+        order = np.argsort(triple)
         new = np.diff(triple[order]) != 0
     else:
         order = np.lexsort((c, b, a))
@@ -147,18 +144,20 @@ def named(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def lost_places(cuts: list[bytes], first: np.ndarray) -> np.ndarray:
     """Per cut the bits of the places whose string another cut holds with a smaller ``first`` document."""
-    text = np.frombuffer(b"\0".join(cuts) + b"\0", np.uint8).astype(np.int64)
+    text = np.frombuffer(b"\0".join(cuts) + b"\0", np.uint8)
     sizes = np.array([len(c) for c in cuts])
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    # ends of cuts are 1 and bytes 2 to 257, so that a string of LENGTH bytes never matches across an end
+    # ends of cuts are 1 and the bytes that occur 2, 3, ..., so a string of LENGTH bytes never matches across an end
     ends = begin + sizes
-    text = text + 2
+    there = np.bincount(text, minlength=256) > 0
+    text = (np.cumsum(there) + 1)[text]
     text[ends] = 1
-    order, _ = suffix_array(text)
+    place = suffix_places(text)
     owner = np.repeat(np.arange(len(cuts)), sizes + 1)
     inside = np.arange(len(text)) - begin[owner]
     whole = inside + LENGTH <= sizes[owner]
-    order = order[whole[order]]
+    order = np.nonzero(whole)[0]
+    order = order[np.argsort(place[order])]
     if not len(order):
         return np.zeros(len(cuts), np.uint64)
     eight = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"\0".join(cuts) + bytes(9), np.uint8), 8)
