@@ -307,7 +307,7 @@ def lost_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     runs = written(repeating_runs(texts, shards), "suffix-runs")
     cuts = written(cuts_of(texts, runs), "suffix-occurrences")
     verdict = written(judged(cuts, shuffles), "suffix-verdicts")
-    every = F.expr("CASE WHEN places = 64 THEN -1L ELSE shiftleft(1L, places) - 1 END")
+    every = F.expr("shiftrightunsigned(-1L, 64 - places)")
     bits = F.when(F.col("_order") > F.col("first"), every).otherwise(F.col("bits"))
     return (cuts.drop("cut").join(verdict, ["key", "cut_hash"]).select("_id", "_hash", "start", bits.alias("bits"))
             .filter("bits <> 0").groupBy("_id", "_hash").agg(F.collect_list(F.struct("start", "bits")).alias("runs")))

@@ -45,6 +45,7 @@ def fixture():
         parts.insert(rng.randrange(4), rng.choice(shared))
         parts.insert(rng.randrange(4), shared[0][rng.randrange(30):])
         docs.append((i * 7 % 61, rng.choice(["", "\n"]).join(parts)))
+    docs += [(300 + k, "q" * (LENGTH + k) + "r" * 30) for k in (61, 62, 63, 64, 65)] + [(310, "q" * 200)]   # runs of any length
     return docs + [(100 + i, docs[3][1]) for i in range(20)] + [(None, docs[4][1]), (None, docs[4][1]), (200, docs[5][1]), (200, docs[5][1])]
 
 
