@@ -40,6 +40,7 @@ RULES = {
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 5
+MAX_BROADCAST = 2_000_000  # rejected rows (id, language, hash) that are broadcast; more are joined by shuffle
 MAX_STRATA = 10_000  # rows of cutoffs that are broadcast; more are joined by shuffle
 
 
@@ -148,16 +149,28 @@ def judged(counted: DataFrame, cutoffs: DataFrame, stratum: Column) -> DataFrame
             .drop("_stratum", *(f"_cut_{r}" for r in RULES)))
 
 
-def verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The query's columns, one row per row of ``docs``; texts are read once."""
-    counted = with_counts(docs.select("doc_id", "text", F.col("lang").alias("stratum")))
-    counted = written(counted.select("row.doc_id", "row.stratum", *(c for c in counted.columns if c != "row")), "quality")
+def judged_table(docs: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
+    """(doc_id, stratum, _hash, counts, base_failed, kept) per row of ``docs``; texts are read once, their counts written."""
+    rows = docs.select("doc_id", "text", F.col("lang").alias("stratum"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
+    counted = with_counts(rows)
+    counted = written(counted.select("row.doc_id", "row.stratum", "row._hash", *(c for c in counted.columns if c != "row")), "quality")
     cutoffs = certified_cutoffs(labelled_rows(counted, labels, "doc_id", F.col("stratum")), risk, delta)
-    return judged(counted, cutoffs, F.col("stratum")).select("doc_id", *COUNTS, "base_failed", "kept")
+    return judged(counted, cutoffs, F.col("stratum"))
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """The query's columns, one row per row of ``docs``."""
+    return judged_table(docs, labels, risk, delta).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """``docs`` without the rejected rows. Counts are made twice, once to fit and once to judge, so no text is shuffled."""
-    fit = with_counts(docs.select("doc_id", "text", F.col("lang").alias("stratum")))
-    cutoffs = certified_cutoffs(labelled_rows(fit, labels, "row.doc_id", F.col("row.stratum")), risk, delta)
-    return judged(with_counts(docs), cutoffs, F.col("row.lang")).filter("kept").select("row.*")
+    """``docs`` without the rejected rows, which are told by id, language and text hash; columns and other rows unchanged."""
+    gone = judged_table(docs, labels, risk, delta).filter(~F.col("kept"))
+    gone = written(gone.select(F.col("doc_id").alias("_id"), F.col("stratum").alias("_stratum"), "_hash").distinct(), "quality-gone")
+    if gone.count() <= MAX_BROADCAST:
+        gone = F.broadcast(gone)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_doc"), F.col("lang").alias("_lang"),
+                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
+    same = (F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_lang").eqNullSafe(F.col("_stratum"))
+            & (F.col("_h") == F.col("_hash")))
+    return rows.join(gone, same, "left_anti").select("row.*")
