@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder: cuts the lineage, survives lost executors.
 
     Every call takes a new folder, so a retry never meets another run's files.
@@ -27,7 +27,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(freed)
     spark.conf.set(freed, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(freed, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -59,7 +59,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def keys_of(text: np.ndarray) -> np.ndarray:
     """The key of the string at every place of a text of bytes."""
     eight = np.lib.stride_tricks.sliding_window_view(text, 8).copy().view("<u8").ravel()
-    least = mixed(eight[:-8] * P1 + mixed(eight[8:] * P2))
+    n = len(text) - GRAM + 1
+    least = mixed(eight[:n] * P1 + mixed(eight[8:8 + n] * P2 + mixed(eight[GRAM - 8:GRAM - 8 + n] * P1)))
     width, span = LENGTH - GRAM + 1, 1
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -239,7 +240,7 @@ def repeating_runs(docs: DataFrame, shards: int) -> DataFrame:
 
 def cuts_of(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """(key, cut_hash, _id, _hash, _order, start, places, cut) of the repeating runs."""
-    by_doc = runs.distinct().groupBy("_id", "_hash").agg(F.collect_list(F.struct("key", "start", "places")).alias("runs"))
+    by_doc = runs.groupBy("_id", "_hash").agg(F.collect_list(F.struct("key", "start", "places")).alias("runs"))
     by_doc = by_doc.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "runs")
     texts = docs.join(by_doc, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")))
 
@@ -248,12 +249,13 @@ def cuts_of(docs: DataFrame, runs: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):  # a batch per document: its cuts are a few times its text
                 text, runs = batch.column(3)[k].as_py().encode(), batch.column(4)[k].values
-                start, places = runs.field("start").to_numpy(), runs.field("places").to_numpy()
+                start, once = np.unique(runs.field("start").to_numpy(), return_index=True)  # equal rows tell runs twice
+                places = runs.field("places").to_numpy()[once]
                 pieces = [text[i:i + n + LENGTH - 1] for i, n in zip(start.tolist(), places.tolist(), strict=True)]
                 hashes = np.array([xxhash.xxh3_64_intdigest(p) for p in pieces], np.uint64).view(np.int64)
                 same = [pa.array([batch.column(c)[k].as_py()] * len(pieces), pa.int64()) for c in range(3)]
                 yield pa.RecordBatch.from_arrays(
-                    [runs.field("key"), pa.array(hashes), *same, runs.field("start"), runs.field("places"),
+                    [runs.field("key").take(pa.array(once)), pa.array(hashes), *same, pa.array(start), pa.array(places),
                      pa.array(pieces, pa.binary())], names)
 
     return texts.select("_id", "_hash", "_order", "_text", "runs").mapInArrow(
@@ -270,7 +272,10 @@ def judged(cuts: DataFrame, shuffles: int) -> DataFrame:
     crowded = written(crowded, "suffix-crowded")  # at most size / MANY keys
 
     def sort(part: pd.DataFrame) -> pd.DataFrame:
-        bits = lost_places(list(part["cut"]), part["first"].to_numpy(np.int64))
+        bits = np.zeros(len(part), np.uint64)
+        several = np.nonzero(part["key"].duplicated(keep=False))[0]  # a key's only cut shares no string with another cut
+        if len(several):
+            bits[several] = lost_places(list(part["cut"].iloc[several]), part["first"].to_numpy(np.int64)[several])
         return pd.DataFrame({"key": part["key"], "cut_hash": part["cut_hash"], "first": part["first"], "bits": bits.view(np.int64)})
 
     schema = "key long, cut_hash long, first long, bits long"
@@ -304,8 +309,8 @@ def lost_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     texts = keyed(docs, id_col, text_col)
     size = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     shards = max(shuffles, -(-size // (18 * SHARD)))  # a run for every 18 bytes
-    runs = written(repeating_runs(texts, shards), "suffix-runs")
-    cuts = written(cuts_of(texts, runs), "suffix-occurrences")
+    runs = written(repeating_runs(texts, shards), "suffix-runs", "zstd")
+    cuts = written(cuts_of(texts, runs), "suffix-occurrences", "zstd")  # cuts of one text overlap and pack well
     verdict = written(judged(cuts, shuffles), "suffix-verdicts")
     every = F.expr("shiftrightunsigned(-1L, 64 - places)")
     bits = F.when(F.col("_order") > F.col("first"), every).otherwise(F.col("bits"))
