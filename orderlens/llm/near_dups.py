@@ -324,3 +324,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
     same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash"))
     return rows.join(gone, same, "left_anti").select("row.*")
+
+
+#: The same components in DuckDB's SQL: all pairs that share a shingle, then reachability.
+ORACLE_SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+starts AS (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 4), ' ') AS shingle FROM starts),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.r <> b.r GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON p.a = x.r JOIN n y ON p.b = y.r WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+reach(r, q) AS (SELECT r, r FROM d UNION SELECT reach.r, e.b FROM reach JOIN e ON reach.q = e.a),
+c AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON reach.q = d.r GROUP BY reach.r)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id,
+  coalesce(doc_id = component_id, component_id IS NULL) AS kept
+FROM d JOIN c ON d.r = c.r LEFT JOIN n ON d.r = n.r
+"""

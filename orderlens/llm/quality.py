@@ -174,3 +174,42 @@ def kept_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta
     same = (F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_lang").eqNullSafe(F.col("_stratum"))
             & (F.col("_h") == F.col("_hash")))
     return rows.join(gone, same, "left_anti").select("row.*")
+
+
+def oracle_sql(risk: float = 0.05, delta: float = 0.05) -> str:
+    """The same verdicts in DuckDB's SQL, with log-gamma binomial sums."""
+    a = risk / len(RULES)
+    ratio = lambda r: "CASE WHEN {1} > 0 THEN CAST({0} AS DOUBLE) / {1} ELSE 0 END".format(*RULES[r][0].split(" / "))
+    grid = ", ".join(f"('{r}', CAST({c} AS DOUBLE))" for r, (_, cutoffs) in RULES.items() for c in cutoffs)
+    long = " UNION ALL ".join(f"SELECT r, stratum, base_failed, '{r}' AS rule, {ratio(r)} AS x FROM v" for r in RULES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, lang, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+starts AS (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5),
+runs AS (SELECT r, i, array_to_string(list_slice(w, i, i + 4), ' ') AS run FROM starts),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, run) AS n FROM runs) q WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM again) q GROUP BY r),
+c AS (SELECT w.r, doc_id, lang AS stratum, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+  len(l) AS n_lines, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_capitals,
+  length(regexp_replace(t, '[^!]+', '', 'g')) AS n_bangs, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN rep ON w.r = rep.r),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
+x AS ({long}),
+worst AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+fit AS (SELECT v.r, good FROM v JOIN worst ON v.doc_id = worst.doc_id WHERE NOT base_failed),
+grid AS (SELECT * FROM (VALUES {grid}) g(rule, cutoff)),
+tests AS (SELECT stratum, x.rule, cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND x > cutoff) AS k,
+  count(*) FILTER (WHERE NOT good AND x > cutoff) AS bad
+  FROM fit JOIN x ON fit.r = x.r JOIN grid ON x.rule = grid.rule GROUP BY 1, 2, 3),
+tails AS (SELECT *, CASE WHEN k < n * {a} THEN list_sum(list_transform(range(0, k + 1), lambda i: exp(
+  lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({a}) + (n - i) * ln(1 - {a})))) ELSE 1 END AS p FROM tests),
+sure AS (SELECT stratum, rule, cutoff, row_number() OVER (PARTITION BY stratum, rule ORDER BY bad DESC, cutoff DESC) AS o
+  FROM tails WHERE bad > k AND p <= {delta} / (SELECT count(*) FROM tests)),
+gone AS (SELECT DISTINCT x.r FROM x JOIN sure ON o = 1 AND x.rule = sure.rule AND x.stratum IS NOT DISTINCT FROM sure.stratum
+  WHERE x > cutoff)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND gone.r IS NULL AS kept
+FROM v LEFT JOIN gone ON v.r = gone.r
+"""

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import decontaminate, line_dedup, near_dups
+from orderlens.llm import decontaminate, line_dedup, near_dups, quality
 from orderlens.llm.common import table
 from orderlens.session import scratch_path
 
@@ -21,8 +21,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from orderlens.llm.quality import verdicts
-    return verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +78,7 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE_SQL,
+    "op3_quality": quality.oracle_sql(),
     "op5_line_dedup": line_dedup.ORACLE_SQL,
+    "op8_near_dups": near_dups.ORACLE_SQL,
 }
