@@ -46,6 +46,7 @@ from orderlens.llm.common import written
 LENGTH, GRAM = 50, 16
 PLACES = 64  # of a run at most: its lost places are the bits of one number
 SHARD = 1_500_000  # runs, in finding keys; bytes of cuts, in sorting suffixes
+DOCUMENTS = 1000  # whose runs are dealt at once
 MANY = 20_000  # cuts of one key that a shard takes
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -192,7 +193,7 @@ def repeating_runs(docs: DataFrame, shards: int) -> DataFrame:
     alone, passing, mark = 0, 1, 2
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, DOCUMENTS) for b in batches for k in range(0, b.num_rows, DOCUMENTS)):
             parts = [runs_of(t.as_py().encode()) for t in batch.column(3)]
             doc = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
             key = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
