@@ -8,7 +8,9 @@ tree, grown here from the labelled blocks in ``LABELLED``, calls each block text
 or boilerplate.
 
 The page is read once by one expression for tags, comments and whole scripts,
-in linear time; unclosed and misplaced tags only open and close blocks.
+in linear time; unclosed and misplaced tags only open and close blocks. Buttons,
+icons, embedded objects and the like are left out up to their end tag; one that
+has none, or is written with "/>", takes no more than its own text.
 
 Defined results: null and empty pages have an empty text; repeated rows are read
 row by row; pages without any block called text have an empty text; a page cut
@@ -20,6 +22,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,13 +30,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Comments, elements whose content is no text, and tags. An unclosed one runs to the end.
+ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
+#: Comments, elements whose content is read as characters, and tags. Comments, scripts and styles without an end run to
+#: the end of the page; the others need an end tag before the next start of their kind, else their start is only a tag.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|head|title|button)\b"
-    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<raw>script|style)(?![\w:-]){ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<chars>title|textarea|iframe|noscript)(?![\w:-]){ATTRS}(?<!/)>"
+    r"(?:[^<]|<(?!/?(?P=chars)(?![\w:-])))*+</(?P=chars)\s*>"
     r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
     re.IGNORECASE | re.DOTALL)
+#: Elements that are left out with all they hold; one without an end tag ends where its parent does or a flow element starts.
+SKIPPED = frozenset("template svg math object canvas select button title textarea iframe noscript".split())
+FLOW = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure "
+                 "footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table "
+                 "ul".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
                    "strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -78,12 +89,38 @@ def speaks_of_boilerplate(tag: str, attrs: str) -> bool:
     return False
 
 
+def tags_of(page: str) -> tuple[list[re.Match[str]], dict[int, int]]:
+    """The page's tokens, and for the start of each skipped element that is closed, where its end tag stands among them."""
+    tokens = list(TOKEN.finditer(page))
+    ends: dict[int, int] = {}
+    open_: list[tuple[str, int]] = []
+    names: Counter[str] = Counter()
+    for i, m in enumerate(tokens):
+        tag = (m["tag"] or "").lower()
+        if not tag:
+            continue
+        if not m["close"]:
+            if tag not in VOID and not m["attrs"].endswith("/"):
+                open_.append((tag, i))
+                names[tag] += 1
+        elif names[tag]:
+            while True:
+                name, start = open_.pop()
+                names[name] -= 1
+                if name == tag:
+                    break
+            if tag in SKIPPED:
+                ends[start] = i
+    return tokens, ends
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []  # of the block being read: text, inside a link
     open_: list[tuple[str, bool]] = []  # elements that are open: name, speaks of boilerplate
-    outside = articles = links = 0
+    names: Counter[str] = Counter()  # of the open elements
+    outside = unclosed = 0
     heading = ""
 
     def flush() -> None:
@@ -93,50 +130,57 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 words = text.count(" ") + 1
                 linked = sum(len(html.unescape(t).split()) for t, link in parts if link)
-                out.append(Block(text, words, min(linked, words), bool(heading), outside > 0, articles > 0))
+                out.append(Block(text, words, min(linked, words), bool(heading), outside > 0,
+                                 names["article"] + names["main"] > 0))
             parts.clear()
 
-    at = 0
-    for m in TOKEN.finditer(page):
+    def pop() -> str:
+        nonlocal outside, unclosed
+        name, spoke = open_.pop()
+        names[name] -= 1
+        outside -= spoke
+        unclosed -= name in SKIPPED
+        return name
+
+    tokens, ends = tags_of(page)
+    at = skip_to = 0
+    for i, m in enumerate(tokens):
+        if i < skip_to:
+            continue
         if m.start() > at:
-            parts.append((page[at:m.start()], links > 0))
+            parts.append((page[at:m.start()], names["a"] > 0))
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
-            if m["raw"] and m["raw"].lower() not in INLINE:
+            if m["raw"] or m["chars"]:
                 flush()
             continue
         if tag not in INLINE:
             flush()
         if m["close"]:
-            if any(name == tag for name, _ in open_):  # closes what was left open inside, too
-                while True:
-                    name, spoke = open_.pop()
-                    outside -= spoke
-                    articles -= name in ("article", "main")
-                    links -= name == "a"
-                    if name == tag:
-                        break
+            if names[tag]:  # closes what was left open inside, too
+                while pop() != tag:
+                    pass
             if tag == heading:
                 heading = ""
         elif tag not in VOID and not m["attrs"].endswith("/"):
+            if i in ends:
+                skip_to, at = ends[i] + 1, tokens[ends[i]].end()
+                continue
+            while tag in FLOW and unclosed:
+                pop()
             if tag == "p" and any(name == "p" for name, _ in open_[-3:]):
-                while open_[-1][0] != "p":
-                    name, spoke = open_.pop()
-                    outside -= spoke
-                    links -= name == "a"
-                name, spoke = open_.pop()
-                outside -= spoke
-            spoke = speaks_of_boilerplate(tag, m["attrs"])
+                while pop() != "p":
+                    pass
+            spoke = tag in SKIPPED or speaks_of_boilerplate(tag, m["attrs"])
             open_.append((tag, spoke))
+            names[tag] += 1
             outside += spoke
-            articles += tag in ("article", "main")
-            links += tag == "a"
+            unclosed += tag in SKIPPED
             if tag in HEADINGS:
                 heading = tag
     if at < len(page):
-        tail = page[at:]
-        parts.append((tail, links > 0))
+        parts.append((page[at:], names["a"] > 0))
     flush()
     return out
 

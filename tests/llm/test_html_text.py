@@ -88,3 +88,27 @@ def test_tree_on_held_out_rows():
 def test_features_of_neighbours():
     f = features(blocks_of("<p>one two</p><a href=x>three</a><p>four</p>"))
     assert f[0][:6].tolist() == [2, 0, 0, 0, 1, 1] and f[2][:6].tolist() == [1, 0, 1, 1, 0, 0]
+
+
+@pytest.mark.parametrize("start", [
+    "<html><head><meta charset=utf-8><body>", "<html><head><title>T</title><body>", "<head><title>Never closed<body>",
+    '<body><nav><svg class="icon"/></nav>', '<body><nav><svg class="icon"></nav>', "<body><iframe src=x />", "<body><iframe src=x>",
+    '<body><object data="x"/>', "<body><object data=x>", "<body><canvas/>", "<body><canvas>", "<body><math/>", "<body><math>",
+    "<body><div><button>Menu</div>", "<body><button>Menu", "<body><select><option>One", "<body><textarea>", "<body><noscript>",
+    "<body><template>", "<body><svg><path d=M0/><svg></svg>", "<title-bar>", "<object-list></object-list>"])
+@pytest.mark.parametrize("end", ["", "<footer><svg><path/></svg><iframe src=y></iframe><button>Share</button></footer>"])
+def test_elements_without_an_end_tag_take_no_text(start, end):
+    assert main_text(start + ARTICLE + end) == TEXT
+
+
+@pytest.mark.parametrize("name", ["template", "svg", "math", "object", "canvas", "select", "button", "title", "textarea", "iframe",
+                                  "noscript"])
+def test_closed_elements_are_left_out_whole(name):
+    assert main_text(f"<body><{name} class=x><p>{PARA}</p><div>{PARA}</{name}>{ARTICLE}") == TEXT
+
+
+@pytest.mark.parametrize("unit", ["<svg>", "<iframe>", "<title><iframe>", "<button>x<p>", "<b><svg/>", "<svg><b>"])
+def test_unclosed_elements_take_linear_time(unit):
+    began = time.time()
+    main_text(unit * 40_000)
+    assert time.time() - began < 20
