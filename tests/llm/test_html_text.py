@@ -112,3 +112,50 @@ def test_unclosed_elements_take_linear_time(unit):
     began = time.time()
     main_text(unit * 40_000)
     assert time.time() - began < 20
+
+
+@pytest.mark.parametrize(("start", "end"), [
+    ('<body class="single has-sidebar">', ""), ('<html class="no-sidebar"><body>', ""), ('<body><div class="layout-sidebar-right">', "</div>"),
+    ('<body><main class="search-results">', "</main>"), ("<body><form id=aspnetForm>" + MENU, f"</form><footer><p>{PARA}</p></footer>"),
+    ('<body><form><div class="page-widget">', f'<section id="comments"><p>{PARA}</p></section></div></form>'),
+    ('<body><p class="notice">', ""), ('<body><p class="notice"><b>', ""), ('<body><div data-id="menu" title="a role=search">', "</div>")])
+@pytest.mark.parametrize("body", [ARTICLE, ARTICLE.replace("article>", "div>")])
+def test_cues_around_the_whole_page(start, end, body):
+    assert main_text(start + body + end) == TEXT
+
+
+def test_comments_that_outweigh_the_article_stay_out():
+    article = ARTICLE.replace("article>", "div>")
+    assert main_text(page(MENU, article=article, after=['<section id="comments">' + f"<p>{PARA}</p>" * 9 + "</section>"])) == TEXT
+
+
+def test_a_heading_or_div_ends_an_unclosed_p():
+    got = main_text(page(article=f'<p class="notice">Closed on Monday.<h2>A title</h2><div><p>{PARA}</p></div>' + f"<p>{PARA}</p>" * 3))
+    assert got == " ".join(["A title"] + [PARA] * 4)
+
+
+def test_long_text_is_text_in_spite_of_a_cue():
+    body = "<h1>A title</h1>" + f"<p>{PARA * 4}</p>" * 4
+    assert main_text(page(MENU, article=f"<article>{body}<div class='social-post'>" + f"<p>{PARA * 3}</p>" * 3 + "</div></article>")
+                     ).count(PARA) == 25
+
+
+@pytest.mark.parametrize("words", [1, 5, 20])
+@pytest.mark.parametrize("name", ["article", "div"])
+def test_short_adverts_between_long_paragraphs_stay_out(words, name):
+    ad = f'<div class="ad">{"Buy " * words}</div>'
+    assert main_text(f"<{name}><h1>A title</h1><p>{PARA * 5}</p>{ad}<p>{PARA * 7}</p>{ad}<p>{PARA * 3}</p></{name}>"
+                     ) == " ".join(["A title", PARA * 5, PARA * 7, PARA * 3])
+
+
+@pytest.mark.parametrize("start", ["<aside>", '<div style="display: none">', "<footer>", '<div aria-hidden="true">'])
+def test_long_text_in_elements_that_hold_none_stays_out(start):
+    other = start + f"<p>{PARA * 9}</p>" * 3 + f"</{start[1:].split('>')[0].split()[0]}>"
+    assert main_text(page(MENU, other, article=ARTICLE)) == TEXT
+
+
+@pytest.mark.parametrize("unit", ["<form>x ", "<div class=menu>x ", "<p><b>", "<b><p></p>"])
+def test_nested_cues_take_linear_time(unit):
+    began = time.time()
+    main_text(unit * 20_000)
+    assert time.time() - began < 20
