@@ -7,7 +7,7 @@ lengths before it end; positions are code points, ends exclusive.
 
 Kinds ``email``, ``ip``, ``card`` and ``phone`` follow fixed rules and are
 always reported. Further kinds need their score to reach ``MIN_SCORE``:
-``iban`` (mod-97), ``card_short`` (13 to 15 digits passing Luhn) and ``ssn``,
+``iban`` (its country's length and mod-97), ``card_short`` (13 to 15 digits passing Luhn) and ``ssn``,
 the latter two only beside a context word.
 
 Defined results: null and empty texts have no spans; repeated rows and ids are
@@ -26,13 +26,22 @@ from pyspark.sql import functions as F
 from orderlens.llm.common import digest_of_strings
 
 LOCAL = "[A-Za-z0-9._%+-]"
+#: Countries by the length of their IBANs: the registry's, then those in use outside it.
+IBAN_COUNTRIES = {n: c.split() for n, c in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST AO CV GW MZ", 26: "IS TR DZ IR", 27: "BI DJ FR GR IT MC MR SM CF CG CM GA GQ KM MG TD",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV BF BJ CI MA ML NE SN TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}.items()}
 PATTERNS = {
     # begins at the first character of a run, or where the last match ended: other starts can't match
     "email": rf"(?:(?<!{LOCAL})|\G){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    # as long as the country's IBANs are, so that a word or number behind is no part of it
+    "iban": r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(
+        rf"(?:{'|'.join(c)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_COUNTRIES.items()) + r")(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A cheap test that a text must pass to hold a kind at all.

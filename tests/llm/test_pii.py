@@ -71,6 +71,18 @@ def test_added_kinds(docs_of, text, kinds):
     assert all(text[s.start:s.end] == s.found for s in spans)
 
 
+@pytest.mark.parametrize(("before", "iban", "after"), [
+    ("IBAN ", "DE89 3704 0044 0532 0130 00", " BIC COBADEFFXXX"), ("IBAN: ", "DE89370400440532013000", " COBADEFFXXX"),
+    ("", "GB29 NWBK 6016 1331 9268 19", " USD 500"), ("to ", "DE89 3704 0044 0532 0130 00", " 2024"),
+    ("REF AB12 ", "DE89 3704 0044 0532 0130 00", " EUR"), ("", "NO93 8601 1117 947", " 12 A"),
+    ("", "FR14 2004 1010 0505 0001 3M02 606", " BIC PSSTFRPP"), ("", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", " X"),
+    ("", "BE68 5390 0754 7034", " GB29 NWBK 6016 1331 9268 18")])
+def test_an_iban_ends_at_its_countrys_length(docs_of, before, iban, after):
+    text = before + iban + after
+    spans = personal_data(docs_of([(1, text)])).collect()[0].spans
+    assert [(s.found, s.start, s.end) for s in spans if s.kind == "iban"] == [(iban, len(before), len(before) + len(iban))]
+
+
 def test_context_moves_the_score(docs_of):
     near, far = personal_data(docs_of([(1, "call +1 (377) 555-0271"), (2, "see +1 (377) 555-0271")])).orderBy("doc_id").collect()
     assert near.spans[0].score > far.spans[0].score
