@@ -18,11 +18,15 @@ from .core import zip_rows
 
 
 def flatten_orders(docs: DataFrame) -> DataFrame:
-    """One row per suborder with ``suborder_``-prefixed fields; orders without suborders kept."""
+    """One row per suborder with ``suborder_``-prefixed fields; orders without suborders kept. A field that the order
+    has under a suborder's name holds where the suborder has none."""
     order_cols = [c for c in docs.columns if c != "suborders"]
-    sub_fields = docs.schema["suborders"].dataType.elementType.fieldNames()
+    subs = docs.schema["suborders"].dataType.elementType.fields
     x = docs.select(*order_cols, F.explode_outer("suborders").alias("s"))
-    return x.select(*order_cols, *[F.col("s")[f].alias(f"suborder_{f}") for f in sub_fields])
+    own = lambda f: [F.col(f"suborder_{f.name}").try_cast(f.dataType)] if f"suborder_{f.name}" in order_cols else []
+    flat = [F.coalesce(F.col("s")[f.name], *own(f)).alias(f"suborder_{f.name}") for f in subs]
+    names = {f"suborder_{f.name}" for f in subs}
+    return x.select(*(c for c in order_cols if c not in names), *flat)
 
 
 def posted_order_rows(docs: DataFrame) -> DataFrame:

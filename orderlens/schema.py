@@ -101,6 +101,12 @@ def suborder_schema() -> T.StructType:
     ])
 
 
+#: Order-level fields that take precedence over the first suborder's in C4; read as text, whatever they hold.
+ORDER_LEVEL_FIELDS = ("item_quantity", "suborder_model_no", "suborder_quantity", "sku", "suborder_sku",
+                      "suborder_marketplace_sku", "marketplace_sku", "size", "suborder_size", "suborder_selling_price",
+                      "suborder_cost", "suborder_mrp", "suborder_productName", "canonical_sku")
+
+
 def order_document_schema() -> T.StructType:
     """Declared schema of a nested order document (money and dates as text in)."""
     return T.StructType([
@@ -124,5 +130,6 @@ def order_document_schema() -> T.StructType:
         T.StructField("city", T.StringType()),
         T.StructField("pin_code", T.StringType()),
         T.StructField("billing_state", T.StringType()),
+        *(T.StructField(f, T.StringType()) for f in ORDER_LEVEL_FIELDS),
         T.StructField("suborders", T.ArrayType(suborder_schema())),
     ])

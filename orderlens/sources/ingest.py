@@ -27,34 +27,45 @@ def _pick(*cols: Column) -> Column:
 
 def project_orders(docs: DataFrame, source_tag: str | Column, source_month: str | Column, key: str = PRIMARY_KEY,
                    extra: tuple[str, ...] = ()) -> DataFrame:
-    """C4: one flat row per order; suborder fields come from the FIRST suborder. ``extra`` columns are carried along.
+    """C4: one flat row per order; the order's own value of a field, else the FIRST suborder's. ``extra`` columns are
+    carried along.
 
     ``get(suborders, 0)`` is null for an empty or missing array. A row without
     the primary key fails the job (the source raises for it too).
     """
     tag, month = (c if isinstance(c, Column) else F.lit(c) for c in (source_tag, source_month))
     first = F.get(F.col("suborders"), 0)
-    sku = _pick(first["sku"])
-    suborder_sku = _pick(first["sku"])
-    sub_mp_sku = _pick(first["marketplace_sku"])
-    mp_sku = _pick(first["marketplace_sku"])
+
+    def own(name: str) -> list[Column]:
+        """The order's value of a field, if the documents have it; an empty list or object is no value."""
+        return [F.when(~F.col(name).cast("string").isin("[]", "{}"), F.col(name))] if name in docs.columns else []
+
+    def pick(name: str, sub: str) -> Column:
+        return _pick(*own(name), first[sub])
+
+    def count(name: str) -> Column:
+        return _pick(*(c.cast("string").try_cast("decimal(20,4)").try_cast("bigint") for c in own(name)), first[name])
+
+    sku, suborder_sku = pick("sku", "sku"), pick("suborder_sku", "sku")
+    sub_mp_sku, mp_sku = pick("suborder_marketplace_sku", "marketplace_sku"), pick("marketplace_sku", "marketplace_sku")
     k = F.col(key).cast("string")
     checked_key = F.when(k.isNull() | (k == ""), F.raise_error(F.lit(f"order is missing required primary key '{key}'"))) \
         .otherwise(k)
     return docs.select(
         checked_key.alias(key), tag.alias("source_file"), month.alias("source_month"), *extra,
         "order_id", "order_date", "total_amount",
-        _pick(first["item_quantity"]).alias("item_quantity"),
-        _pick(first["model_no"]).alias("suborder_model_no"),
-        _pick(first["suborder_quantity"]).alias("suborder_quantity"),
+        count("item_quantity").alias("item_quantity"),
+        pick("suborder_model_no", "model_no").alias("suborder_model_no"),
+        count("suborder_quantity").alias("suborder_quantity"),
         "order_quantity", sku.alias("sku"), suborder_sku.alias("suborder_sku"),
         sub_mp_sku.alias("suborder_marketplace_sku"), mp_sku.alias("marketplace_sku"),
         "order_status", "payment_mode", "order_type", "marketplace", "courier", "import_warehouse_name", "state",
         "billing_state",
-        _pick(first["size"]).alias("size"), _pick(first["size"]).alias("suborder_size"),
-        _pick(first["selling_price"]).alias("suborder_selling_price"), _pick(first["cost"]).alias("suborder_cost"),
-        _pick(first["mrp"]).alias("suborder_mrp"), _pick(first["productName"]).alias("suborder_productName"),
-        _pick(sku, suborder_sku, sub_mp_sku, mp_sku).alias("canonical_sku"))
+        pick("size", "size").alias("size"), pick("suborder_size", "size").alias("suborder_size"),
+        pick("suborder_selling_price", "selling_price").alias("suborder_selling_price"),
+        pick("suborder_cost", "cost").alias("suborder_cost"), pick("suborder_mrp", "mrp").alias("suborder_mrp"),
+        pick("suborder_productName", "productName").alias("suborder_productName"),
+        _pick(*own("canonical_sku"), sku, suborder_sku, sub_mp_sku, mp_sku).alias("canonical_sku"))
 
 
 def upsert(stored: DataFrame | None, new: DataFrame, key: str = PRIMARY_KEY, order_col: str = "_load_seq") -> DataFrame:

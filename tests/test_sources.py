@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from orderlens.operators.posted import flatten_orders
 from orderlens.sources import ingest, nested
 
 ORDER = {"invoice_id": "9", "order_id": "1", "order_date": "2026-02-17 08:53:40", "total_amount": "601.0001",
@@ -74,6 +75,36 @@ def test_projection_and_upsert(spark):
         ingest.project_orders(bad, "f", "x").collect()
 
 
+LEVELS = {"sku": "O-1-7", "suborder_sku": "O-2-7", "suborder_marketplace_sku": "OM-1", "marketplace_sku": "OM-2", "size": "7",
+          "suborder_size": "8", "suborder_model_no": "M", "suborder_selling_price": "5", "suborder_cost": "3",
+          "suborder_mrp": "9", "suborder_productName": "N", "canonical_sku": "O-1"}
+
+
+def test_order_level_fields_come_before_the_first_suborders(spark, tmp_dir):
+    orders = [dict(ORDER, **LEVELS, item_quantity=4, suborder_quantity="5", invoice_id="1", suborders=[]),
+              dict(ORDER, **LEVELS, item_quantity=4, suborder_quantity=5, invoice_id="2"),
+              dict(ORDER, **LEVELS, item_quantity=4, suborder_quantity=5, invoice_id="3", suborders=None),
+              dict(ORDER, invoice_id="4", sku="", size=[], item_quantity="", canonical_sku=None, marketplace_sku={}),
+              dict(ORDER, invoice_id="5", sku="O-1-7", suborders=[])]
+    _write(f"{tmp_dir}/2026-02-17.json", json.dumps({"data": {"orders": orders}}).encode())
+    docs = nested.read_order_files(spark, [f"{tmp_dir}/2026-02-17.json"])
+    got = {r.invoice_id: r.asDict() for r in ingest.project_orders(docs, "f", "2026-02").collect()}
+    for i in "123":
+        assert {k: got[i][k] for k in LEVELS} == LEVELS and (got[i]["item_quantity"], got[i]["suborder_quantity"]) == (4, 5)
+    assert [got["4"][k] for k in ("sku", "size", "item_quantity", "canonical_sku", "marketplace_sku")] == [
+        "11200-850-9", "9", 1, "11200-850-9", None]
+    assert got["5"]["canonical_sku"] == "O-1-7"
+    # the same through landing and reading back, and no name twice in the flat rows
+    nested.write_daily_json(docs, tmp_dir + "/land")
+    back = {r.invoice_id: r.asDict() for r in ingest.project_orders(
+        nested.read_daily_orders(spark, tmp_dir + "/land"), "f", "2026-02").collect()}
+    assert back == got
+    flat = flatten_orders(docs)
+    assert len(set(flat.columns)) == len(flat.columns)
+    assert {(r.invoice_id, r.suborder_sku) for r in flat.collect()} == {
+        ("1", "O-2-7"), ("2", "11200-850-9"), ("2", "X-2"), ("3", "O-2-7"), ("4", "11200-850-9"), ("4", "X-2"), ("5", None)}
+
+
 def test_upsert_keeps_the_last_write(spark):
     rows = spark.createDataFrame([("1", "Shipped", 1), ("1", "Cancelled", 2), ("2", "Zed", 5), ("2", "Alpha", 9)],
                                  "invoice_id string, order_status string, _load_seq long")
