@@ -100,16 +100,17 @@ class LineIndex:
     Keys whose first 64 bits clash are told apart by the hash being taken over both halves.
     """
 
-    def __init__(self, high: np.ndarray, low: np.ndarray, counts: np.ndarray, owners: np.ndarray, owned: np.ndarray):
+    def __init__(self, high: np.ndarray, low: np.ndarray, counts: np.ndarray, owners: np.ndarray, owned: np.ndarray,
+                 most: int = 255):
         keys = self.mixed(high, low)
         self.hash = PerfectHash.build(np.unique(keys))
         slot = self.hash.slots(keys)
         self.prints = np.zeros(self.hash.size, np.uint64)
-        self.counts = np.zeros(self.hash.size, np.uint8)
+        self.counts = np.zeros(self.hash.size, np.min_scalar_type(most))
         self.owners = np.zeros(self.hash.size, np.int64)
         self.owned = np.zeros(self.hash.size, bool)
         self.prints[slot] = high.view(np.uint64)
-        self.counts[slot] = np.minimum(counts, 255)
+        self.counts[slot] = np.minimum(counts, most)
         self.owners[slot], self.owned[slot] = owners, owned
 
     @staticmethod
@@ -155,7 +156,7 @@ def lost_keys(docs: DataFrame, min_docs: int = 3, min_length: int = 20, id_col:
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
     often = max(total // (8 * shards), min_docs)
     hot_rows = keys.filter(F.col("n") > often).toPandas()  # at most 8 * shards rows: their counts add up to the total
-    hot = spark.sparkContext.broadcast(index_of(hot_rows))
+    hot = spark.sparkContext.broadcast(index_of(hot_rows, min_docs))
     hot_keys = spark.createDataFrame(hot_rows[["high", "low"]], "high long, low long")
 
     def answered_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +165,7 @@ def lost_keys(docs: DataFrame, min_docs: int = 3, min_length: int = 20, id_col:
             yield batch.filter(pa.array(drops_of(hot.value, part, min_docs)))
 
     def answered(_: tuple, own: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        return part.loc[drops_of(index_of(own), part, min_docs), ["_id", "_hash", "high", "low"]]
+        return part.loc[drops_of(index_of(own, min_docs), part, min_docs), ["_id", "_hash", "high", "low"]]
 
     shard = F.pmod(F.col("low"), F.lit(shards)).alias("_shard")
     from_hot = asked.mapInArrow(answered_here, PROBE)
@@ -175,10 +176,11 @@ def lost_keys(docs: DataFrame, min_docs: int = 3, min_length: int = 20, id_col:
     return lost.groupBy("_id", "_hash").agg(F.collect_set(F.struct("high", "low")).alias("lost"))
 
 
-def index_of(rows: pd.DataFrame) -> LineIndex:
+def index_of(rows: pd.DataFrame, min_docs: int) -> LineIndex:
+    """The rows' index; counts saturate at no less than ``min_docs``."""
     owner = rows["owner"]
     return LineIndex(rows["high"].to_numpy(np.int64), rows["low"].to_numpy(np.int64), rows["n"].to_numpy(np.int64),
-                     owner.fillna(0).to_numpy(np.int64), owner.notna().to_numpy(bool))
+                     owner.fillna(0).to_numpy(np.int64), owner.notna().to_numpy(bool), max(255, min_docs))
 
 
 def drops_of(index: LineIndex, part: pd.DataFrame, min_docs: int) -> np.ndarray:

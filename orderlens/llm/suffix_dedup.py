@@ -1,10 +1,13 @@
 """Removal of repeated byte strings by suffix arrays built with a difference cover.
 
 Every byte covered by a ``LENGTH``-byte string that also starts in a document
-with a smaller id goes. Strings are sorted, not hashed: shards of text build
+with a smaller id goes. Whole equal cuts (below) are matched by two 64-bit
+hashes, the key and the cut's own, without comparing their bytes: two of a key's
+c different cuts are taken for one with a chance of at most c^2 / 2^65. Strings
+that different cuts of one key share are sorted, not hashed: shards of text build
 suffix arrays by the difference-cover method modulo 3 (sort the triples at two
 of three positions, recurse on their names, merge the rest) and equal strings
-are found by comparing adjacent suffixes.
+are found by comparing adjacent suffixes. A key with a single cut needs no sort.
 
 Text reaches shards so that equal strings always meet, without a row a byte:
 1. A string's key is the least hash of its ``GRAM``-byte parts, so equal strings

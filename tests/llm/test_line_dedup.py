@@ -80,3 +80,11 @@ def test_hot_keys_have_their_own_index(docs_of, monkeypatch):
     monkeypatch.setattr(line_dedup, "SHARD", 3)
     docs = [(i, f"{LINE}\nline of document number {i}\nline of documents {i // 3} in threes") for i in range(300)]
     assert sorted(map(tuple, line_digest(docs_of(docs)).collect()), key=str) == brute(docs)
+
+
+@pytest.mark.parametrize("min_docs", [256, 300])
+def test_counts_reach_min_docs(docs_of, min_docs):
+    line = "a line that is in very many documents"
+    docs = docs_of([(i, line) for i in range(min_docs)] + [(1000 + i, line + "!") for i in range(min_docs - 1)])
+    lost = line_dedup.lost_keys(docs, min_docs=min_docs).collect()
+    assert sorted(r["_id"] for r in lost) == list(range(min_docs - 1))  # the largest id keeps it
