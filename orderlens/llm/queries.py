@@ -63,6 +63,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orderlens.llm.whitening import whitened
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
@@ -74,6 +79,7 @@ QUERIES = {
     "op8_near_dups": op8_near_dups,
     "op9_secrets": op9_secrets,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
 }
 
 SQL: dict[str, str] = {
