@@ -68,6 +68,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op12_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orderlens.llm.classifier import quality_scores
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orderlens.llm.spelling import variants
+    return variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
@@ -80,6 +90,8 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_mixing": op10_mixing,
     "op11_whitening": op11_whitening,
+    "op12_classifier": op12_classifier,
+    "op13_spelling": op13_spelling,
 }
 
 SQL: dict[str, str] = {
