@@ -4,7 +4,8 @@ The source system pages an API, writes one JSON file per day, projects each
 order to a flat row and upserts it in batches of 25 into a key-value table.
 Here the same run is one batch job over the date range: land the documents
 (S10), read the range back (S1), project with column expressions, and merge
-into a versioned Parquet table where the newest row per ``invoice_id`` wins.
+into a bucketed Parquet table where the newest row per ``invoice_id`` wins; a
+run reads and rewrites the buckets of its own invoices alone (``buckets``).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import state
+from .buckets import BucketedRun
 from .nested import read_daily_orders, write_daily_json
 
 PRIMARY_KEY = "invoice_id"
@@ -94,12 +95,12 @@ def with_load_position(landed: DataFrame) -> DataFrame:
 
 
 def run_extraction(spark: SparkSession, docs: DataFrame, landing: str, table_root: str,
-                   start_day: str, end_day: str, source_tag: str = "orders") -> DataFrame:
+                   start_day: str, end_day: str, source_tag: str = "orders", n_buckets: int | None = None) -> DataFrame:
     """Land the day range, project, upsert into the history table; per-day counters.
 
     Every row carries the month and file name (``<source_tag>_<day>``) of its own day. Returns
-    ``(day, orders_landed, rows_upserted)``; the upserted table is committed as a new version,
-    unique to the run, under ``table_root``.
+    ``(day, orders_landed, rows_upserted)``; the buckets of the run's invoices are merged and committed
+    as a new version, unique to the run, under ``table_root``.
     """
     ts = F.col("order_date").cast("string").try_cast("timestamp_ntz")
     in_range = docs.where((F.to_date(ts) >= F.lit(start_day)) & (F.to_date(ts) <= F.lit(end_day)))
@@ -108,8 +109,9 @@ def run_extraction(spark: SparkSession, docs: DataFrame, landing: str, table_roo
     day = F.col("day")
     projected = project_orders(landed, F.concat_ws("_", F.lit(source_tag), day), F.substring(day, 1, 7),
                                extra=("day", "_load_seq"))
-    stored = state.read_table(spark, table_root, "history")
-    merged = upsert(stored, projected)
-    state.write_tables(spark, table_root, f"{start_day}_{end_day}-{uuid.uuid4().hex[:8]}", {"history": merged})
+    run = f"{start_day}_{end_day}-{uuid.uuid4().hex[:8]}"
+    table = BucketedRun(spark, table_root, run, n_buckets)
+    table.merge("history", projected, PRIMARY_KEY, upsert)
+    table.commit()
     counts = landed.groupBy("day").agg(F.count(F.lit(1)).alias("orders_landed"))
     return counts.join(projected.groupBy("day").agg(F.countDistinct(PRIMARY_KEY).alias("rows_upserted")), "day", "left")

@@ -10,10 +10,11 @@ Exactness: a day's rows may arrive over several batches (late data). Each
 batch lands its prepared rows under ``landed_rows/batch=<id>/day=<day>``
 (dynamic partition overwrite, so a retried batch rewrites only itself); the
 (SKU, day) keys it touches are then recomputed from every landed row of those
-keys and replace the stored rows in a new table version. A version's folder
-name is unique to the attempt; a batch whose version is committed is skipped,
-so a retry after the commit changes nothing and a retry before it never meets
-the folder that the first attempt left.
+keys (only their days' folders are read) and replace the stored rows; only the
+buckets of their SKUs are written anew. A version's folder name is unique to
+the attempt; a batch whose version is committed is skipped, so a retry after
+the commit changes nothing and a retry before it never meets the folder that
+the first attempt left.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sku_profiles as U
 from ..sources import state
+from ..sources.buckets import BucketedRun
 
 
 def merge_landed_batch(spark: SparkSession, root: str, batch_id: int) -> None:
@@ -34,10 +36,18 @@ def merge_landed_batch(spark: SparkSession, root: str, batch_id: int) -> None:
         return
     landed = spark.read.parquet(f"{root}/landed_rows").where(F.col("batch") <= batch_id)
     touched = landed.where(F.col("batch") == batch_id).select(U.KEY, "day").distinct()
-    recomputed = U.daily_series(landed.join(touched, [U.KEY, "day"], "left_semi").drop("batch"))
-    old = state.read_table(spark, root, "daily")
-    daily = recomputed if old is None else old.join(touched, [U.KEY, "day"], "left_anti").unionByName(recomputed)
-    state.write_tables(spark, root, f"{name}-{uuid.uuid4().hex[:8]}", {"daily": daily})
+    days = [r[0] for r in touched.select("day").distinct().collect()]   # bounded by the calendar; prunes the folders
+    same_days = landed.where(F.col("day").isin(days) | F.col("day").isNull())
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in (U.KEY, "day")]
+    rows = same_days.drop("batch").alias("r").join(touched.alias("t"), same[0] & same[1], "left_semi")
+    version = f"{name}-{uuid.uuid4().hex[:8]}"
+
+    def replaced(stored: DataFrame | None, new: DataFrame) -> DataFrame:
+        return new if stored is None else U.merge_latest(stored, new, [U.KEY, "day"])
+
+    run = BucketedRun(spark, root, version)
+    run.merge("daily", U.daily_series(rows), U.KEY, replaced)
+    run.commit()
 
 
 def start_profile_stream(spark: SparkSession, history_path: str, history_schema, root: str, checkpoint: str,

@@ -12,7 +12,7 @@ from oracle import all_sql
 from orderlens.plans.catalog import REGISTRY
 from orderlens.sources.tables import TABLES
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 SQL = all_sql()
 KEYS = sorted(REGISTRY)

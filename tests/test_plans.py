@@ -7,7 +7,7 @@ import pytest
 from orderlens.plans.catalog import REGISTRY
 from orderlens.sources.history import forget_history, materialize_history
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 # queries that write scratch tables while being built (their plans are checked by running them elsewhere)
 SIDE_EFFECT = {"s1_s10_daily_json_roundtrip", "s11_upsert_history", "s12_extraction_run", "u12_incremental_job", "u12_breakdowns_after_two_runs",
