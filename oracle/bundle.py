@@ -53,6 +53,19 @@ SELECT size, n, ROUND({pct('n', 'tot')}, 2) AS p FROM s, t"""
         _wrap(sizes, "product", "size_mix_pct", "size", "p")])
 
 
+def sku_details() -> str:
+    """The rows of the three SKU lists with all their columns."""
+    q, parts = metrics.queries(), []
+    lists = [("top_skus_by_revenue", q["m2_top_skus_by_revenue"], "revenue"), ("top_skus_by_units", q["m3_top_skus_by_units"], "units"),
+             ("sku_performance", q["m6_sku_performance_matrix"].replace("LIMIT 20", "LIMIT 10"), "revenue")]
+    for name, sql, by in lists:
+        more = ["aov"] if name.startswith("top") else ["revenue_per_unit", "units_per_order"]
+        cols = ", ".join(f"CAST({c if c in more else 'NULL'} AS DOUBLE) AS {c}" for c in ("aov", "revenue_per_unit", "units_per_order"))
+        parts.append(f"SELECT '{name}' AS list, CAST(ROW_NUMBER() OVER (ORDER BY {by} DESC, sku) AS INTEGER) AS rank, sku, style_name, "
+                     f"revenue, order_count, units, {cols} FROM ({sql}) t")
+    return _union(parts)
+
+
 def _row_rate(statuses: str) -> str:
     return f"{H} SELECT ROUND({pct(f'COUNT(CASE WHEN order_status IN ({statuses}) THEN 1 END)', 'COUNT(*)')}, 2) AS value FROM e"
 
@@ -129,4 +142,4 @@ def queries() -> dict[str, str]:
              "b7_b8_geographic_metrics": geographic(), "b9_b10_channel_metrics": channel(),
              "b11_b12_quality_metrics": quality(), "b13_advanced_metrics": advanced()}
     parts["b1_batch_all_metrics"] = _union(list(parts.values()))
-    return parts
+    return {**parts, "b4_sku_detail_rows": sku_details()}

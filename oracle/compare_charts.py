@@ -232,10 +232,13 @@ SELECT cells.base_sku, size_bucket AS size, CAST(DENSE_RANK() OVER (ORDER BY siz
 FROM cells JOIN tb ON cells.base_sku = tb.base_sku""",
         "g13_top_base_sku_size_distribution": f"""WITH {history(*FULL)}, {_top_bases()},
 cells AS (SELECT e.base_sku, size_bucket, SUM(item_quantity) AS units FROM e JOIN tb ON e.base_sku = tb.base_sku
-          GROUP BY e.base_sku, size_bucket)
-SELECT base_sku, size_bucket AS size, CAST(units AS DOUBLE) AS units,
-  ROUND({pct('units', 'SUM(units) OVER (PARTITION BY base_sku)')}, 2) AS share_pct
-FROM cells""",
+          GROUP BY e.base_sku, size_bucket),
+sz AS (SELECT size_bucket, ROW_NUMBER() OVER (ORDER BY size_bucket) - 1 AS x_index FROM (SELECT DISTINCT size_bucket FROM cells)),
+grid AS (SELECT tb.base_sku, y_index, sz.size_bucket, x_index, COALESCE(units, 0) AS units FROM tb CROSS JOIN sz
+         LEFT JOIN cells ON cells.base_sku = tb.base_sku AND cells.size_bucket = sz.size_bucket)
+SELECT base_sku, CAST(y_index AS INTEGER) AS y_index, size_bucket AS size, CAST(x_index AS INTEGER) AS x_index,
+  CAST(units AS DOUBLE) AS units, ROUND({pct('units', 'SUM(units) OVER (PARTITION BY base_sku)')}, 2) AS share_pct
+FROM grid""",
         "g14_top_sku_weekly_velocity": f"""WITH {history(*FULL)},
 t AS (SELECT {SKU} AS k FROM e GROUP BY {SKU} ORDER BY SUM(item_quantity) DESC, {SKU} ASC LIMIT 1),
 x AS (SELECT {SKU} AS top_sku, CAST(date_trunc('week', order_date) AS DATE) AS b, item_quantity FROM e

@@ -63,12 +63,21 @@ SELECT *, {_compare(['avg_gross_margin', 'avg_markup_percent', 'total_gross_prof
     cg = [("asm1", 0, "LOWER(COALESCE(asm_name, '')) = 'nation_1'"), ("asm2", 1, "LOWER(COALESCE(asm_name, '')) = 'nation_2'"),
           ("high_margin", 2, "COALESCE(margin, 0) > 30")]
     assigned = "\nUNION ALL\n".join(f"SELECT '{g}' AS group_id, {i} AS group_index, * FROM pc WHERE {cond}" for g, i, cond in cg)
-    mg, cy = "CAST(margin AS DOUBLE)", "CAST(payment_cycle AS DOUBLE)"
-    q["x3_x7_payment_cycle_group_comparison"] = f"""WITH pc AS ({PAYMENT_CYCLE}), ga AS ({assigned}),
+    mg, cy, cd = "CAST(margin AS DOUBLE)", "CAST(payment_cycle AS DOUBLE)", "CAST(cd AS DOUBLE)"
+    cycle = f"""WITH pc AS ({PAYMENT_CYCLE}), ga AS ({assigned}),
 gm AS (SELECT group_id, group_index, COUNT(*) AS distributor_count, ROUND(AVG({mg}), 2) AS avg_margin,
+         ROUND(AVG({mg}), 2) AS weighted_avg_margin,
          ROUND(AVG(CASE WHEN {cy} > 0 THEN {mg} / {cy} END), 4) AS margin_per_payment_day,
          ROUND(AVG(CASE WHEN {cy} > 0 THEN (100 - {mg}) / {cy} END), 4) AS cycle_efficiency_score,
          ROUND(SUM({mg}), 2) AS total_margin_exposure,
-         COUNT(CASE WHEN {mg} > 30 AND {cy} > 45 THEN 1 END) AS high_risk_count FROM ga GROUP BY 1, 2)
+         COUNT(CASE WHEN {cy} >= 0 AND {cy} < 15 THEN 1 END) AS very_short_cycle_0_15,
+         COUNT(CASE WHEN {cy} >= 15 AND {cy} < 30 THEN 1 END) AS short_cycle_15_30,
+         COUNT(CASE WHEN {cy} >= 30 AND {cy} < 45 THEN 1 END) AS medium_cycle_30_45,
+         COUNT(CASE WHEN {cy} >= 45 THEN 1 END) AS long_cycle_45plus,
+         ROUND(COALESCE(SUM({cd}), 0), 2) AS cd_sum, ROUND(COALESCE(AVG({cd}), 0), 2) AS cd_mean,
+         ROUND(COALESCE(MAX({cd}), 0), 2) AS cd_max, ROUND(COALESCE(MIN({cd}), 0), 2) AS cd_min, COUNT({cd}) AS cd_count,
+         COUNT(CASE WHEN {mg} > 30 AND {cy} > 45 THEN 1 END) AS high_risk_count FROM ga GROUP BY 1, 2)"""
+    q["x3_payment_cycle_groups"] = f"{cycle} SELECT * FROM gm"
+    q["x3_x7_payment_cycle_group_comparison"] = f"""{cycle}
 SELECT *, {_compare(['avg_margin', 'margin_per_payment_day', 'high_risk_count'], False, lower=('high_risk_count',))} FROM gm"""
     return q

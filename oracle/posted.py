@@ -31,10 +31,10 @@ def _b(col: str = "order_date") -> str:
             f"ELSE CAST(date_trunc('month', {col}) AS DATE) END")
 
 
-LABEL = f"""strftime(b, '%Y-%m-%d') AS bucket,
-  CASE {GRAIN} WHEN 'daily' THEN strftime(b, '%a')
+LABEL = f"""strftime(b, '%Y-%m-%d') AS bucket, is_total,
+  CASE WHEN is_total THEN 'total' ELSE CASE {GRAIN} WHEN 'daily' THEN strftime(b, '%a')
     WHEN 'weekly' THEN strftime(b, '%b %d') || ' - ' || strftime(b + INTERVAL 6 DAY, '%b %d')
-    ELSE strftime(b, '%b %Y') END AS label, {GRAIN} AS grain"""
+    ELSE strftime(b, '%b %Y') END END AS label, {GRAIN} AS grain"""
 
 
 def queries() -> dict[str, str]:
@@ -87,24 +87,30 @@ SELECT ROUND(COALESCE(i, 0), 4) AS avg_inventory_assignment_time_hours, ROUND(CO
         parts.append(f"""(SELECT '{name}' AS list, {key} AS key, CAST(ROUND(SUM({val}), 2) AS DOUBLE) AS value FROM li
   WHERE {key} IS NOT NULL GROUP BY {key} ORDER BY SUM({val}) DESC, {key} ASC LIMIT 10)""")
     q["n8_top_products"] = f"{BASE}\n" + "\nUNION ALL\n".join(parts)
+    total = "GROUPING(b) = 1 AS is_total"
     q["n9_volume_chart"] = f"""{BASE},
-ob AS (SELECT {_b()} AS b, COUNT(*) AS order_count FROM od WHERE order_date IS NOT NULL GROUP BY 1),
-lb AS (SELECT {_b()} AS b, COUNT(DISTINCT sku) AS unique_sku_count FROM li
-       WHERE order_date IS NOT NULL AND sku IS NOT NULL AND sku <> '' GROUP BY 1)
-SELECT {LABEL}, order_count, COALESCE(unique_sku_count, 0) AS unique_sku_count FROM ob LEFT JOIN lb USING (b)"""
+oo AS (SELECT {_b()} AS b FROM od WHERE order_date IS NOT NULL),
+ll AS (SELECT {_b()} AS b, sku FROM li WHERE order_date IS NOT NULL AND sku IS NOT NULL AND sku <> ''),
+ob AS (SELECT b, {total}, COUNT(*) AS order_count FROM oo GROUP BY ROLLUP (b)),
+lb AS (SELECT b, COUNT(DISTINCT sku) AS unique_sku_count FROM ll GROUP BY ROLLUP (b))
+SELECT {LABEL}, order_count, COALESCE(unique_sku_count, 0) AS unique_sku_count FROM ob LEFT JOIN lb ON ob.b IS NOT DISTINCT FROM lb.b""".replace(
+        "strftime(b", "strftime(ob.b")
     q["n10_revenue_chart"] = f"""{BASE},
-x AS (SELECT {_b()} AS b, SUM(total_amount) AS rev, COUNT(*) AS orders FROM od WHERE order_date IS NOT NULL GROUP BY 1)
+r AS (SELECT {_b()} AS b, total_amount FROM od WHERE order_date IS NOT NULL),
+x AS (SELECT b, {total}, SUM(total_amount) AS rev, COUNT(*) AS orders FROM r GROUP BY ROLLUP (b))
 SELECT {LABEL}, {money('rev')} AS revenue, orders, {ratio('rev', 'orders')} AS aov FROM x"""
     q["n11_payment_chart"] = f"""{BASE},
-x AS (SELECT {_b()} AS b, COUNT(CASE WHEN payment_mode = 'COD' THEN 1 END) AS cod,
-  COUNT(CASE WHEN payment_mode IS NOT NULL AND payment_mode <> 'COD' THEN 1 END) AS prepaid
-  FROM od WHERE order_date IS NOT NULL GROUP BY 1)
+r AS (SELECT {_b()} AS b, payment_mode FROM od WHERE order_date IS NOT NULL),
+x AS (SELECT b, {total}, COUNT(CASE WHEN payment_mode = 'COD' THEN 1 END) AS cod,
+  COUNT(CASE WHEN payment_mode IS NOT NULL AND payment_mode <> 'COD' THEN 1 END) AS prepaid FROM r GROUP BY ROLLUP (b))
 SELECT {LABEL}, cod, prepaid FROM x"""
     q["n12_cancellation_chart"] = f"""{BASE},
-x AS (SELECT {_b()} AS b, CAST(SUM(cancelled_quantity) AS BIGINT) AS cancelled,
-  CAST(SUM(returned_quantity) AS BIGINT) AS returned FROM li WHERE order_date IS NOT NULL GROUP BY 1)
+r AS (SELECT {_b()} AS b, cancelled_quantity, returned_quantity FROM li WHERE order_date IS NOT NULL),
+x AS (SELECT b, {total}, CAST(SUM(cancelled_quantity) AS BIGINT) AS cancelled,
+  CAST(SUM(returned_quantity) AS BIGINT) AS returned FROM r GROUP BY ROLLUP (b))
 SELECT {LABEL}, cancelled, returned FROM x"""
-    q["n13_pincodes_in_state"] = f"""{BASE}
-SELECT CAST(pin_code AS VARCHAR) AS pin_code, COUNT(*) AS order_count FROM od
-WHERE state IS NOT NULL AND pin_code IS NOT NULL AND LOWER(state) = LOWER('{C.N13_STATE}') GROUP BY pin_code"""
+    q["n13_pincodes_in_state"] = f"""{BASE},
+p AS (SELECT CAST(pin_code AS VARCHAR) AS b FROM od
+  WHERE state IS NOT NULL AND pin_code IS NOT NULL AND LOWER(state) = LOWER('{C.N13_STATE}'))
+SELECT b AS pin_code, COUNT(*) AS order_count, {total} FROM p GROUP BY ROLLUP (b)"""
     return q

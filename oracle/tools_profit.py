@@ -29,7 +29,8 @@ def _geo() -> str:
     return f"{R}\n" + "\nUNION ALL\n".join(parts)
 
 
-def _profile() -> str:
+def _profile() -> tuple[str, str]:
+    """The profile and the values that it counts."""
     money_ = lambda c: f"CAST({c} AS DECIMAL(18,4))"
     cells = {"total_amount": money_("total_amount"), "mrp": money_("mrp"), "cost": money_("cost"), "selling_price": money_("mrp"),
              "billing_state": "state", "suborder_model_no": "model_no",
@@ -41,14 +42,19 @@ def _profile() -> str:
     types = {c: t.simpleString() for c, t in {**HISTORY_TYPES, **HISTORY_EXTRA_TYPES}.items()}
     columns = [c for c in C.PROFILE_COLUMNS if c in there]   # the others are null in every row
     stacked = "\nUNION ALL\n".join(f"SELECT '{c}' AS col, CAST({cells.get(c, c)} AS VARCHAR) AS value FROM ol" for c in columns)
-    type_case = " ".join(f"WHEN '{c}' THEN '{types[c]}'" for c in columns)
-    return f"""{R},
+    names = ", ".join(f"('{c}', '{types[c]}')" for c in C.PROFILE_COLUMNS)
+    counted = f"""{R},
 s AS ({stacked}),
-cnt AS (SELECT col, value, COUNT(*) AS n FROM s WHERE value IS NOT NULL GROUP BY col, value),
-per AS (SELECT col, COUNT(*) AS distinct_count, SUM(n) AS non_null, MIN(value) AS example FROM cnt GROUP BY col)
-SELECT per.col AS "column", CASE per.col {type_case} END AS dtype, CAST(non_null AS BIGINT) AS non_null, distinct_count,
-  example, distinct_count <= 20 AS is_categorical, value, n
-FROM per JOIN cnt ON per.col = cnt.col"""
+cnt AS (SELECT col, value, COUNT(*) AS n FROM s WHERE value IS NOT NULL GROUP BY col, value)"""
+    profile = f""",
+per AS (SELECT col, COUNT(*) AS distinct_count, SUM(n) AS non_null, MIN(value) AS example FROM cnt GROUP BY col),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY col ORDER BY n DESC, value ASC) AS r FROM cnt),
+tops AS (SELECT col, string_agg(value || ' (' || n || ')', '; ' ORDER BY r) AS top_values FROM ranked WHERE r <= 5 GROUP BY col),
+names AS (SELECT * FROM (VALUES {names}) t(col, dtype))
+SELECT names.col AS "column", dtype, CAST(COALESCE(non_null, 0) AS BIGINT) AS non_null,
+  COALESCE(distinct_count, 0) AS distinct_count, example, COALESCE(distinct_count, 0) <= 20 AS is_categorical, top_values
+FROM names LEFT JOIN per ON names.col = per.col LEFT JOIN tops ON names.col = tops.col"""
+    return f"{counted}\n{profile}", f'{counted}\nSELECT col AS "column", value, n FROM cnt'
 
 
 def _corr() -> str:
@@ -75,6 +81,10 @@ def queries() -> dict[str, str]:
 WHERE pin_code IS NOT NULL GROUP BY pin_code ORDER BY count DESC, pin_code ASC LIMIT 10"""
     q["t6_average_charges"] = f"""{R} SELECT ROUND(COALESCE(AVG(CAST(mrp AS DOUBLE)), 0), 2) AS avg_mrp,
   ROUND(COALESCE(AVG(CAST(cost AS DOUBLE)), 0), 2) AS avg_cost FROM ol"""
+    charges = ", ".join(f"ROUND(COALESCE(AVG(CAST({c} AS DOUBLE)), 0), 2) AS avg_{c}" for c in C.CHARGES)
+    q["t6_average_order_charges"] = f"""{R},
+d AS (SELECT order_id, '0.0000' AS total_discount, '0.0000' AS total_shipping_charge, '0.0000' AS total_tax FROM ol GROUP BY 1)
+SELECT {charges} FROM d"""
     q["t7_conversion_rate"] = f"""{R} SELECT ROUND({pct("COUNT(CASE WHEN order_status = 'Shipped' THEN 1 END)", 'COUNT(*)')}, 2)
   AS conversion_rate FROM ol"""
     t8 = []
@@ -87,6 +97,14 @@ WHERE pin_code IS NOT NULL GROUP BY pin_code ORDER BY count DESC, pin_code ASC L
   {money('COALESCE(SUM(total_amount), 0)')} AS total_revenue, COUNT(*) AS order_count,
   ROUND({_pctl(0.5)}, 2) AS amount_median, ROUND(stddev_samp({AMT}), 2) AS amount_std,
   ROUND({_pctl(0.25)}, 2) AS amount_q25, ROUND({_pctl(0.75)}, 2) AS amount_q75 FROM ol"""
+    stats = {"count": f"COUNT({AMT})", "mean": f"AVG({AMT})", "median": _pctl(0.5), "std": f"stddev_samp({AMT})",
+             "min": f"MIN({AMT})", "max": f"MAX({AMT})", "q25": _pctl(0.25), "q75": _pctl(0.75)}
+    rows = {"aov": ratio("SUM(total_amount)", "COUNT(total_amount)"), "total_revenue": money("COALESCE(SUM(total_amount), 0)"),
+            "order_count": "COUNT(*)", **{f"total_amount_{k}": f"ROUND(COALESCE({e}, 0), 2)" for k, e in stats.items()}}
+    q["t9_common_metrics_whole"] = f"{R}\n" + "\nUNION ALL\n".join(
+        [f"SELECT '{m}' AS metric, CAST(NULL AS VARCHAR) AS key, CAST({e} AS DOUBLE) AS value FROM ol" for m, e in rows.items()]
+        + [f"SELECT '{c}_distribution' AS metric, CAST({c} AS VARCHAR) AS key, CAST(COUNT(*) AS DOUBLE) AS value FROM ol "
+           f"WHERE {c} IS NOT NULL GROUP BY {c}" for c in ("order_status", "payment_mode", "marketplace")])
     q["t10_geographic_insights"] = _geo()
     q["t11_cancelled_count"] = f"{R} SELECT COUNT(CASE WHEN order_status = 'Cancelled' THEN 1 END) AS cancel_count FROM ol"
     q["t12_statistical_summary"] = f"""{R} SELECT COUNT({AMT}) AS count, ROUND(COALESCE(AVG({AMT}), 0), 2) AS mean,
@@ -101,7 +119,7 @@ SELECT ROUND(COALESCE(MAX(t), 0), 2) AS threshold, COUNT(CASE WHEN {AMT} {op} t
   ROUND(COALESCE(SUM(CASE WHEN {AMT} {op} t THEN {AMT} END), 0), 2) AS total_value
 FROM ol, th"""
     q["t16_correlation_matrix"] = _corr()
-    q["t18_column_profile"] = _profile()
+    q["t18_column_profile"], q["t18_column_values"] = _profile()
     q["t19_custom_metric"] = f"{R} SELECT {C.CUSTOM_EXPR} AS revenue_per_order FROM ol"
 
     V = f"WITH v AS ({VENDOR_COST_SHEET})"

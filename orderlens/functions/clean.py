@@ -159,8 +159,11 @@ def ratio(n: Column, d: Column, scale: int = 2) -> Column:
     return F.round(F.coalesce(F.try_divide(n.cast("double"), d.cast("double")), F.lit(0.0)), scale)
 
 
-def bucket_label(bucket: Column, grain: str) -> Column:
+def bucket_label(bucket: Column, grain: str | Column) -> Column:
     """Chart label for a bucket start date."""
+    if isinstance(grain, Column):
+        return (F.when(grain == "daily", bucket_label(bucket, "daily")).when(grain == "weekly", bucket_label(bucket, "weekly"))
+                .otherwise(bucket_label(bucket, "monthly")))
     if grain == "daily":
         return F.date_format(bucket, "yyyy-MM-dd")
     if grain == "weekly":

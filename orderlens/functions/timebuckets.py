@@ -40,19 +40,21 @@ def grain_from_window(start: datetime, end: datetime) -> str:
 
 
 def grain_from_data(df: DataFrame, col: str = "order_date",
-                    thresholds: tuple[int, int] = HISTORY_THRESHOLDS) -> str:
+                    thresholds: tuple[int, int] = HISTORY_THRESHOLDS) -> Column:
     """A7/A8 (observed span): whole 24 h periods between min and max.
 
-    One global min/max aggregate; only its single row reaches the driver.
+    One global min/max aggregate, a scalar subquery of the plan that uses it: nothing runs before the action.
     """
-    row = df.agg(F.expr(f"timestampdiff(SECOND, min({col}), max({col}))").alias("s")).first()
-    if row is None or row["s"] is None:
-        return "daily"
-    return grain_for_days(int(row["s"]) // 86400, thresholds)
+    days = F.floor(df.agg(F.expr(f"timestampdiff(SECOND, min({col}), max({col}))")).scalar() / 86400)
+    return (F.when(days > thresholds[1], F.lit("monthly")).when(days > thresholds[0], F.lit("weekly"))
+            .otherwise(F.lit("daily")))
 
 
-def bucket_start(grain: str, col: str | Column = "order_date") -> Column:
+def bucket_start(grain: str | Column, col: str | Column = "order_date") -> Column:
     c = F.col(col) if isinstance(col, str) else col
+    if isinstance(grain, Column):
+        return (F.when(grain == "daily", bucket_start("daily", c)).when(grain == "weekly", bucket_start("weekly", c))
+                .otherwise(bucket_start("monthly", c)))
     if grain == "daily":
         return F.to_date(c)
     if grain == "weekly":
@@ -62,12 +64,12 @@ def bucket_start(grain: str, col: str | Column = "order_date") -> Column:
     raise ValueError(f"unknown grain {grain!r}")
 
 
-def with_bucket(df: DataFrame, grain: str, col: str = "order_date") -> DataFrame:
+def with_bucket(df: DataFrame, grain: str | Column, col: str = "order_date") -> DataFrame:
     """Adds ``_bucket`` (date) for grouping; rows with a null date drop."""
     return df.where(F.col(col).isNotNull()).withColumn("_bucket", bucket_start(grain, col))
 
 
-def finish_series(agg: DataFrame, grain: str) -> DataFrame:
+def finish_series(agg: DataFrame, grain: str | Column) -> DataFrame:
     """Replace ``_bucket`` by the ``bucket`` key (yyyy-MM-dd) and its chart ``label``; rows come by bucket."""
     return (agg.withColumn("bucket", F.date_format("_bucket", "yyyy-MM-dd"))
             .withColumn("label", bucket_label(F.col("_bucket"), grain))

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import label_or_unknown, money, ratio, safe_pct
@@ -124,6 +124,24 @@ def product_metrics(df: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+def sku_detail_rows(df: DataFrame, n: int = 5, n_performance: int = 10) -> DataFrame:
+    """B4 (detail): every column of the SKU lists, one row per list and rank, from one per-SKU aggregate.
+
+    (list, rank, sku, style_name, revenue, order_count, units, aov, revenue_per_unit, units_per_order)
+    """
+    lists = [("top_skus_by_revenue", metrics.top_skus_by_revenue(df, n), "revenue"),
+             ("top_skus_by_units", metrics.top_skus_by_units(df, n), "units"),
+             ("sku_performance", metrics.sku_performance_matrix(df, n_performance), "revenue")]
+    parts = []
+    for name, rows, by in lists:
+        rank = F.row_number().over(Window.orderBy(F.col(by).desc(), F.col("sku")))   # over the list's rows
+        have = set(rows.columns)
+        parts.append(rows.select(F.lit(name).alias("list"), rank.alias("rank"), "sku", "style_name", "revenue", "order_count",
+                                 "units", *((F.col(c) if c in have else F.lit(None)).cast("double").alias(c)
+                                            for c in ("aov", "revenue_per_unit", "units_per_order"))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def performance_metrics(df: DataFrame) -> DataFrame:
     """B5 (fulfilment over rows) and B6 (value distribution, velocities)."""
     median = exact_quantile(df, F.col("total_amount").cast("double"), 0.5)

@@ -8,7 +8,7 @@ the bounded top-n frame through a broadcast semi join (J7).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import growth_pct, money, ratio, safe_pct
@@ -21,7 +21,7 @@ from .kpis import CANCELLED, RTO
 SKU = "canonical_sku_normalized"
 
 
-def chart_grain(df: DataFrame, req: HistoryRequest) -> str:
+def chart_grain(df: DataFrame, req: HistoryRequest) -> str | Column:
     return requested_grain((req.filters or {}).get("granularity")) or grain_from_data(df)
 
 
@@ -116,31 +116,34 @@ def sku_revenue_vs_cancellation(df: DataFrame, n: int = 50) -> DataFrame:
 
 
 def _top_bases(df: DataFrame, n: int) -> DataFrame:
-    per = df.groupBy("base_sku").agg(F.sum("item_quantity").alias("_u"))
-    top = _top(per, "base_sku", "_u", n)
-    return top.withColumn("y_index", F.row_number().over(Window.orderBy(F.col("_u").desc(), F.col("base_sku"))) - 1)
+    """One row per top-n base SKU, from one scan: (base_sku, _u, y_index, _cells, _sizes).
+
+    ``_cells`` holds the base's (size, units); ``_sizes`` the sorted sizes of all
+    n bases. A base has as many cells as it has sizes, and the windows run over n rows.
+    """
+    cells = df.groupBy("base_sku", "size_bucket").agg(F.sum("item_quantity").alias("units"))
+    per = cells.groupBy("base_sku").agg(F.sum("units").alias("_u"), F.collect_list(F.struct("size_bucket", "units")).alias("_cells"))
+    rank = Window.orderBy(F.col("_u").desc(), F.col("base_sku"))
+    sizes = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_cells.size_bucket").over(Window.partitionBy()))))
+    return _top(per, "base_sku", "_u", n).withColumns({"y_index": F.row_number().over(rank) - 1, "_sizes": sizes})
 
 
 def base_sku_size_heatmap(df: DataFrame, n: int = 10) -> DataFrame:
     """Units per (base SKU, size) for the top-n base SKUs (present cells)."""
-    top = _top_bases(df, n)
-    cells = (df.join(F.broadcast(top.select("base_sku")), "base_sku", "left_semi")
-             .groupBy("base_sku", "size_bucket").agg(F.sum("item_quantity").alias("units")))
-    cells = cells.join(F.broadcast(top.select("base_sku", "y_index")), "base_sku")
-    # at most n × (sizes) rows: a global dense rank over them is bounded
-    x_index = F.dense_rank().over(Window.orderBy("size_bucket")) - 1
-    return cells.select("base_sku", F.col("size_bucket").alias("size"), x_index.alias("x_index"),
+    cells = _top_bases(df, n).select("base_sku", "y_index", "_sizes", F.inline("_cells"))
+    return cells.select("base_sku", F.col("size_bucket").alias("size"),
+                        (F.array_position("_sizes", F.col("size_bucket")) - 1).cast("int").alias("x_index"),
                         F.col("y_index").cast("int").alias("y_index"), F.col("units").cast("double"))
 
 
 def top_base_sku_size_distribution(df: DataFrame, n: int = 10) -> DataFrame:
-    """Size distribution within each top-n base SKU (units and share of the base)."""
-    top = _top_bases(df, n)
-    cells = (df.join(F.broadcast(top.select("base_sku")), "base_sku", "left_semi")
-             .groupBy("base_sku", "size_bucket").agg(F.sum("item_quantity").alias("units")))
-    share = safe_pct(F.col("units"), F.sum("units").over(Window.partitionBy("base_sku")))
-    return cells.select("base_sku", F.col("size_bucket").alias("size"), F.col("units").cast("double"),
-                        F.round(share, 2).alias("share_pct"))
+    """The dense grid of top-n base SKUs (by rank ``y_index``) and the sizes that these have (by name,
+    ``x_index``): units, 0 where a base lacks the size, and the share of the base."""
+    grid = _top_bases(df, n).select("base_sku", "y_index", "_u", "_cells", F.posexplode("_sizes").alias("x_index", "size"))
+    there = F.filter("_cells", lambda c: c["size_bucket"] == F.col("size"))
+    units = F.coalesce(F.get(there, F.lit(0))["units"], F.lit(0))
+    return grid.select("base_sku", F.col("y_index").cast("int").alias("y_index"), "size", "x_index",
+                       units.cast("double").alias("units"), F.round(safe_pct(units, F.col("_u")), 2).alias("share_pct"))
 
 
 def top_sku_weekly_velocity(df: DataFrame) -> DataFrame:

@@ -8,11 +8,11 @@ per-group aggregate, whose size is the number of groups in the request.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import compile_filters
-from .paycycle import RISK_CYCLE, RISK_MARGIN, _n
+from .paycycle import RISK_CYCLE, RISK_MARGIN, _n, metric_columns
 from .profit import profit_summary
 
 
@@ -60,15 +60,11 @@ def group_profit_metrics(grouped_items: DataFrame) -> DataFrame:
 
 
 def group_payment_cycle_metrics(grouped_sheet: DataFrame) -> DataFrame:
-    """D1, D3, D4, D6 and the high-risk count per group."""
+    """D1 to D8 per group (D5 as a count) in one aggregate: means, exposure, the payment-cycle histogram and the
+    cash-discount statistics. Groups may overlap."""
     m, cyc = _n("margin"), _n("payment_cycle")
-    pos = cyc > 0
     return grouped_sheet.groupBy("group_id", "group_index").agg(
-        F.count(F.lit(1)).alias("distributor_count"),
-        F.round(F.avg(m), 2).alias("avg_margin"),
-        F.round(F.avg(F.when(pos, m / cyc)), 4).alias("margin_per_payment_day"),
-        F.round(F.avg(F.when(pos, (100 - m) / cyc)), 4).alias("cycle_efficiency_score"),
-        F.round(F.sum(m), 2).alias("total_margin_exposure"),
+        F.count(F.lit(1)).alias("distributor_count"), *metric_columns(),
         F.count(F.when((m > RISK_MARGIN) & (cyc > RISK_CYCLE), 1)).alias("high_risk_count"))
 
 
@@ -78,21 +74,30 @@ def compare_groups(metrics: DataFrame, value_cols: list[str], n_groups: int,
 
     Two groups → pairwise rules (the second group wins ties); more → the
     first group listed wins ties. ``lower_is_better`` columns pick the
-    minimum (e.g. the lowest-risk group). The windows run over one row per
-    group (a request-sized frame).
+    minimum (e.g. the lowest-risk group). The groups become one array in one
+    row (a request-sized one), from which array functions take the baseline,
+    the differences and the winners: the metrics are computed once.
     """
-    pairwise = n_groups == 2
-    base = metrics.where(F.col("group_index") == metrics.agg(F.min("group_index")).scalar())
-    out = metrics
-    for c in value_cols:
-        b = base.agg(F.first(c)).scalar()
-        v = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        bv = F.coalesce(b.cast("double"), F.lit(0.0))
-        order = v.asc() if c in lower_is_better else v.desc()
-        tie = F.col("group_index").desc() if pairwise else F.col("group_index").asc()
-        out = out.withColumns({
-            f"{c}_diff": F.round(v - bv, 4),
-            f"{c}_diff_pct": F.round(F.when(bv > 0, (v - bv) / bv * 100.0).otherwise(0.0), 2),
-            f"{c}_winner": F.row_number().over(Window.orderBy(order, tie)) == 1,
-        })
-    return out
+    tie_sign = 1 if n_groups == 2 else -1
+    row = metrics.agg(F.sort_array(F.collect_list(F.struct("group_index", F.struct(*metrics.columns).alias("m")))).alias("g"))
+    g = F.col("g")
+    number = lambda m, c: F.coalesce(m[c].cast("double"), F.lit(0.0))
+
+    def best(c: str) -> Column:
+        """The winner's index: the greatest (value, tie) of all groups."""
+        sign = -1.0 if c in lower_is_better else 1.0
+        ranked = F.transform(g, lambda x: F.struct((number(x["m"], c) * sign).alias("v"), (x["group_index"] * tie_sign).alias("t")))
+        return F.array_max(ranked)["t"] * tie_sign
+
+    # baseline and winners once per row, not once per group
+    row = row.where(F.size(g) > 0).select("g", *(c for v in value_cols for c in (
+        number(F.get(g, F.lit(0))["m"], v).alias(f"_base_{v}"), best(v).alias(f"_best_{v}"))))
+    rows = row.select(F.explode("g").alias("x"), *(c for c in row.columns if c != "g"))
+
+    def compared(c: str) -> list[Column]:
+        v, b = number(F.col("x.m"), c), F.col(f"_base_{c}")
+        return [F.round(v - b, 4).alias(f"{c}_diff"),
+                F.round(F.when(b > 0, (v - b) / b * 100.0).otherwise(0.0), 2).alias(f"{c}_diff_pct"),
+                (F.col("x.group_index") == F.col(f"_best_{c}")).alias(f"{c}_winner")]
+
+    return rows.select("x.m.*", *(c for v in value_cols for c in compared(v)))

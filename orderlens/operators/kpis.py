@@ -15,7 +15,7 @@ from ..functions.clean import growth_pct, money, ratio, safe_pct
 from ..functions.timebuckets import finish_series, grain_from_window, with_bucket
 from ..plans.history import fetch_two_windows
 from ..plans.request import HistoryRequest, quarter_windows, trailing_windows
-from .core import status_order_counts, status_rate, zip_rows
+from .core import status_flag, status_order_counts, status_rate
 
 # Fixed status sets of the KPI definitions.
 CANCELLED = ["Cancelled"]
@@ -28,16 +28,27 @@ def _cod_row() -> Column:
     return F.when(F.col("payment_mode") == "COD", 1).otherwise(0)
 
 
-def kpi_bundle(df: DataFrame) -> DataFrame:
-    """K0: the nine headline KPIs in one row."""
-    per = status_order_counts(
-        df, [], {"cancelled": CANCELLED, "rto": RTO, "delivered": DELIVERED_LITERAL},
-        sums={"_amount": F.col("total_amount"), "_units": F.col("item_quantity"), "_cod": _cod_row()})
-    skus = df.agg(F.countDistinct("sku").alias("unique_skus"))
-    row = zip_rows(per, skus)
+def kpi_bundle(df: DataFrame, dims: tuple[str, ...] = ()) -> DataFrame:
+    """K0: the nine headline KPIs, in one row or one per value of ``dims``, from one scan.
+
+    Orders and SKUs are two grouping sets of one aggregate, combined before its
+    shuffle; the distinct counts are then the numbers of their rows.
+    """
+    sets = {"cancelled": CANCELLED, "rto": RTO, "delivered": DELIVERED_LITERAL}
+    sums = {"_amount": F.col("total_amount"), "_units": F.col("item_quantity"), "_cod": _cod_row()}
+    narrow = df.select(*dims, "order_id", "sku", *(status_flag(s).alias(f"{n}_orders") for n, s in sets.items()),
+                       *(c.alias(n) for n, c in sums.items()))
+    per = narrow.groupingSets([[*dims, "order_id"], [*dims, "sku"]], *dims, "order_id", "sku").agg(
+        *(F.max(f"{n}_orders").alias(f"{n}_orders") for n in sets), *(F.sum(n).alias(n) for n in sums),
+        F.count(F.lit(1)).alias("rows"), (F.grouping("order_id") == 0).alias("_order"))
+    order, known = F.col("_order"), F.col("_order") & F.col("order_id").isNotNull()
+    row = per.groupBy(*dims).agg(
+        F.count(F.when(known, 1)).alias("orders"), F.count(F.when(~order & F.col("sku").isNotNull(), 1)).alias("unique_skus"),
+        *(F.coalesce(F.sum(F.when(known, F.col(f"{n}_orders"))), F.lit(0)).alias(f"{n}_orders") for n in sets),
+        *(F.sum(F.when(order, F.col(n))).alias(n) for n in (*sums, "rows")))
     rev = F.coalesce(F.col("_amount"), F.lit(0))
     return row.select(
-        F.col("orders").alias("total_orders"),
+        *dims, F.col("orders").alias("total_orders"),
         F.coalesce(F.col("_units"), F.lit(0)).cast("bigint").alias("units_sold"),
         money(rev).alias("gross_revenue"),
         ratio(rev, F.col("orders")).alias("aov"),

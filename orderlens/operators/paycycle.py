@@ -22,6 +22,11 @@ def _n(c: str) -> Column:
 
 def payment_cycle_metrics(sheet: DataFrame, volume_column: str | None = None) -> DataFrame:
     """D1–D4, D6–D8 in one aggregate row."""
+    return sheet.agg(*metric_columns(volume_column))
+
+
+def metric_columns(volume_column: str | None = None) -> list[Column]:
+    """D1–D4, D6–D8 as aggregates, for the whole sheet or per group."""
     m, cyc, cd = _n("margin"), _n("payment_cycle"), _n("cd")
     pos = cyc > 0
     if volume_column:
@@ -30,7 +35,7 @@ def payment_cycle_metrics(sheet: DataFrame, volume_column: str | None = None) ->
     else:
         weighted = F.round(F.avg(m), 2)
     lo, mid, hi = CYCLE_EDGES
-    return sheet.agg(
+    return [
         F.round(F.avg(m), 2).alias("avg_margin"),
         weighted.alias("weighted_avg_margin"),
         F.round(F.avg(F.when(pos, m / cyc)), 4).alias("margin_per_payment_day"),
@@ -44,7 +49,7 @@ def payment_cycle_metrics(sheet: DataFrame, volume_column: str | None = None) ->
         F.round(F.coalesce(F.avg(cd), F.lit(0.0)), 2).alias("cd_mean"),
         F.round(F.coalesce(F.max(cd), F.lit(0.0)), 2).alias("cd_max"),
         F.round(F.coalesce(F.min(cd), F.lit(0.0)), 2).alias("cd_min"),
-        F.count(cd).alias("cd_count"))
+        F.count(cd).alias("cd_count")]
 
 
 def high_risk_distributors(sheet: DataFrame, margin_threshold: float = RISK_MARGIN,

@@ -7,12 +7,12 @@ text and is coerced with ``try_cast`` (bad → 0).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import bucket_label, money, ratio, safe_pct, to_number, to_timestamp_lenient
 from ..functions.filters import state_equals, status_mentions
-from ..functions.timebuckets import POSTED_THRESHOLDS, bucket_start, grain_for_days
+from ..functions.timebuckets import POSTED_THRESHOLDS, bucket_start, grain_from_data
 from ..schema import MONEY
 from .core import zip_rows
 
@@ -164,63 +164,75 @@ def top_products(docs: DataFrame, n: int = 10) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _posted_grain(df: DataFrame) -> str:
-    row = df.agg(F.expr("timestampdiff(SECOND, min(order_date), max(order_date))").alias("s")).first()
-    if row is None or row["s"] is None:
-        return "daily"
-    return grain_for_days(int(row["s"]) // 86400, POSTED_THRESHOLDS)
+def _posted_grain(dates: DataFrame) -> Column:
+    """The grain of the observed span, inside the plan."""
+    return grain_from_data(dates, "order_date", POSTED_THRESHOLDS)
 
 
-def _label(grain: str):
-    return (lambda b: F.date_format(b, "EEE")) if grain == "daily" else (lambda b: bucket_label(b, grain))
+def _label(bucket: Column, grain: Column) -> Column:
+    return F.when(grain == "daily", F.date_format(bucket, "EEE")).otherwise(bucket_label(bucket, grain))
 
 
-def _finish(agg: DataFrame, grain: str) -> DataFrame:
-    return agg.select(F.date_format("_b", "yyyy-MM-dd").alias("bucket"), _label(grain)(F.col("_b")).alias("label"),
-                      F.lit(grain).alias("grain"), *[c for c in agg.columns if c != "_b"]).orderBy("bucket")
+def _series(rows: DataFrame, grain: Column, *aggs: Column) -> DataFrame:
+    """Buckets and their total from one ROLLUP over rows with ``_b``: the total's ``_b`` is null, ``is_total`` true."""
+    return rows.rollup("_b").agg(*aggs, (F.grouping("_b") == 1).alias("is_total")).withColumn("_grain", grain)
+
+
+def _finish(agg: DataFrame) -> DataFrame:
+    label = F.when(F.col("is_total"), F.lit("total")).otherwise(_label(F.col("_b"), F.col("_grain")))
+    return agg.select(F.date_format("_b", "yyyy-MM-dd").alias("bucket"), label.alias("label"), F.col("_grain").alias("grain"),
+                      *[c for c in agg.columns if c not in ("_b", "_grain")]).orderBy("is_total", "bucket")
+
+
+def _dated(docs: DataFrame, *cols: Column | str) -> DataFrame:
+    return docs.select(to_timestamp_lenient("order_date").alias("order_date"), *cols).where(F.col("order_date").isNotNull())
 
 
 def volume_chart(docs: DataFrame) -> DataFrame:
-    """Orders and distinct SKUs per bucket (≤7 days daily, ≤90 weekly, else monthly)."""
-    o = posted_order_rows(docs).where(F.col("order_date").isNotNull())
-    grain = _posted_grain(o)
-    orders = o.groupBy(bucket_start(grain).alias("_b")).agg(F.count(F.lit(1)).alias("order_count"))
-    lines = (posted_lines(docs).where(F.col("order_date").isNotNull() & F.col("sku").isNotNull() & (F.col("sku") != ""))
-             .groupBy(bucket_start(grain).alias("_b")).agg(F.countDistinct("sku").alias("unique_sku_count")))
-    j = orders.join(lines, "_b", "left").withColumn("unique_sku_count", F.coalesce("unique_sku_count", F.lit(0)))
-    return _finish(j, grain)
+    """Orders and distinct SKUs per bucket (≤7 days daily, ≤90 weekly, else monthly) and in total.
+
+    One pass over the documents: a row per suborder's SKU, its order counted at the first. SKUs are combined per
+    bucket before the rollup, whose distinct counts are exact for the total, too.
+    """
+    grain = _posted_grain(_dated(docs))
+    rows = _dated(docs, F.posexplode_outer(F.transform("suborders", lambda s: s["sku"])).alias("pos", "sku"))
+    per = (rows.groupBy(bucket_start(grain).alias("_b"), "sku")
+           .agg(F.count(F.when(F.coalesce("pos", F.lit(0)) == 0, 1)).alias("n")))
+    return _finish(_series(per, grain, F.sum("n").alias("order_count"),
+                           F.countDistinct(F.when(F.col("sku") != "", F.col("sku"))).alias("unique_sku_count")))
 
 
 def revenue_chart(docs: DataFrame) -> DataFrame:
-    """Revenue, orders and AOV per bucket."""
-    o = posted_order_rows(docs).where(F.col("order_date").isNotNull())
+    """Revenue, orders and AOV per bucket and in total."""
+    o = _dated(docs, to_number("total_amount", MONEY).alias("total_amount"))
     grain = _posted_grain(o)
-    agg = o.groupBy(bucket_start(grain).alias("_b")).agg(F.sum("total_amount").alias("_rev"), F.count(F.lit(1)).alias("orders"))
-    agg = agg.select("_b", money(F.col("_rev")).alias("revenue"), "orders", ratio(F.col("_rev"), F.col("orders")).alias("aov"))
-    return _finish(agg, grain)
+    agg = _series(o.withColumn("_b", bucket_start(grain)), grain, F.sum("total_amount").alias("_rev"),
+                  F.count(F.lit(1)).alias("orders"))
+    return _finish(agg.select("_b", money(F.col("_rev")).alias("revenue"), "orders",
+                              ratio(F.col("_rev"), F.col("orders")).alias("aov"), "is_total", "_grain"))
 
 
 def payment_chart(docs: DataFrame) -> DataFrame:
-    """COD and other (non-null) payment-mode orders per bucket."""
-    o = posted_order_rows(docs).where(F.col("order_date").isNotNull())
-    grain = _posted_grain(o)
-    pm = F.col("payment_mode")
-    agg = o.groupBy(bucket_start(grain).alias("_b")).agg(
-        F.count(F.when(pm == "COD", 1)).alias("cod"), F.count(F.when(pm.isNotNull() & (pm != "COD"), 1)).alias("prepaid"))
-    return _finish(agg, grain)
+    """COD and other (non-null) payment-mode orders per bucket and in total."""
+    o = _dated(docs, "payment_mode")
+    grain, pm = _posted_grain(o), F.col("payment_mode")
+    return _finish(_series(
+        o.withColumn("_b", bucket_start(grain)), grain, F.count(F.when(pm == "COD", 1)).alias("cod"),
+        F.count(F.when(pm.isNotNull() & (pm != "COD"), 1)).alias("prepaid")))
 
 
 def cancellation_chart(docs: DataFrame) -> DataFrame:
-    """Cancelled and returned quantities per bucket from item rows."""
+    """Cancelled and returned quantities per bucket and in total, from item rows."""
     items = item_rows(docs).where(F.col("order_date").isNotNull())
     grain = _posted_grain(items)
-    agg = items.groupBy(bucket_start(grain).alias("_b")).agg(
-        F.sum("cancelled_quantity").cast("bigint").alias("cancelled"), F.sum("returned_quantity").cast("bigint").alias("returned"))
-    return _finish(agg, grain)
+    return _finish(_series(
+        items.withColumn("_b", bucket_start(grain)), grain, F.sum("cancelled_quantity").cast("bigint").alias("cancelled"),
+        F.sum("returned_quantity").cast("bigint").alias("returned")))
 
 
 def pincodes_in_state(docs: DataFrame, state: str) -> DataFrame:
-    """Orders per pincode within one state (case-insensitive), most orders first."""
-    return (docs.where(state_equals(state)).groupBy("pin_code").agg(F.count(F.lit(1)).alias("order_count"))
-            .select(F.col("pin_code").cast("string").alias("pin_code"), "order_count")
-            .orderBy(F.col("order_count").desc(), "pin_code"))
+    """Orders per pincode within one state (case-insensitive), most orders first, and the state's total."""
+    per = docs.where(state_equals(state)).rollup("pin_code").agg(
+        F.count(F.lit(1)).alias("order_count"), (F.grouping("pin_code") == 1).alias("is_total"))
+    return (per.select(F.col("pin_code").cast("string").alias("pin_code"), "order_count", "is_total")
+            .orderBy("is_total", F.col("order_count").desc(), "pin_code"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import money, ratio, safe_pct
@@ -134,20 +134,21 @@ def correlation_matrix(df: DataFrame, fields: list[str]) -> DataFrame:
 
 def geographic_insights(df: DataFrame, locality_col: str = "city", n: int = 5) -> DataFrame:
     """Six top-n lists (state / locality × rows, revenue, mean), on 2-place rounded values."""
-    parts = []
-    for level, col in (("state", "state"), ("city", locality_col)):
-        per = (df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("key"))
-               .agg(F.count("total_amount").cast("double").alias("orders"),
-                    money(F.sum("total_amount")).alias("revenue"),
-                    F.round(F.sum("total_amount").cast("double") / F.count("total_amount"), 2).alias("aov")))
-        for measure, name in (("orders", f"top_{level}s_by_orders"), ("revenue", f"top_{level}s_by_revenue"),
-                              ("aov", f"highest_aov_{level}s")):
-            parts.append(per.orderBy(F.col(measure).desc(), F.col("key").asc()).limit(n)
-                         .select(F.lit(name).alias("list"), "key", F.col(measure).alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # both levels from one scan, stacked as (level, key); then three ranks per level over the places' own rows,
+    # each cut to n in every task before its shuffle
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(level).alias("level"), F.col(col).cast("string").alias("key"))
+        for level, col in (("state", "state"), ("city", locality_col))])).alias("k"), "total_amount")
+    per = stacked.where(F.col("k.key").isNotNull()).groupBy("k.level", "k.key").agg(
+        F.count("total_amount").cast("double").alias("orders"), money(F.sum("total_amount")).alias("revenue"),
+        F.round(F.try_divide(F.sum("total_amount").cast("double"), F.count("total_amount").cast("double")), 2).alias("aov"))
+    lists = per.select("level", "key", F.inline(F.array(*[
+        F.struct(F.lit(before).alias("before"), F.lit(after).alias("after"), F.col(m).alias("value"))
+        for m, before, after in (("orders", "top_", "s_by_orders"), ("revenue", "top_", "s_by_revenue"),
+                                 ("aov", "highest_aov_", "s"))])))
+    lists = lists.select(F.concat("before", "level", "after").alias("list"), "key", "value")
+    rank = F.row_number().over(Window.partitionBy("list").orderBy(F.col("value").desc(), F.col("key").asc()))
+    return lists.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
 
 
 def cancelled_count(df: DataFrame) -> DataFrame:
@@ -155,8 +156,28 @@ def cancelled_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.when(F.col("order_status") == "Cancelled", 1)).alias("cancel_count"))
 
 
+COMMON_DISTRIBUTIONS = ["order_status", "payment_mode", "marketplace"]
+
+
+def common_metrics_with_distributions(df: DataFrame) -> DataFrame:
+    """T9, whole: (metric, key, value) with AOV, revenue, row count, the amount summary (T12) and the status, payment
+    and marketplace distributions (T4, one grouping-sets pass)."""
+    row = statistical_summary(df, "total_amount")
+    scalars = [("", df.agg(
+        ratio(F.sum("total_amount"), F.count("total_amount")).alias("aov"),
+        money(F.coalesce(F.sum("total_amount"), F.lit(0))).alias("total_revenue"),
+        F.count(F.lit(1)).alias("order_count"))), ("total_amount_", row)]
+    parts = [r.select(F.inline(F.array(*[F.struct(F.lit(prefix + c).alias("metric"), F.lit(None).cast("string").alias("key"),
+                                                  F.col(c).cast("double").alias("value")) for c in r.columns])))
+             for prefix, r in scalars]
+    values = distributions(df, COMMON_DISTRIBUTIONS)
+    parts.append(values.select(F.concat("dimension", F.lit("_distribution")).alias("metric"), F.col("value").alias("key"),
+                               F.col("count").cast("double").alias("value")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def common_metrics(df: DataFrame) -> DataFrame:
-    """AOV, revenue, row count and the amount summary in one row (distributions: T4)."""
+    """AOV, revenue, row count and the amount summary in one row."""
     v = F.col("total_amount").cast("double")
     q = exact_quantiles(df, v, [0.25, 0.5, 0.75])
     return df.agg(
@@ -169,26 +190,38 @@ def common_metrics(df: DataFrame) -> DataFrame:
         F.round(q[0.75], 2).alias("amount_q75"))
 
 
-def column_profile(df: DataFrame, categorical_max: int = 20) -> DataFrame:
-    """One row per column and value (nulls are left out): the value's count beside the column's type,
-    non-null count, distinct count, example (its least value) and categorical flag.
+def column_values(df: DataFrame) -> DataFrame:
+    """T18 (values): (column, value, n): every value of every column with its count; nulls are left out.
 
-    All columns are stacked into ``(column, value)`` and counted in one
-    shuffle, with partial counts before it; the columns' own numbers come from
-    those counts. No list of values is gathered, so a column may have any
-    number of them.
+    All columns are stacked and counted in one shuffle, with partial counts
+    before it. No list of values is gathered, so a column may have any number.
     """
-    types = dict(df.dtypes)
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns])).alias("kv"))
-    counts = stacked.select("kv.*").where(F.col("value").isNotNull()).groupBy("column", "value").agg(
-        F.count(F.lit(1)).alias("n"))
+    return stacked.select("kv.*").where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def column_profile(df: DataFrame, categorical_max: int = 20, top: int = 5) -> DataFrame:
+    """One row per column: type, non-null and distinct count, example (its least value), categorical flag and
+    the ``top`` most frequent values (ties by value) as ``value (n)``, joined by ``; ``. All values: ``column_values``.
+
+    Two phases: exact counts per value, dealt by (column, value); then numbers
+    per column from those counts and, with the rank limit applied in every task
+    before the shuffle, ``top`` rows per column. Columns without a value have zeros.
+    """
+    types = dict(df.dtypes)
+    counts = column_values(df)
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc()))
+    tops = (counts.withColumn("_r", rank).where(F.col("_r") <= top).groupBy("column")
+            .agg(F.sort_array(F.collect_list(F.struct("_r", F.format_string("%s (%d)", "value", "n").alias("t")))).alias("_t")))
     per = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"), F.sum("n").alias("non_null"),
                                        F.min("value").alias("example"))
-    type_map = F.create_map(*[x for c in df.columns for x in (F.lit(c), F.lit(types[c]))])
-    return (counts.join(F.broadcast(per), "column")   # one row per column of the table
-            .select("column", F.element_at(type_map, F.col("column")).alias("dtype"), "non_null", "distinct_count",
-                    "example", (F.col("distinct_count") <= categorical_max).alias("is_categorical"), "value", "n"))
+    names = df.sparkSession.createDataFrame([(c, types[c]) for c in df.columns], "column string, dtype string")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    return (names.join(F.broadcast(per), "column", "left").join(F.broadcast(tops), "column", "left")   # a row per column
+            .select("column", "dtype", n("non_null").alias("non_null"), n("distinct_count").alias("distinct_count"), "example",
+                    (n("distinct_count") <= categorical_max).alias("is_categorical"),
+                    F.array_join("_t.t", "; ").alias("top_values")))
 
 
 def custom_metric(df: DataFrame, expression: str, name: str = "custom_metric") -> DataFrame:

@@ -156,6 +156,7 @@ from ..operators import paycycle, profit, stats  # noqa: E402
 from ..schema import HISTORY_EXTRA_TYPES, HISTORY_TYPES  # noqa: E402
 from ..sources.tables import payment_cycle_sheet, vendor_cost_sheet  # noqa: E402
 
+CHARGES = ["total_discount", "total_shipping_charge", "total_tax"]
 CORR_FIELDS = ["total_amount", "item_quantity", "mrp", "cost"]
 PROFILE_COLUMNS = [*HISTORY_TYPES, *HISTORY_EXTRA_TYPES]   # every declared column
 CUSTOM_EXPR = "ROUND(CAST(SUM(total_amount) AS DOUBLE) / COUNT(DISTINCT order_id), 2)"
@@ -166,6 +167,9 @@ register("t3_order_count")(lambda s, d: stats.order_count(history(s, d)))
 register("t4_distributions")(lambda s, d: stats.distributions(history(s, d)))
 register("t5_top_localities")(lambda s, d: stats.top_values(history(s, d), "pin_code", 10))
 register("t6_average_charges")(lambda s, d: stats.averages(history(s, d), ["mrp", "cost"]))
+register("t6_average_order_charges")(lambda s, d: stats.averages(docs(s, d), CHARGES))
+register("t9_common_metrics_whole")(lambda s, d: stats.common_metrics_with_distributions(history(s, d)))
+register("t18_column_values")(lambda s, d: stats.column_values(history(s, d).select(*PROFILE_COLUMNS)))
 register("t7_conversion_rate")(lambda s, d: stats.conversion_rate(history(s, d), "Shipped"))
 register("t8_cod_vs_prepaid_exact")(lambda s, d: stats.cod_vs_prepaid_exact(history(s, d)))
 register("t9_common_metrics")(lambda s, d: stats.common_metrics(history(s, d)))
@@ -225,6 +229,7 @@ from ..operators import bundle  # noqa: E402
 register("b1_batch_all_metrics")(lambda s, d: bundle.batch_all_metrics(fetched(s, d, extra_cols=("size",))))
 register("b2_primary_kpis")(lambda s, d: bundle.primary_kpis(fetched(s, d)))
 register("b3_b4_product_metrics")(lambda s, d: bundle.product_metrics(fetched(s, d)))
+register("b4_sku_detail_rows")(lambda s, d: bundle.sku_detail_rows(fetched(s, d)))
 register("b5_b6_performance_metrics")(lambda s, d: bundle.performance_metrics(fetched(s, d)))
 register("b7_b8_geographic_metrics")(lambda s, d: bundle.geographic_metrics(fetched(s, d)))
 register("b9_b10_channel_metrics")(lambda s, d: bundle.channel_metrics(fetched(s, d)))
@@ -436,6 +441,10 @@ def _x6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.compare_groups(X.group_profit_metrics(items), ["avg_gross_margin", "avg_markup_percent", "total_gross_profit"], 3)
 
 
+register("x3_payment_cycle_groups")(lambda s, d: X.group_payment_cycle_metrics(
+    X.assign_groups(payment_cycle_sheet(s, d), CYCLE_GROUPS)))
+
+
 @register("x3_x7_payment_cycle_group_comparison")
 def _x7(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheet = X.assign_groups(payment_cycle_sheet(spark, sf_dir), CYCLE_GROUPS)

@@ -30,3 +30,23 @@ def test_metrics_and_tie_rules(spark):
     assert pair["b"].total_revenue_diff == -100.0 and pair["b"].total_revenue_diff_pct == -66.67
     multi = {r.group_id: r for r in X.compare_groups(m, ["count"], 3).collect()}
     assert multi["a"].count_winner and not multi["b"].count_winner        # N groups: the first listed wins ties
+
+
+def test_payment_cycle_groups_hold_their_own_distributions(spark):
+    sheet = spark.createDataFrame([("a", "30", "10", "2"), ("a", "40", "50", "4"), ("b", "x", "20", None), ("b", "10", "45", "1")],
+                                  "party_name string, margin string, payment_cycle string, cd string")
+    groups = [{"group_id": "a", "filters": {"party_name": "a"}},
+              {"group_id": "long", "filters": {"payment_cycle": {"operator": "gte", "value": 20}}}]
+    rows = {r.group_id: r for r in X.group_payment_cycle_metrics(X.assign_groups(sheet, groups)).collect()}
+    hist = ("very_short_cycle_0_15", "short_cycle_15_30", "medium_cycle_30_45", "long_cycle_45plus")
+    assert [rows["a"][c] for c in hist] == [1, 0, 0, 1] and [rows["long"][c] for c in hist] == [0, 1, 0, 2]
+    assert (rows["a"].cd_sum, rows["a"].cd_max, rows["a"].cd_count, rows["a"].high_risk_count) == (6.0, 4.0, 2, 1)
+    assert (rows["long"].cd_sum, rows["long"].cd_min, rows["long"].cd_count, rows["long"].avg_margin) == (5.0, 1.0, 2, 25.0)
+
+
+def test_comparison_computes_the_metrics_once(spark):
+    groups = [{"group_id": g, "filters": {"order_type": g}} for g in ("B2B", "B2C", "none")]
+    m = X.compare_groups(X.group_order_metrics(X.assign_groups(_orders(spark), groups)), ["count", "total_revenue"], 3)
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    assert X.compare_groups(X.group_order_metrics(X.assign_groups(_orders(spark).limit(0), groups)), ["count"], 3).count() == 0
