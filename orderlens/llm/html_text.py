@@ -31,7 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
+#: A tag's attributes up to its end: a quote opens a value only after "=", elsewhere it is a character of a name or value.
+ATTRS = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+"""
 #: Comments, elements whose content is read as characters, and tags. Comments, scripts and styles without an end run to
 #: the end of the page; the others need an end tag before the next start of their kind, else their start is only a tag.
 TOKEN = re.compile(
@@ -39,7 +40,7 @@ TOKEN = re.compile(
     rf"|<(?P<raw>script|style)(?![\w:-]){ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
     rf"|<(?P<chars>title|textarea|iframe|noscript)(?![\w:-]){ATTRS}(?<!/)>"
     r"(?:[^<]|<(?!/?(?P=chars)(?![\w:-])))*+</(?P=chars)\s*>"
-    r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
+    rf"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>{ATTRS})(?:>|\Z)",
     re.IGNORECASE | re.DOTALL)
 #: Elements that are left out with all they hold; one without an end tag ends where its parent does or a flow element starts.
 SKIPPED = frozenset("template svg math object canvas select button title textarea iframe noscript".split())
@@ -56,7 +57,7 @@ CUE = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|footer|header|sideb
                  r"promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|related|"
                  r"comments?|respond|replies|breadcrumbs?|pager|pagination|toolbar|widget|login|signup|search|tags)"
                  r"(?:$|[\s_-])", re.IGNORECASE)
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 #: Elements around a page's content, whose names and classes say nothing about it.
 AROUND = frozenset(("html", "head", "body", "main", "article"))
 #: A cue counts for nothing on an element that holds most of the page's unlinked words, if fewer than these stand outside.

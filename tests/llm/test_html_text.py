@@ -1,4 +1,5 @@
 import html
+import random
 import re
 import time
 
@@ -159,3 +160,37 @@ def test_nested_cues_take_linear_time(unit):
     began = time.time()
     main_text(unit * 20_000)
     assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("tag", ['<img alt="5" tall">', '<span href="x"">', "<p title=it's>", "<p class=x title=\"a'b\">", "<br data-x='>'>",
+                                 '<hr a=b"c>', '<img "quoted" x>', "<span href=x=\"y>", '<p x = "a > b">', "<p =\"x\">", '<p a="1"b=\'2\'">'])
+def test_stray_quotes_take_no_text(tag):
+    assert main_text(f'<body>{tag}{ARTICLE}<p class="x">') == TEXT
+    assert main_text(f"<body><article><h1>A title</h1>{tag}<p>{PARA}</p><p>{PARA} it's \"so\"</p></article>").count(PARA) == 2
+
+
+def test_tags_end_where_another_reader_ends_them():
+    """Start tags and their attributes against the standard library's parser, on random attributes."""
+    from html.parser import HTMLParser
+
+    from orderlens.llm.html_text import ATTRIBUTE, tags_of
+    rng = random.Random(6)
+    for _ in range(500):
+        parts = [rng.choice(["a", "b=1", 'c="x > y"', "d='>'", "e='\"'", 'f="\'"', "g=it's", "h = 5", 'i ="z"', "j=x/y", "k=\"\""])
+                 for _ in range(rng.randrange(5))]
+        page = f"<p {rng.choice([' ', '  ', chr(10)]).join(parts)}>text</p>"
+        seen = []
+        reader = HTMLParser()
+        reader.handle_starttag = lambda tag, attrs: seen.append((tag, attrs))
+        reader.feed(page)
+        tokens, _ = tags_of(page)
+        got = [(n, v[1:-1] if v[:1] in ("'", '"') else v) for n, v in ATTRIBUTE.findall(tokens[0]["attrs"])]
+        assert tokens[0].end() == page.index(">text") + 1 and tokens[0]["tag"] == seen[0][0]
+        assert got == [(n, v or "") for n, v in seen[0][1]], page
+
+
+@pytest.mark.parametrize("unit", ['<a b="', "<a b='", "<a b = ", "<a =", '<a "', "<a b=c"])
+def test_unclosed_quotes_take_linear_time(unit):
+    began = time.time()
+    main_text(unit * 50_000)
+    assert time.time() - began < 20
