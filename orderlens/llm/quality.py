@@ -1,16 +1,20 @@
 """Quality rules with risk-controlled cutoffs.
 
-Every rule is a number per document, larger being worse, with a fixed grid of
-cutoffs. For each stratum (language), rule and cutoff the good documents among
-the labelled ones that the cutoff would reject are counted: k of n. The cutoff
-is certified if P(Binomial(n, a) <= k) <= delta / m, with m the number of all
-(stratum, rule, cutoff) tests (Bonferroni) and ``a`` the stratum's allowed
-share of falsely rejected good documents over the number of rules. That is the
-same as a Clopper-Pearson upper bound of at most ``a``. So with probability
-1 - delta no stratum rejects more than ``risk`` of its good documents by the
-learnt cutoffs. Of a rule's certified cutoffs the one that catches most bad
-documents is used (ties: the loosest), if it catches more bad than good ones.
-A stratum with too few labels to certify anything rejects by the base rules alone.
+Every rule is a number per document, larger being worse, with cutoffs that are
+tried in one fixed order (``STEPS``), the ones that good prose hardly ever meets
+first. Step j rejects a document if any cutoff of the steps up to j does. For
+each stratum (language) the good documents among the labelled ones that step j
+rejects are counted: k of n. The step is certified if all before it are and
+P(Binomial(n, risk) <= k) <= delta / m, with m the number of strata. That is the
+same as a Clopper-Pearson upper bound of at most ``risk``. Testing in a fixed
+order that ends at the first failure needs no correction within a stratum, and
+Bonferroni's covers the strata: with probability 1 - delta no stratum rejects
+more than ``risk`` of its good documents by all certified cutoffs together, nor
+by any choice among them. Of a rule's certified cutoffs the one that catches
+most bad documents is used (ties: the loosest), if it catches more than
+``GAIN`` bad ones for each good one. With four languages a language needs some
+86 good labels, or 129 if one of them is rejected; one with fewer rejects by the
+base rules alone.
 
 Everything is built-in expressions and joins. Texts are read whole; a document
 costs no shuffle. The labels may be as many as the documents: only counts per
@@ -25,19 +29,24 @@ matter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.llm.common import WHITE, split_words, written
 
-#: Rule: (its value as an expression over the counts, its grid of cutoffs)
+#: Rule: its value as an expression over the counts
 RULES = {
-    "symbols": ("100 * n_symbols / word_chars", (1, 2, 5, 10, 20)),
-    "repeats": ("100 * n_repeat_words / n_words", (5, 10, 15)),
-    "dup_lines": ("100 * n_dup_lines / n_lines", (10, 20, 30, 50)),
-    "capitals": ("100 * n_capitals / word_chars", (10, 20, 30, 50)),
-    "bangs": ("100 * n_bangs / n_words", (5, 10, 20, 50)),
+    "symbols": "100 * n_symbols / word_chars",
+    "repeats": "100 * n_repeat_words / n_words",
+    "dup_lines": "100 * n_dup_lines / n_lines",
+    "capitals": "100 * n_capitals / word_chars",
+    "bangs": "100 * n_bangs / n_words",
 }
+#: The steps in their fixed order: (rule, cutoff), a rule's cutoffs from the loosest.
+STEPS = (("symbols", 20), ("bangs", 50), ("capitals", 50), ("symbols", 10), ("bangs", 20), ("capitals", 30), ("symbols", 5),
+         ("bangs", 10), ("symbols", 2), ("dup_lines", 50), ("capitals", 20), ("symbols", 1), ("bangs", 5), ("dup_lines", 30),
+         ("repeats", 15), ("capitals", 10), ("dup_lines", 20), ("repeats", 10), ("dup_lines", 10), ("repeats", 5))
+GAIN = 4  # bad documents that a cutoff has to catch for each good one
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 5
 MAX_BROADCAST = 2_000_000  # rejected rows (id, language, hash) that are broadcast; more are joined by shuffle
@@ -77,7 +86,7 @@ def base_failed() -> Column:
 
 def value(rule: str) -> Column:
     """A rule's number; 0 where its divisor is."""
-    above, below = RULES[rule][0].split(" / ")
+    above, below = RULES[rule].split(" / ")
     return F.when(F.col(below) > 0, F.expr(above) / F.col(below)).otherwise(F.lit(0.0))
 
 
@@ -112,19 +121,22 @@ def binomial_tail(k: Column, n: Column, p: Column, terms: int = 2000) -> Column:
 def certified_cutoffs(labelled: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
     """(stratum, one column per rule): the cutoffs in use, null where none is certified, from rows of
     (stratum, good, counts)."""
-    grid = [(r, c) for r, (_, cutoffs) in RULES.items() for c in cutoffs]
     good = F.col("good")
     hits = lambda r, c, who: F.sum((who & (value(r) > c)).cast("long"))
-    # rows that the base rules reject anyway don't count
-    counts = labelled.filter(~base_failed()).groupBy("stratum").agg(
+    # the first step that rejects a row; rows that the base rules reject anyway don't count
+    first = F.coalesce(*(F.when(value(r) > c, F.lit(j)) for j, (r, c) in enumerate(STEPS)), F.lit(len(STEPS)))
+    counts = labelled.filter(~base_failed()).withColumn("_first", first).groupBy("stratum").agg(
         F.sum(good.cast("long")).alias("n"),
-        F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), hits(r, c, good).alias("k"),
-                           hits(r, c, ~good).alias("bad")) for r, c in grid)).alias("tests"))
+        F.array(*(F.struct(F.lit(j).alias("step"), F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"),
+                           F.sum((good & (F.col("_first") <= j)).cast("long")).alias("k_all"), hits(r, c, good).alias("k"),
+                           hits(r, c, ~good).alias("bad")) for j, (r, c) in enumerate(STEPS))).alias("tests"))
     counts = written(counts, "quality-counts")
-    tests = F.lit(float(len(grid))) * F.lit(max(1, counts.count()))
+    strata = F.lit(float(max(1, counts.count())))
     rows = counts.select("stratum", "n", F.inline("tests"))
-    sure = binomial_tail(F.col("k"), F.col("n"), F.lit(risk / len(RULES))) <= F.lit(delta) / tests
-    best = F.max(F.when(sure & (F.col("bad") > F.col("k")), F.struct("bad", "cutoff")))
+    sure = binomial_tail(F.col("k_all"), F.col("n"), F.lit(risk)) <= F.lit(delta) / strata
+    failed = F.min(F.when(~sure, F.col("step"))).over(Window.partitionBy("stratum"))  # over the rows of a stratum's steps
+    rows = rows.withColumn("sure", F.col("step") < F.coalesce(failed, F.lit(len(STEPS))))
+    best = F.max(F.when(F.col("sure") & (F.col("bad") > GAIN * F.col("k")), F.struct("bad", "cutoff")))
     return rows.groupBy("stratum").pivot("rule", list(RULES)).agg(best["cutoff"])
 
 
@@ -178,9 +190,8 @@ def kept_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta
 
 def oracle_sql(risk: float = 0.05, delta: float = 0.05) -> str:
     """The same verdicts in DuckDB's SQL, with log-gamma binomial sums."""
-    a = risk / len(RULES)
-    ratio = lambda r: "CASE WHEN {1} > 0 THEN CAST({0} AS DOUBLE) / {1} ELSE 0 END".format(*RULES[r][0].split(" / "))
-    grid = ", ".join(f"('{r}', CAST({c} AS DOUBLE))" for r, (_, cutoffs) in RULES.items() for c in cutoffs)
+    ratio = lambda r: "CASE WHEN {1} > 0 THEN CAST({0} AS DOUBLE) / {1} ELSE 0 END".format(*RULES[r].split(" / "))
+    grid = ", ".join(f"({j}, '{r}', CAST({c} AS DOUBLE))" for j, (r, c) in enumerate(STEPS))
     long = " UNION ALL ".join(f"SELECT r, stratum, base_failed, '{r}' AS rule, {ratio(r)} AS x FROM v" for r in RULES)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
@@ -198,14 +209,18 @@ v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 x AS ({long}),
 worst AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 fit AS (SELECT v.r, good FROM v JOIN worst ON v.doc_id = worst.doc_id WHERE NOT base_failed),
-grid AS (SELECT * FROM (VALUES {grid}) g(rule, cutoff)),
-tests AS (SELECT stratum, x.rule, cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND x > cutoff) AS k,
-  count(*) FILTER (WHERE NOT good AND x > cutoff) AS bad
-  FROM fit JOIN x ON fit.r = x.r JOIN grid ON x.rule = grid.rule GROUP BY 1, 2, 3),
-tails AS (SELECT *, CASE WHEN k < n * {a} THEN list_sum(list_transform(range(0, k + 1), lambda i: exp(
-  lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({a}) + (n - i) * ln(1 - {a})))) ELSE 1 END AS p FROM tests),
+grid AS (SELECT * FROM (VALUES {grid}) g(step, rule, cutoff)),
+hit AS (SELECT fit.r, stratum, good, step, x.rule, cutoff, x > cutoff AS hit,
+  bool_or(x > cutoff) OVER (PARTITION BY fit.r ORDER BY step) AS any_hit
+  FROM fit JOIN x ON fit.r = x.r JOIN grid ON x.rule = grid.rule),
+tests AS (SELECT stratum, step, rule, cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND any_hit) AS k_all,
+  count(*) FILTER (WHERE good AND hit) AS k, count(*) FILTER (WHERE NOT good AND hit) AS bad FROM hit GROUP BY 1, 2, 3, 4),
+tails AS (SELECT *, CASE WHEN k_all < n * {risk} THEN list_sum(list_transform(range(0, k_all + 1), lambda i: exp(
+  lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk})))) ELSE 1 END AS p FROM tests),
+ends AS (SELECT *, min(CASE WHEN p > {delta} / (SELECT count(DISTINCT coalesce('=' || stratum, '')) FROM tests) THEN step END)
+  OVER (PARTITION BY stratum) AS failed FROM tails),
 sure AS (SELECT stratum, rule, cutoff, row_number() OVER (PARTITION BY stratum, rule ORDER BY bad DESC, cutoff DESC) AS o
-  FROM tails WHERE bad > k AND p <= {delta} / (SELECT count(*) FROM tests)),
+  FROM ends WHERE bad > {GAIN} * k AND step < coalesce(failed, {len(STEPS)})),
 gone AS (SELECT DISTINCT x.r FROM x JOIN sure ON o = 1 AND x.rule = sure.rule AND x.stratum IS NOT DISTINCT FROM sure.stratum
   WHERE x > cutoff)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,

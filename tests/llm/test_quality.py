@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from orderlens.llm.quality import COUNTS, RULES, binomial_tail, kept_documents, verdicts
+from orderlens.llm.quality import COUNTS, GAIN, RULES, STEPS, binomial_tail, kept_documents, verdicts
 
 
 def counts(text):
@@ -35,23 +35,24 @@ def brute(docs, labels, risk=0.05, delta=0.05):
     failed = lambda c: c["n_words"] < 10 or 100 * c["n_repeat_words"] > 20 * c["n_words"]
 
     def value(rule, c):
-        top, below = RULES[rule][0].split(" / ")
+        top, below = RULES[rule].split(" / ")
         return eval(top, {}, c) / c[below] if c[below] else 0.0
 
     fit = {}
     for i, lang, c in rows:
         if i in worst and not failed(c):
             fit.setdefault(lang, []).append((worst[i] == 1, c))
-    m = sum(len(x) for _, x in RULES.values()) * max(1, len(fit))
     cut = {}
     for lang, some in fit.items():
-        n = sum(g for g, _ in some)
-        for rule, (_, grid) in RULES.items():
-            for cutoff in grid:
-                k = sum(g and value(rule, c) > cutoff for g, c in some)
-                bad = sum(not g and value(rule, c) > cutoff for g, c in some)
-                if tail(k, n, risk / len(RULES)) <= delta / m and bad > k:
-                    cut[lang, rule] = max(cut.get((lang, rule), (0, 0)), (bad, cutoff))
+        n, gone = sum(g for g, _ in some), [False] * len(some)
+        for rule, cutoff in STEPS:
+            gone = [x or value(rule, c) > cutoff for x, (_, c) in zip(gone, some, strict=True)]
+            if not tail(sum(g and x for x, (g, _) in zip(gone, some, strict=True)), n, risk) <= delta / len(fit):
+                break
+            k = sum(g and value(rule, c) > cutoff for g, c in some)
+            bad = sum(not g and value(rule, c) > cutoff for g, c in some)
+            if bad > GAIN * k:
+                cut[lang, rule] = max(cut.get((lang, rule), (0, 0)), (bad, cutoff))
     return [(i, *(c[x] for x in COUNTS), failed(c), not failed(c) and not any(
         (lang, r) in cut and value(r, c) > cut[lang, r][1] for r in RULES)) for i, lang, c in rows], cut
 
@@ -96,6 +97,28 @@ def test_whole_table(spark):
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_labelled_junk_is_caught_in_every_language_with_enough_labels(spark, sf):
+    docs, table = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    labels = [tuple(r) for r in table.select("doc_id", "quality").collect()]
+    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    kept = {r.doc_id: (r.kept, r.base_failed) for r in verdicts(docs, table).collect()}
+    worst, tally = {}, {}
+    for i, q in labels:
+        if i in kept:
+            worst[i] = min(q, worst.get(i, 1))
+    for i, q in worst.items():
+        if not kept[i][1]:
+            tally.setdefault((lang[i], q), []).append(kept[i][0])
+    for (one, q), some in sorted(tally.items()):
+        print(sf, one, "good" if q else "bad", len(some), "kept", sum(some))
+        good = tally.get((one, 1), [])
+        if q:
+            assert len(good) - sum(good) <= 0.05 * len(good)
+        elif len(good) >= 129:
+            assert sum(some) <= 0.1 * len(some)
+
+
 @pytest.mark.parametrize("p", [0.01, 0.2])
 def test_binomial_tail(spark, p):
     cases = [(0, 1), (0, 50), (3, 1000), (90, 10000), (500, 60000), (2500, 300000)]
