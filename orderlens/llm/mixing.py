@@ -4,12 +4,11 @@
    thing that is gathered, pre-aggregated, so a hot source costs no more.
 2. A source's target is its weighted share of the whole budget, at most ``cap``
    times its size; the excess goes to the others by weight until none is above.
-3. Whole epochs (each document once) are taken while they fit. The rest of the
-   target is filled by size: an even share of every size's documents, then a
-   bounded knapsack over the sizes for what is left, whose sums are the bits of
-   one integer. At the end the source is within ``slack`` words of its target
-   or, if its sizes allow no better, at the largest sum below it that the sizes
-   reach.
+3. Each document can be taken up to ``cap`` times, so a size has that many
+   copies of its documents. All but the last ``slack`` words of the target are
+   filled with an even share of every size's copies; a bounded knapsack over the
+   copies that are left, whose sums are the bits of one integer, fills the rest.
+   So sums that leave one document out and double another are tried, too.
 4. Which documents of a size are taken twice, once or not follows from seeded
    hashes: counts by hash prefix find the prefix where the quota ends and only
    within a prefix documents are ranked, so a size that a third of all rows
@@ -29,8 +28,6 @@ from pyspark.sql import functions as F
 
 from orderlens.llm.common import WHITE, split_words, written
 
-PREFIXES = 1 << 12
-
 
 def n_words(text: Column) -> Column:
     return F.size(split_words(text, WHITE)).cast("long")
@@ -60,17 +57,18 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
 
 
 def best_counts(sizes: list[int], counts: list[int], budget: int, enough: int) -> list[int]:
-    """How many documents of each size to take, for a sum of at most ``budget`` and as near as can be.
+    """How many copies of each size to take, for a sum of at most ``budget`` and as near as can be.
 
-    An even share first. What is left is filled from the largest size down while
-    it exceeds ``enough``; then a bounded knapsack gives the best sum: bit s of
-    an integer says that s can be reached, binary parts bound the counts, and
-    the parts are walked back to find who made the best sum.
+    An even share of all but the last ``enough`` words first. What is left is
+    filled from the largest size down while it exceeds ``enough``; then a bounded
+    knapsack gives the best sum: bit s of an integer says that s can be reached,
+    binary parts bound the counts, and the parts are walked back to find who made
+    the best sum.
     """
     whole = sum(s * n for s, n in zip(sizes, counts, strict=True))
     if budget >= whole:
         return list(counts)
-    taken = [n * budget // whole for n in counts]
+    taken = [n * max(0, budget - enough) // whole for n in counts]
     left = budget - sum(s * n for s, n in zip(sizes, taken, strict=True))
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     for i in order:
@@ -123,11 +121,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     def fitted(part: pd.DataFrame) -> pd.DataFrame:
         sizes, counts = part["size"].tolist(), part["n"].tolist()
         whole, target = int(part["source_size"].iloc[0]), float(part["target"].iloc[0])
-        epochs = min(int(target // whole), top) if whole else 0
-        rest = min(int(target) - epochs * whole, whole) if epochs < top else 0
-        more = best_counts(sizes, counts, rest, slack) if rest > 0 else [0] * len(sizes)
-        return pd.DataFrame({"_key": part["_key"], "size": part["size"], "source_size": part["source_size"],
-                             "target": part["target"], "base": epochs, "more": more})
+        copies = [top * n if s else 0 for s, n in zip(sizes, counts, strict=True)]
+        taken = best_counts(sizes, copies, min(int(target), top * whole), slack) if whole else [0] * len(sizes)
+        return pd.DataFrame({"_key": part["_key"], "size": part["size"], "source_size": part["source_size"], "target": part["target"],
+                             "base": [t // n for t, n in zip(taken, counts, strict=True)],
+                             "more": [t % n for t, n in zip(taken, counts, strict=True)]})
 
     plan = written(  # a group holds one row per distinct size: bounded by the longest document
         by_size.drop("source").join(goal.drop("source"), "_key")

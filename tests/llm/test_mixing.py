@@ -58,7 +58,28 @@ def test_targets_are_met_on_a_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
     missed = check(rows, mix(docs).collect())
-    assert all(0 <= d + 1e-6 < 2 for d in missed.values()), missed
+    assert all(0 <= d + 1e-6 and (d < 1 + 1e-6 or d == pytest.approx(least_miss(rows, s, d))) for s, d in missed.items()), missed
+
+
+def least_miss(rows, source, missed):
+    """How near any choice of 0 to 2 copies of the source's documents comes to its target, by all sums that there are."""
+    sizes = [len((t or "").split()) for _, t, s in rows if s == source]
+    return least_miss_of(sizes, brute_targets(source_sizes(rows))[source])
+
+
+def least_miss_of(sizes, target):
+    reach = 1
+    for n in sizes:
+        reach |= reach << n
+        reach |= reach << n
+    return target - ((reach & ((1 << int(target) + 1) - 1)).bit_length() - 1)
+
+
+def source_sizes(rows):
+    out = {}
+    for _, text, source in rows:
+        out[source] = out.get(source, 0) + len((text or "").split())
+    return out
 
 
 def test_one_size_holds_everything(spark, docs_of):
@@ -78,8 +99,6 @@ def test_best_counts(table, budget, enough):
     assert got <= budget
     sums = {sum(s * k for s, k in zip(sizes, ks, strict=True)) for ks in itertools.product(*(range(n + 1) for n in counts))}
     best = max(x for x in sums if x <= budget)
-    base = sum(n * budget // max(1, sum(s * c for s, c in zip(sizes, counts, strict=True))) * s
-               for s, n in zip(sizes, counts, strict=True))
-    if enough >= budget and base == 0:
+    if enough >= budget:
         assert got == best  # the knapsack alone: exactly the best sum
     assert best - got <= max(sizes)
