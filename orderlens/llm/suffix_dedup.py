@@ -14,11 +14,12 @@ Text reaches shards so that equal strings always meet, without a row a byte:
    have equal keys, and strings at following places mostly share one: a run of
    places with one key is one row. Runs whose key is in one document only can't
    repeat; a count by key leaves them out.
-2. The other runs are cut from the texts. Equal cuts meet before the shuffle,
-   with their smallest document: every later document loses all of that cut.
-3. Different cuts that share strings lie in one shard, by key. The shard's
-   suffix array names the strings; a cut's first document loses the strings
-   that another cut has in a smaller document.
+2. A run's bytes, its cut, go by their hash until they are needed. Equal cuts
+   meet with their smallest document: every later document loses all of that cut.
+3. Of keys with several different cuts, each cut's bytes are fetched once, from
+   its smallest document, into the key's shard. The shard's suffix array names
+   the strings; a cut's first document loses the strings that another cut has in
+   a smaller document.
 4. Every document unites its lost places and drops their bytes.
 
 Keys that occur in two documents of one batch are known to repeat there and
@@ -28,9 +29,9 @@ overload its shard; its strings are compared as rows of 128-bit hashes instead.
 So no group grows with the number of documents.
 
 Defined results: null and empty texts have no bytes; documents with one id are
-one document, which loses nothing to itself; a null id counts as larger than
-any other; rows with equal id and text get equal results; empty tables give
-empty results.
+one document, which loses nothing to itself; a null id counts as the largest
+long; rows with equal id and text are sorted once and get equal results; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -41,15 +42,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.llm.common import written
 
 LENGTH, GRAM = 50, 16
 PLACES = 64  # of a run at most: its lost places are the bits of one number
-SHARD = 1_500_000  # runs, in finding keys; bytes of cuts, in sorting suffixes
+SHARD = 1_000_000  # runs, in finding keys; bytes of cuts, in sorting suffixes
 DOCUMENTS = 1000  # whose runs are dealt at once
+HASHED = 1 << 20  # bytes of texts whose cuts are hashed at once
 MANY = 20_000  # cuts of one key that a shard takes
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -89,6 +91,18 @@ def runs_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[first], first, size
 
 
+def hashes_of(text: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of every cut (at least ``LENGTH``): a sum of mixed words of eight bytes, each with its place."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    eight = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), 8).copy().view("<u8").ravel()
+    total = mixed(eight[start + size - 8] + size.astype(np.uint64) * P1)
+    for k in range(int(size.max(initial=0)) // 8):
+        some = slice(None) if 8 * k + 8 <= LENGTH else np.nonzero(size >= 8 * k + 8)[0]
+        total[some] += mixed(eight[start[some] + 8 * k] * P2 + mixed(np.array([k + 1], np.uint64) * P1))
+    return mixed(total).view(np.int64)
+
+
 # -- suffix arrays
 
 def suffix_places(s: np.ndarray, depth: int = 0) -> np.ndarray:
@@ -101,25 +115,24 @@ def suffix_places(s: np.ndarray, depth: int = 0) -> np.ndarray:
     if n < 6:
         tails = [tuple(s[i:]) for i in range(n)]
         return np.array([sum(x < y for x in tails) for y in tails], np.int64)
-    padded = np.concatenate([s, np.zeros(3, s.dtype)]).astype(np.int64)
-    at = np.arange(n + (n % 3 == 1))  # an empty suffix ends the places 1 mod 3 if they reach the end
-    sample = np.concatenate([at[at % 3 == 1], at[at % 3 == 2]])
-    padded = np.concatenate([padded, np.zeros(2, np.int64)])
+    padded = np.concatenate([s, np.zeros(5, s.dtype)]).astype(np.int32)
+    top = n + (n % 3 == 1)  # an empty suffix ends the places 1 mod 3 if they reach the end
+    sample = np.concatenate([np.arange(1, top, 3), np.arange(2, top, 3)])
     names = named(padded[sample], padded[sample + 1], padded[sample + 2])
     if names.max() + 1 < len(sample) and 3 ** (depth + 1) < LENGTH:
         names = suffix_places(names + 1, depth + 1)
-    rank = np.zeros(n + 5, np.int64)
+    rank = np.zeros(n + 5, np.int32)
     rank[sample] = names + 1
     # the remaining suffixes follow their first number and the sampled suffix after it; merge by counting on both sides
-    zero, one, two = (at[:n][at[:n] % 3 == k] for k in range(3))
+    zero, one, two = (np.arange(k, n, 3) for k in range(3))
     by_one = np.concatenate([zero, one])
     by_two = np.concatenate([zero, two])
-    low = named(padded[by_one], rank[by_one + 1], np.zeros(len(by_one), np.int64))
+    low = named(padded[by_one], rank[by_one + 1], np.zeros(1, np.int32))
     high = named(padded[by_two], padded[by_two + 1], rank[by_two + 2])
     z = len(zero)
     among_sample = smaller(np.concatenate([rank[one], rank[two]]), n + 2)
     zeros_low, zeros_high = smaller(low[:z], len(by_one)), smaller(high[:z], len(by_two))
-    place = np.empty(n, np.int64)  # how many suffixes are smaller: equal ones share a place
+    place = np.empty(n, np.int32)  # how many suffixes are smaller: equal ones share a place
     place[zero] = zeros_low[low[:z]] + smaller(low[z:], len(by_one))[low[:z]] + smaller(high[z:], len(by_two))[high[:z]]
     place[one] = among_sample[rank[one]] + zeros_low[low[z:]]
     place[two] = among_sample[rank[two]] + zeros_high[high[z:]]
@@ -128,22 +141,29 @@ def suffix_places(s: np.ndarray, depth: int = 0) -> np.ndarray:
 
 def smaller(values: np.ndarray, top: int) -> np.ndarray:
     """At every number up to ``top``, how many of ``values`` are smaller."""
-    counts = np.bincount(values, minlength=top + 1)
-    return np.cumsum(counts) - counts
+    counts = np.bincount(values, minlength=top + 1).astype(np.int32)
+    return np.cumsum(counts, dtype=np.int32) - counts
 
 
 def named(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Ranks of triples, equal ones alike, by one sort."""
     wide_b, wide_c = int(b.max(initial=0)) + 1, int(c.max(initial=0)) + 1
-    if (int(a.max(initial=0)) + 1) * wide_b * wide_c < 1 << 62:
-        triple = (a * wide_b + b) * wide_c + c
+    triples = (int(a.max(initial=0)) + 1) * wide_b * wide_c
+    if triples < 1 << 62:
+        triple = (a.astype(np.int64) * wide_b + b) * wide_c + c
+        if triples <= 4 * len(a):  # so few that they are counted, not sorted
+            there = np.zeros(triples, bool)
+            there[triple] = True
+            return (np.cumsum(there, dtype=np.int32) - 1)[triple]
         order = np.argsort(triple)
         new = np.diff(triple[order]) != 0
     else:
+        c = np.broadcast_to(c, a.shape)
         order = np.lexsort((c, b, a))
         new = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0) | (np.diff(c[order]) != 0)
-    out = np.empty(len(a), np.int64)
-    out[order] = np.concatenate([[0], np.cumsum(new)])
+    out = np.empty(len(a), np.int32)
+    out[order[:1]] = 0
+    out[order[1:]] = np.cumsum(new, dtype=np.int32)
     return out
 
 
@@ -155,7 +175,7 @@ def lost_places(cuts: list[bytes], first: np.ndarray) -> np.ndarray:
     # ends of cuts are 1 and the bytes that occur 2, 3, ..., so a string of LENGTH bytes never matches across an end
     ends = begin + sizes
     there = np.bincount(text, minlength=256) > 0
-    text = (np.cumsum(there) + 1)[text]
+    text = (np.cumsum(there, dtype=np.int32) + 1)[text]
     text[ends] = 1
     place = suffix_places(text)
     owner = np.repeat(np.arange(len(cuts)), sizes + 1)
@@ -181,40 +201,71 @@ def lost_places(cuts: list[bytes], first: np.ndarray) -> np.ndarray:
 
 # -- the steps on tables
 
+def document_key(id_col: str, text_col: str) -> list[Column]:
+    """_order, a document's place among the ids, and _hash, that of its text."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_order"),
+            F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash")]
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _hash, _order, _text): a document's id, text hash, place among the ids, and text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"),
-                       F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_order"), text.alias("_text"))
+    """(_order, _hash, _text) of every row."""
+    return docs.select(*document_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+
+
+def once(columns: list[np.ndarray]) -> np.ndarray:
+    """The places of the rows that are the first of their kind."""
+    by = np.lexsort(columns[::-1])
+    new = np.zeros(len(by), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= np.diff(c[by]) != 0
+    return np.sort(by[new])
 
 
 def repeating_runs(docs: DataFrame, shards: int) -> DataFrame:
-    """(_id, _hash, key, start, places): the runs whose key is in two documents, or is the same in one batch of them."""
-    fields = ["_id", "known", "_hash", "_order", "key", "start", "places", "state"]
+    """(_order, _hash, key, cut_hash, start, places): the runs whose key is in two documents, or is the same in one batch
+    of them, with the hash of their bytes; rows of equal id and text tell theirs once."""
+    fields = ["_order", "_hash", "key", "cut_hash", "start", "places", "state"]
     packed = "shard int, " + ", ".join(f"{f} binary" for f in fields)
-    types = [np.int64, np.bool_, np.int64, np.int64, np.uint64, np.int32, np.int8, np.int8]
+    types = [np.int64, np.int64, np.uint64, np.int64, np.int32, np.int8, np.int8]
     alone, passing, mark = 0, 1, 2
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, DOCUMENTS) for b in batches for k in range(0, b.num_rows, DOCUMENTS)):
-            parts = [runs_of(t.as_py().encode()) for t in batch.column(3)]
-            doc = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+            kept = once([batch.column(c).to_numpy() for c in (0, 1)])
+            own = [batch.column(c).to_numpy()[kept] for c in (0, 1)]
+            parts, hashes, texts, new = [], [], [], 0  # texts of some size are hashed at once
+
+            def hashed() -> None:
+                after = np.cumsum([0, *map(len, texts)])
+                mine = parts[len(parts) - len(texts):]
+                start = np.concatenate([p[1] + b for p, b in zip(mine, after, strict=False)])
+                hashes.append(hashes_of(b"".join(texts), start, np.concatenate([p[2] for p in mine]) + LENGTH - 1))
+                texts.clear()
+
+            for i in kept.tolist():
+                texts.append(batch.column(2)[i].as_py().encode())
+                parts.append(runs_of(texts[-1]))
+                new += len(texts[-1])
+                if new >= HASHED or i == kept[-1]:
+                    hashed()
+                    new = 0
             key = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
             if not len(key):
                 continue
-            ids = batch.column(0).to_pandas()
-            own = [ids.fillna(0).to_numpy(np.int64)[doc], ids.notna().to_numpy()[doc], batch.column(1).to_numpy()[doc],
-                   batch.column(2).to_numpy()[doc]]
-            rest = [np.concatenate([p[k] for p in parts]) for k in (1, 2)]
-            by = np.lexsort((own[3], key))
+            doc = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+            order = own[0][doc]
+            by = np.lexsort((order, key))
             first = np.concatenate([[0], np.nonzero(np.diff(key[by]))[0] + 1])
-            again = own[3][by][first] != np.maximum.reduceat(own[3][by], first)
+            again = order[by][first] != np.maximum.reduceat(order[by], first)
             state = np.empty(len(key), np.int8)
             state[by] = np.repeat(np.where(again, passing, alone), np.diff(np.append(first, len(key))))
             marks = by[first[again]]
-            rows = [np.concatenate([c, c[marks]]) for c in (*own, key, *rest)]
+            rows = [np.concatenate([c, c[marks]]) for c in (
+                order, own[1][doc], key, np.concatenate(hashes),
+                np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))]
             state = np.concatenate([state, np.full(len(marks), mark, np.int8)])
-            spread = np.where(state == passing, mixed(rows[2].view(np.uint64) + rows[5].astype(np.uint64)), rows[4])
+            spread = np.where(state == passing, mixed(rows[1].view(np.uint64) + rows[4].astype(np.uint64)), rows[2])
             shard = (spread % np.uint64(shards)).astype(np.int32)
             by = np.argsort(shard, kind="stable")
             cuts = np.concatenate([[0], np.nonzero(np.diff(shard[by]))[0] + 1])
@@ -225,7 +276,7 @@ def repeating_runs(docs: DataFrame, shards: int) -> DataFrame:
                                               for c in columns)], ["shard", *fields])
 
     def met(part: pd.DataFrame) -> pd.DataFrame:
-        ids, known, hashes, order, key, start, places, state = (
+        order, hashes, key, cut_hash, start, places, state = (
             np.frombuffer(b"".join(part[f]), t) for f, t in zip(fields, types, strict=True))
         by = np.lexsort((order, key))
         by = by[state[by] != passing]
@@ -234,57 +285,53 @@ def repeating_runs(docs: DataFrame, shards: int) -> DataFrame:
             first = np.concatenate([[0], np.nonzero(np.diff(key[by]))[0] + 1])
             many = (order[by][first] != np.maximum.reduceat(order[by], first)) | np.maximum.reduceat(state[by] == mark, first)
             keep[by] = np.repeat(many, np.diff(np.append(first, len(by)))) & (state[by] == alone)
-        return pd.DataFrame({"_id": pd.array(ids[keep], "Int64").copy() if known[keep].all() else
-                             pd.Series(ids[keep]).astype("Int64").where(known[keep]), "_hash": hashes[keep],
-                             "key": key[keep].view(np.int64), "start": start[keep], "places": places[keep].astype(np.int32)})
+        keep = np.nonzero(keep)[0]
+        keep = keep[once([c[keep] for c in (order, hashes, start)])]
+        return pd.DataFrame({"_order": order[keep], "_hash": hashes[keep], "key": key[keep].view(np.int64),
+                             "cut_hash": cut_hash[keep], "start": start[keep], "places": places[keep].astype(np.int32)})
 
-    return (docs.select("_id", "_hash", "_order", "_text").mapInArrow(dealt, packed).groupBy("shard")
-            .applyInPandas(met, "_id long, _hash long, key long, start int, places int"))
+    return docs.mapInArrow(dealt, packed).groupBy("shard").applyInPandas(
+        met, "_order long, _hash long, key long, cut_hash long, start int, places int")
 
 
-def cuts_of(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """(key, cut_hash, _id, _hash, _order, start, places, cut) of the repeating runs."""
-    by_doc = runs.groupBy("_id", "_hash").agg(F.collect_list(F.struct("key", "start", "places")).alias("runs"))
-    by_doc = by_doc.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "runs")
-    texts = docs.join(by_doc, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")))
+def with_bytes(cuts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, cut_hash, first, cut): the bytes of ``cuts`` from the texts of the documents that they name."""
+    wanted = cuts.groupBy("_order", "_hash").agg(F.collect_list(F.struct("key", "cut_hash", "start", "places")).alias("cuts"))
+    texts = docs.groupBy("_order", "_hash").agg(F.first("_text").alias("_text"))  # rows of equal id and text are read once
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "cut_hash", "_id", "_hash", "_order", "start", "places", "cut"]
         for batch in batches:
             for k in range(batch.num_rows):  # a batch per document: its cuts are a few times its text
-                text, runs = batch.column(3)[k].as_py().encode(), batch.column(4)[k].values
-                start, once = np.unique(runs.field("start").to_numpy(), return_index=True)  # equal rows tell runs twice
-                places = runs.field("places").to_numpy()[once]
-                pieces = [text[i:i + n + LENGTH - 1] for i, n in zip(start.tolist(), places.tolist(), strict=True)]
-                hashes = np.array([xxhash.xxh3_64_intdigest(p) for p in pieces], np.uint64).view(np.int64)
-                same = [pa.array([batch.column(c)[k].as_py()] * len(pieces), pa.int64()) for c in range(3)]
+                text, cuts = batch.column(1)[k].as_py().encode(), batch.column(2)[k].values
+                start, places = cuts.field("start").to_pylist(), cuts.field("places").to_pylist()
                 yield pa.RecordBatch.from_arrays(
-                    [runs.field("key").take(pa.array(once)), pa.array(hashes), *same, pa.array(start), pa.array(places),
-                     pa.array(pieces, pa.binary())], names)
+                    [cuts.field("key"), cuts.field("cut_hash"), pa.array([batch.column(0)[k].as_py()] * len(start), pa.int64()),
+                     pa.array([text[i:i + n + LENGTH - 1] for i, n in zip(start, places, strict=True)], pa.binary())],
+                    ["key", "cut_hash", "first", "cut"])
 
-    return texts.select("_id", "_hash", "_order", "_text", "runs").mapInArrow(
-        cut, "key long, cut_hash long, _id long, _hash long, _order long, start int, places int, cut binary")
+    return texts.join(wanted, ["_order", "_hash"]).select("_order", "_text", "cuts").mapInArrow(
+        cut, "key long, cut_hash long, first long, cut binary")
 
 
-def judged(cuts: DataFrame, shuffles: int) -> DataFrame:
+def judged(runs: DataFrame, docs: DataFrame, shuffles: int) -> DataFrame:
     """(key, cut_hash, first, bits): every different cut with its smallest document and that document's lost places."""
-    distinct = written(cuts.groupBy("key", "cut_hash").agg(F.min("_order").alias("first"), F.first("cut").alias("cut")),
-                       "suffix-cuts")
-    size = distinct.agg(F.sum(F.length("cut"))).first()[0] or 0
-    shards = max(shuffles, -(-size // SHARD))
-    crowded = distinct.groupBy("key").count().filter(F.col("count") > MANY).select("key")
-    crowded = written(crowded, "suffix-crowded")  # at most size / MANY keys
+    least = F.min(F.struct("_order", "_hash", "start", "places")).alias("at")
+    cuts = runs.groupBy("key", "cut_hash").agg(least).select("key", "cut_hash", "at.*")
+    cuts = written(cuts.withColumn("n", F.count("*").over(Window.partitionBy("key"))), "suffix-cuts", "zstd")
+    schema = "key long, cut_hash long, first long, bits long"
+    # a key's only cut shares no string with another cut
+    alone = cuts.filter("n = 1").select("key", "cut_hash", F.col("_order").alias("first"), F.lit(0).cast("long").alias("bits"))
+    several = written(with_bytes(cuts.filter("n > 1"), docs).withColumn("shard", F.xxhash64("key")), "suffix-several", "zstd")
+    size, = several.agg(F.sum(F.length("cut"))).first()
+    shards = max(shuffles, -(-(size or 0) // SHARD))
+    crowded = written(cuts.filter(F.col("n") > MANY).select("key").distinct(), "suffix-crowded")  # at most cuts / MANY keys
 
     def sort(part: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(len(part), np.uint64)
-        several = np.nonzero(part["key"].duplicated(keep=False))[0]  # a key's only cut shares no string with another cut
-        if len(several):
-            bits[several] = lost_places(list(part["cut"].iloc[several]), part["first"].to_numpy(np.int64)[several])
+        bits = lost_places(list(part["cut"]), part["first"].to_numpy(np.int64))
         return pd.DataFrame({"key": part["key"], "cut_hash": part["cut_hash"], "first": part["first"], "bits": bits.view(np.int64)})
 
-    schema = "key long, cut_hash long, first long, bits long"
-    few = distinct.join(crowded, "key", "left_anti").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    out = few.groupBy("shard").applyInPandas(sort, schema)
+    few = several.join(crowded, "key", "left_anti").withColumn("shard", F.pmod("shard", F.lit(shards)))
+    out = alone.unionByName(few.groupBy("shard").applyInPandas(sort, schema))
     if not crowded.limit(1).count():
         return out
 
@@ -298,7 +345,7 @@ def judged(cuts: DataFrame, shuffles: int) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "cut_hash", "first", "i", "high", "low"])
 
-    each = written(distinct.join(crowded, "key").select("key", "cut_hash", "first", "cut").mapInArrow(
+    each = written(several.join(crowded, "key").select("key", "cut_hash", "first", "cut").mapInArrow(
         strings, "key long, cut_hash long, first long, i long, high long, low long"), "suffix-strings")
     least = each.groupBy("high", "low").agg(F.min("first").alias("least"))
     bit = F.expr("CASE WHEN first > least THEN shiftleft(1L, cast(i as int)) ELSE 0L END")
@@ -307,28 +354,25 @@ def judged(cuts: DataFrame, shuffles: int) -> DataFrame:
 
 
 def lost_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _hash, runs): per document row that loses bytes, the starts of runs and the bits of their lost places."""
+    """(_order, _hash, runs): per document that loses bytes, the starts of runs and the bits of their lost places."""
     spark = docs.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed(docs, id_col, text_col)
     size = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     shards = max(shuffles, -(-size // (18 * SHARD)))  # a run for every 18 bytes
     runs = written(repeating_runs(texts, shards), "suffix-runs", "zstd")
-    cuts = written(cuts_of(texts, runs), "suffix-occurrences", "zstd")  # cuts of one text overlap and pack well
-    verdict = written(judged(cuts, shuffles), "suffix-verdicts")
+    verdict = written(judged(runs, texts, shuffles), "suffix-verdicts", "zstd")
     every = F.expr("shiftrightunsigned(-1L, 64 - places)")
     bits = F.when(F.col("_order") > F.col("first"), every).otherwise(F.col("bits"))
-    return (cuts.drop("cut").join(verdict, ["key", "cut_hash"]).select("_id", "_hash", "start", bits.alias("bits"))
-            .filter("bits <> 0").groupBy("_id", "_hash").agg(F.collect_list(F.struct("start", "bits")).alias("runs")))
+    return (runs.join(verdict, ["key", "cut_hash"]).select("_order", "_hash", "start", bits.alias("bits"))
+            .filter("bits <> 0").groupBy("_order", "_hash").agg(F.collect_list(F.struct("start", "bits")).alias("runs")))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, kept, n_bytes, n_removed, n_spans): every row of ``docs`` whole in ``row``, beside its remaining bytes."""
     lost = written(lost_runs(docs, id_col, text_col), "suffix-lost")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_doc"), F.xxhash64(text).alias("_h"))
-    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash"))
-    joined = rows.join(lost, same, "left").select("row", F.coalesce(F.col(f"row.{text_col}"), F.lit("")).alias("_t"), "runs")
+    rows = docs.select(F.struct("*").alias("row"), *document_key(id_col, text_col))
+    joined = rows.join(lost, ["_order", "_hash"], "left").select("row", F.coalesce(F.col(f"row.{text_col}"), F.lit("")).alias("_t"), "runs")
 
     @F.pandas_udf("struct<kept:binary,n_bytes:long,n_removed:long,n_spans:long>")
     def cut(texts: pd.Series, starts: pd.Series, bits: pd.Series) -> pd.DataFrame:

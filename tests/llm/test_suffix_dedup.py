@@ -50,7 +50,7 @@ def fixture():
 
 
 def test_against_brute_force(docs_of, weird):
-    docs = [(i, t if t is None or len(t) < 10_000 else t[:3000]) for i, t in weird] + fixture()
+    docs = weird + fixture()
     assert sorted(map(tuple, removal_digest(docs_of(docs)).collect()), key=str) == brute(docs)
 
 
@@ -61,6 +61,35 @@ def test_crowded_keys_and_small_shards(docs_of, monkeypatch):
     assert sorted(map(tuple, removal_digest(docs_of(docs)).collect()), key=str) == brute(docs)
 
 
+def test_many_equal_rows(docs_of):
+    """Rows of equal id and text are sorted once, so their number costs no more than their length."""
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choices("abcdef", k=7)) for _ in range(500))
+    docs = [(1, text)] + [(2, text)] * 5000 + [(None, text)] * 5000 + [(3, text[100:] + " end")] * 100
+    got = removal_digest(docs_of(docs).repartition(7)).groupBy("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").count()
+    sizes = {tuple(r)[:5]: r["count"] for r in got.collect()}
+    want = brute([(1, text), (2, text), (3, text[100:] + " end"), (None, text)])
+    assert sorted(sizes, key=str) == want and sorted(sizes.values()) == [1, 100, 5000, 5000]
+
+
+def test_long_text(docs_of):
+    rng = random.Random(8)
+    words = [text_word(rng) for _ in range(30_000)]
+    docs = [(7, " ".join(words)), (3, " ".join(words[1000:1400])), (9, " ".join(words[20_000:20_050] + words[5:9]))]
+    assert sorted(map(tuple, removal_digest(docs_of(docs)).collect()), key=str) == brute(docs)
+
+
+def text_word(rng):
+    return rng.choice(["un", "of", "thé", "é", "and", "xylo"]) + "".join(rng.choices("abcdeé", k=rng.randrange(5)))
+
+
+def test_clashing_columns(spark):
+    docs = [(1, "x" * 80, 5, "k", 0), (2, "y" + "x" * 80, 6, "k", 1), (None, None, None, None, None)]
+    names = "doc_id long, text string, _order int, key string, start int"
+    whole = suffix_dedup.without_repeats(spark.createDataFrame(docs, names))
+    assert sorted((r.row._order or 0, r.n_removed) for r in whole.collect()) == [(0, 0), (5, 0), (6, 80)]
+
+
 def test_empty_tables(docs_of):
     assert removal_digest(docs_of([])).count() == 0
     empty = hashlib.sha256(b"").hexdigest()
