@@ -96,33 +96,36 @@ def top_states_vs_rest(history: DataFrame, req: HistoryRequest, n: int = 5) -> D
 def top_skus_rank_growth(history: DataFrame, req: HistoryRequest, n: int = 10) -> DataFrame:
     """Top-n canonical SKUs by current revenue with previous rank and growth.
 
-    The previous rank of each selected SKU is 1 + the number of SKUs ahead of it
-    in the previous window. The n selected rows (a bounded collect) become literal
-    thresholds of n conditional counts evaluated in ONE aggregate pass over the
-    per-SKU table — no join, no global window, no row multiplication.
+    The previous rank of a selected SKU is 1 + the number of SKUs ahead of it in the previous window. The n selected
+    rows are one array (a scalar subquery of n rows); every SKU of the previous window counts for the slot of that
+    array's previous order that it falls into, partially per task, so n + 1 counts are all that is shuffled, and a
+    rank is their running sum. One job: no collect while planning, no join, no window over all SKUs.
     """
     key = "canonical_sku_normalized"
     per, _ = _two_window_sums(history, req, key, "total_amount")
     top = (per.where(F.col("cur_rows") > 0).orderBy(F.col("cur").desc(), F.col(key).asc()).limit(n)
-           .select(F.col(key).alias("sku"), F.col("cur").alias("t_cur"),
-                   F.coalesce(F.col("prev"), F.lit(0)).alias("t_prev"), F.col("prev_rows").alias("t_prev_rows")))
-    chosen = [r for r in top.collect() if r.t_prev_rows > 0]        # ≤ n rows
-    prev_rank: dict[str, int] = {}
-    if chosen:
-        prev = per.where(F.col("prev_rows") > 0)
-        counts = prev.agg(*[
-            F.count(F.when((F.col("prev") > F.lit(r.t_prev))
-                           | ((F.col("prev") == F.lit(r.t_prev)) & (F.col(key) < F.lit(r.sku))), 1)).alias(f"a{i}")
-            for i, r in enumerate(chosen)]).first()
-        prev_rank = {r.sku: int(counts[f"a{i}"]) + 1 for i, r in enumerate(chosen)}
-    ranks = (F.create_map(*[x for sku, rank in prev_rank.items() for x in (F.lit(sku), F.lit(rank))])
-             if prev_rank else F.create_map().cast("map<string,int>"))
-    ranked = top.withColumn("current_rank", F.row_number().over(Window.orderBy(F.col("t_cur").desc(), F.col("sku"))))
-    prev_rank_col = F.element_at(ranks, F.col("sku")).cast("bigint")
+           .select(F.col("cur").alias("t_cur"), F.col(key).alias("sku"), F.coalesce(F.col("prev"), F.lit(0)).alias("t_prev"),
+                   (F.col("prev_rows") > 0).alias("before")))
+    chosen = top.agg(F.collect_list(F.struct(*top.columns))).scalar()
+
+    def ahead(prev: Column, sku: Column, of: Column) -> Column:
+        return F.coalesce((prev > of["t_prev"]) | ((prev == of["t_prev"]) & (sku < of["sku"])), F.lit(False))
+
+    # a SKU is ahead of those of the chosen that come after its slot
+    behind = F.size(F.filter(F.col("chosen"), lambda t: t["before"] & ~ahead(F.col("prev"), F.col(key), t)))
+    slots = (per.where(F.col("prev_rows") > 0).withColumn("chosen", chosen).groupBy(behind.alias("slot"))
+             .agg(F.count("*").alias("skus")))
+    one = (slots.agg(F.collect_list(F.struct("slot", "skus")).alias("slots")).withColumn("chosen", chosen))
+    by_now = F.array_sort(F.col("chosen"), lambda a, b: F.when(
+        (a["t_cur"] > b["t_cur"]) | ((a["t_cur"] == b["t_cur"]) & (a["sku"] < b["sku"])), -1).otherwise(1))
+    ranked = (one.select("slots", "chosen", F.posexplode(by_now).alias("at", "t"))
+              .select("t.*", "slots", "chosen", (F.col("at") + 1).cast("bigint").alias("current_rank")))
+    me = F.size(F.filter(F.col("chosen"), lambda t: t["before"] & ahead(t["t_prev"], t["sku"], F.struct("t_prev", "sku"))))
+    rank = F.aggregate(F.filter("slots", lambda s: s["slot"] <= F.col("me")), F.lit(0).cast("bigint"), lambda x, s: x + s["skus"]) + 1
+    ranked = ranked.withColumn("me", me).withColumn("previous_rank", F.when(F.col("before"), rank))
     return ranked.select(
-        F.col("sku").alias("canonical_sku"), F.col("current_rank").cast("bigint").alias("current_rank"),
-        prev_rank_col.alias("previous_rank"),
-        (prev_rank_col - F.col("current_rank")).cast("bigint").alias("rank_change"),
+        F.col("sku").alias("canonical_sku"), "current_rank", "previous_rank",
+        (F.col("previous_rank") - F.col("current_rank")).alias("rank_change"),
         money(F.col("t_cur")).alias("current_revenue"), money(F.col("t_prev")).alias("previous_revenue"),
         F.round(growth_pct(F.col("t_cur"), F.col("t_prev")), 2).alias("growth_pct"))
 
