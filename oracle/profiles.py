@@ -122,4 +122,25 @@ SELECT canonical_sku, 'size' AS breakdown, parsed_size AS key, {r2('SUM(rev)')}
     q["u12_daily_new_values_win"] = f"""{two_runs}
 SELECT canonical_sku, strftime(day, '%Y-%m-%d') AS day, {r2('SUM(units)')} AS units_sold,
   COUNT(DISTINCT order_id) AS orders, {r2('SUM(rev)')} AS revenue FROM q GROUP BY canonical_sku, day"""
+    q["u13_profile_export"] = f"""WITH c AS ({q["u1_sku_profile_cumulative"]}), d AS ({daily})
+SELECT c.*, d.day AS order_date, d.revenue, d.units_sold, d.orders FROM c JOIN d USING (canonical_sku)"""
+    prices = dround("COALESCE(CAST(SUM(rev) AS DOUBLE) / NULLIF(CAST(SUM(units) AS DOUBLE), 0), 0.0)")
+
+    def section(name: str, key: str, value: str, rows: str = "last") -> str:
+        return f"SELECT canonical_sku, '{name}' AS section, {key} AS key, CAST({value} AS DOUBLE) AS value FROM {rows} GROUP BY 1, 3"
+
+    revenue, units, orders = r2("SUM(rev)"), r2("SUM(units)"), "COUNT(DISTINCT order_id)"
+    date = "strftime(day, '%Y-%m-%d')"
+    sections = [section("status", "LOWER(order_status)", orders), section("payment", "payment_mode", revenue),
+                section("marketplace", "marketplace", units), section("state", "state", revenue),
+                section("size", "parsed_size", units), section("fulfilment", "concat_ws('|', 'courier_orders', courier)", orders),
+                section("fulfilment", "concat_ws('|', 'warehouse_units', import_warehouse_name)", units),
+                section("daily", date, revenue, "q"),
+                section("price_history", f"concat_ws('|', {date}, marketplace)", prices, "q")]
+    q["s13_profile_documents"] = f"""{two_runs},
+days AS (SELECT canonical_sku, {date} AS day, {units} AS units, ROW_NUMBER() OVER (PARTITION BY canonical_sku ORDER BY day DESC) AS back
+         FROM q GROUP BY canonical_sku, q.day)
+{" UNION ALL ".join(sections)}
+UNION ALL SELECT canonical_sku, 'cumulative', 'total_units_sold', ROUND(SUM(units), 2) FROM days GROUP BY 1
+UNION ALL SELECT canonical_sku, 'rolling', MAX(day), ROUND(SUM(units) FILTER (WHERE back <= 7), 2) FROM days GROUP BY 1"""
     return q

@@ -161,6 +161,10 @@ def merge_latest(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
     return merged.select(*keys, "_v.*")
 
 
+EXPORT_SCHEMA = ("total_revenue double, total_units_sold double, total_orders bigint, avg_order_value double, total_cogs double, "
+                 "gross_margin_pct double, daily_series array<struct<order_date:string,revenue:double,units_sold:double,orders:bigint>>")
+
+
 def profile_export(daily: DataFrame, cumulative_tbl: DataFrame) -> DataFrame:
     """S13 export: one JSON document per SKU (cumulative values + its daily series)."""
     series = daily.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct(

@@ -316,8 +316,28 @@ def _u12c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.select(U.KEY, F.date_format("day", "yyyy-MM-dd").alias("day"), "units_sold", "orders", "revenue")
 
 
-register("u13_profile_export")(lambda s, d: U.profile_export(
-    U.daily_series(prepared(s, d)), U.cumulative(prepared(s, d))))
+@register("u13_profile_export")
+def _u13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported JSON documents (cumulative values and daily series), parsed again: a row per SKU and day."""
+    docs = U.profile_export(U.daily_series(prepared(spark, sf_dir)), U.cumulative(prepared(spark, sf_dir)))
+    parsed = docs.select(U.KEY, F.from_json("profile", U.EXPORT_SCHEMA).alias("p")).select(U.KEY, "p.*")
+    return parsed.withColumn("d", F.explode("daily_series")).drop("daily_series").select("*", "d.*").drop("d")
+
+
+@register("s13_profile_documents")
+def _s13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents after two runs (as in U12), read back, written as JSON and read again: their fields in long form."""
+    import uuid as _uuid
+    from ..session import scratch_path
+    from . import profile_documents as D
+    root = scratch_path(spark, "orderlens-documents", _uuid.uuid4().hex)
+    h = history(spark, sf_dir)
+    D.write_profiles(h.where(F.col("order_date") < F.lit(U_SPLIT).cast("timestamp_ntz")), root, "1999-01-01")
+    late = h.where(F.col("order_date") >= F.lit(U_LATE_FROM).cast("timestamp_ntz"))
+    D.write_profiles(late.withColumn("item_quantity", F.col("item_quantity") + 1), root, "2002-01-01")
+    docs = D.read_profiles(spark, root)
+    D.write_json(docs, f"{root}/json")
+    return D.fields_of(D.read_json(spark, f"{root}/json", docs.schema))
 
 # ---- S / C4: sources, sinks, ingest ----------------------------------------
 from ..sources import ingest as I  # noqa: E402

@@ -11,7 +11,7 @@ from paths import SF_SMALL
 
 # queries that write scratch tables while being built (their plans are checked by running them elsewhere)
 SIDE_EFFECT = {"s1_s10_daily_json_roundtrip", "s11_upsert_history", "s12_extraction_run", "u12_incremental_job", "u12_breakdowns_after_two_runs",
-               "u12_daily_new_values_win"}
+               "u12_daily_new_values_win", "s13_profile_documents"}
 NESTED_LOOP_OK: set[str] = set()
 
 
@@ -48,3 +48,15 @@ def test_projection_is_pruned(spark, materialised):
     plan = _plan(spark, "k1_total_orders")
     scan = [line for line in plan.splitlines() if "FileScan parquet" in line][0]
     assert "order_id" in scan and "sku" not in scan and "total_amount" not in scan
+
+
+def test_ranks_take_no_job_while_planned(spark, materialised):
+    """P4 fixes nothing by a job of its own: the plan counts the SKUs ahead of the chosen ones."""
+    REGISTRY["p4_top_skus_rank_growth"](spark, SF_SMALL).collect()     # the written table's listing is known by now
+    spark.sparkContext.setJobGroup("planning-p4", "")
+    try:
+        df = REGISTRY["p4_top_skus_rank_growth"](spark, SF_SMALL)
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("planning-p4")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert df.count() == 10
