@@ -314,24 +314,32 @@ def with_bytes(cuts: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def judged(runs: DataFrame, docs: DataFrame, shuffles: int) -> DataFrame:
-    """(key, cut_hash, first, bits): every different cut with its smallest document and that document's lost places."""
-    least = F.min(F.struct("_order", "_hash", "start", "places")).alias("at")
-    cuts = runs.groupBy("key", "cut_hash").agg(least).select("key", "cut_hash", "at.*")
+    """(key, cut_hash, first, bits): cuts with their smallest document and that document's lost places: a row for a cut
+    that other documents hold, and one for a cut whose smallest document loses places; a cut may have both."""
+    # longs alone, so that Spark aggregates by hashing; both min_by see the rows alike, so they tell of one row
+    place = (F.col("start").cast("long") * 128 + F.col("places")).alias("place")
+    cuts = runs.select("key", "cut_hash", "_order", "_hash", place).groupBy("key", "cut_hash").agg(
+        F.min("_order").alias("_order"), F.max("_order").alias("last"),
+        F.min_by("_hash", "_order").alias("_hash"), F.min_by("place", "_order").alias("place"))
     cuts = written(cuts.withColumn("n", F.count("*").over(Window.partitionBy("key"))), "suffix-cuts", "zstd")
     schema = "key long, cut_hash long, first long, bits long"
-    # a key's only cut shares no string with another cut
-    alone = cuts.filter("n = 1").select("key", "cut_hash", F.col("_order").alias("first"), F.lit(0).cast("long").alias("bits"))
-    several = written(with_bytes(cuts.filter("n > 1"), docs).withColumn("shard", F.xxhash64("key")), "suffix-several", "zstd")
+    # a cut of several documents; a key's only cut shares no string with another cut
+    shared = cuts.filter("last > _order").select("key", "cut_hash", F.col("_order").alias("first"), F.lit(0).cast("long").alias("bits"))
+    wanted = cuts.filter("n > 1").select("key", "cut_hash", "_order", "_hash", F.expr("cast(place div 128 as int)").alias("start"),
+                                         F.expr("cast(place % 128 as int)").alias("places"))
+    several = written(with_bytes(wanted, docs).withColumn("shard", F.xxhash64("key")), "suffix-several", "zstd")
     size, = several.agg(F.sum(F.length("cut"))).first()
     shards = max(shuffles, -(-(size or 0) // SHARD))
     crowded = written(cuts.filter(F.col("n") > MANY).select("key").distinct(), "suffix-crowded")  # at most cuts / MANY keys
 
     def sort(part: pd.DataFrame) -> pd.DataFrame:
         bits = lost_places(list(part["cut"]), part["first"].to_numpy(np.int64))
-        return pd.DataFrame({"key": part["key"], "cut_hash": part["cut_hash"], "first": part["first"], "bits": bits.view(np.int64)})
+        lost = bits != 0
+        return pd.DataFrame({"key": part["key"][lost], "cut_hash": part["cut_hash"][lost], "first": part["first"][lost],
+                             "bits": bits[lost].view(np.int64)})
 
     few = several.join(crowded, "key", "left_anti").withColumn("shard", F.pmod("shard", F.lit(shards)))
-    out = alone.unionByName(few.groupBy("shard").applyInPandas(sort, schema))
+    out = shared.unionByName(few.groupBy("shard").applyInPandas(sort, schema))
     if not crowded.limit(1).count():
         return out
 
@@ -350,7 +358,7 @@ def judged(runs: DataFrame, docs: DataFrame, shuffles: int) -> DataFrame:
     least = each.groupBy("high", "low").agg(F.min("first").alias("least"))
     bit = F.expr("CASE WHEN first > least THEN shiftleft(1L, cast(i as int)) ELSE 0L END")
     more = each.join(least, ["high", "low"]).groupBy("key", "cut_hash", "first").agg(F.bit_or(bit).alias("bits"))
-    return out.unionByName(more)
+    return out.unionByName(more.filter("bits <> 0"))
 
 
 def lost_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
