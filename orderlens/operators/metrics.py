@@ -67,11 +67,12 @@ def _build_sku_base(df: DataFrame, units: Column) -> DataFrame:
 
 
 def top_skus_by_revenue(df: DataFrame, n: int = 5) -> DataFrame:
-    """M2: top-n SKUs (trimmed raw SKU) by revenue; units fall back per SKU.
+    """M2: top-n SKUs (trimmed raw SKU) by revenue; units fall back per SKU."""
+    return revenue_list(_sku_base(df), n)
 
-    The per-SKU aggregate is the same plan as M3 / M6, so in the bundle Spark
-    reuses one shuffle for all three lists."""
-    per = _sku_base(df)
+
+def revenue_list(per: DataFrame, n: int) -> DataFrame:
+    """M2 from the per-SKU aggregate."""
     units = F.when(F.coalesce(F.col("_iq"), F.lit(0)) > 0, F.col("_iq")).otherwise(F.coalesce(F.col("_sq"), F.col("_oq")))
     return _top(per, "_rev", "_sku", n).select(
         F.col("_sku").alias("sku"), F.coalesce(F.col("_style"), F.lit("")).alias("style_name"),
@@ -81,7 +82,11 @@ def top_skus_by_revenue(df: DataFrame, n: int = 5) -> DataFrame:
 
 def top_skus_by_units(df: DataFrame, n: int = 5) -> DataFrame:
     """M3: top-n SKUs by units (value-based unit column)."""
-    per = _sku_base(df)
+    return units_list(_sku_base(df), n)
+
+
+def units_list(per: DataFrame, n: int) -> DataFrame:
+    """M3 from the per-SKU aggregate."""
     return _top(per, "_units", "_sku", n).select(
         F.col("_sku").alias("sku"), F.coalesce(F.col("_style"), F.lit("")).alias("style_name"),
         F.col("_units").cast("bigint").alias("units"), "order_count", money(F.col("_rev")).alias("revenue"),
@@ -105,7 +110,11 @@ def size_mix_distribution(df: DataFrame) -> DataFrame:
 
 def sku_performance_matrix(df: DataFrame, n: int = 20) -> DataFrame:
     """M6: top-n SKUs by revenue with revenue per unit and units per order."""
-    per = _sku_base(df)
+    return performance_list(_sku_base(df), n)
+
+
+def performance_list(per: DataFrame, n: int) -> DataFrame:
+    """M6 from the per-SKU aggregate."""
     return _top(per, "_rev", "_sku", n).select(
         F.col("_sku").alias("sku"), F.coalesce(F.col("_style"), F.lit("")).alias("style_name"),
         money(F.col("_rev")).alias("revenue"), F.col("_units").cast("bigint").alias("units"), "order_count",
@@ -177,7 +186,11 @@ def top_states_by_orders(df: DataFrame, n: int = 5) -> DataFrame:
 
 def geographic_revenue_concentration(df: DataFrame, n: int = 3) -> DataFrame:
     """Revenue share of the top-n states and a risk level (>70 HIGH, >50 MEDIUM)."""
-    per = _state_totals(df)
+    return concentration_of(_state_totals(df), n)
+
+
+def concentration_of(per: DataFrame, n: int = 3) -> DataFrame:
+    """M13 from the totals per state."""
     top = _top(per, "_rev", "_state", n)
     total = per.agg(F.sum("_rev")).scalar()
     conc = F.round(safe_pct(top.agg(F.sum("_rev")).scalar(), total), 2)

@@ -227,14 +227,24 @@ register("n13_pincodes_in_state")(lambda s, d: posted.pincodes_in_state(docs(s,
 from ..operators import bundle  # noqa: E402
 
 register("b1_batch_all_metrics")(lambda s, d: bundle.batch_all_metrics(fetched(s, d, extra_cols=("size",))))
-register("b2_primary_kpis")(lambda s, d: bundle.primary_kpis(fetched(s, d)))
-register("b3_b4_product_metrics")(lambda s, d: bundle.product_metrics(fetched(s, d)))
-register("b4_sku_detail_rows")(lambda s, d: bundle.sku_detail_rows(fetched(s, d)))
-register("b5_b6_performance_metrics")(lambda s, d: bundle.performance_metrics(fetched(s, d)))
-register("b7_b8_geographic_metrics")(lambda s, d: bundle.geographic_metrics(fetched(s, d)))
-register("b9_b10_channel_metrics")(lambda s, d: bundle.channel_metrics(fetched(s, d)))
-register("b11_b12_quality_metrics")(lambda s, d: bundle.quality_metrics(fetched(s, d)))
-register("b13_advanced_metrics")(lambda s, d: bundle.advanced_metrics(fetched(s, d)))
+
+
+def _bundle_part(key: str, category: str, part) -> None:
+    """A category on its own: its cells are written, then read by ``part(cells, rows)``."""
+    def query(s, d):
+        rows = fetched(s, d)
+        return part(bundle.bundle_cells(rows, category), rows)
+    register(key)(query)
+
+
+_bundle_part("b2_primary_kpis", "primary", lambda cells, rows: bundle.primary_kpis(cells))
+_bundle_part("b3_b4_product_metrics", "product", lambda cells, rows: bundle.product_metrics(cells))
+_bundle_part("b4_sku_detail_rows", "product", lambda cells, rows: bundle.sku_detail_rows(cells))
+_bundle_part("b5_b6_performance_metrics", "performance", bundle.performance_metrics)
+_bundle_part("b7_b8_geographic_metrics", "geographic", lambda cells, rows: bundle.geographic_metrics(cells))
+_bundle_part("b9_b10_channel_metrics", "channel", lambda cells, rows: bundle.channel_metrics(cells))
+_bundle_part("b11_b12_quality_metrics", "quality", lambda cells, rows: bundle.quality_metrics(cells))
+_bundle_part("b13_advanced_metrics", "advanced", lambda cells, rows: bundle.advanced_metrics(cells))
 
 # ---- U: per-SKU profiles and the incremental job ---------------------------
 from ..operators import sku_profiles as U  # noqa: E402
