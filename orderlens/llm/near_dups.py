@@ -11,9 +11,11 @@ has fewer words). Documents are linked if 100 * |A & B| >= 75 * |A | B|.
    smallest class): a row per member, however large the bucket. Round two
    compares what round one left open: members of one bucket that are in
    different components by then. Large buckets are cut into blocks, and the
-   pairs of blocks are compared inside tasks, which verify survivors in place
-   and join what is linked: a block returns fewer links than it has members,
-   and pairs are never rows. A pair is verified in its first common band only.
+   pairs of blocks are compared inside tasks, first by signatures alone, which
+   name the members that any comparison leaves open, then with the sets of
+   those, in blocks by bytes, verified in place and joined where linked: a
+   block returns no more rows than it has members, and pairs are never rows.
+   A pair is verified in its first common band only.
 4. A comparison reads signatures in batches of 16 and stops when the posterior
    probability of similarity >= 0.75 (uniform prior) is below ``MISS``.
 5. Survivors are verified on their full sets, as 64-bit shingle hashes.
@@ -36,7 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.llm.common import written
@@ -46,6 +48,7 @@ BANDS, ROWS, BATCH = 32, 4, 16
 HASHES = BANDS * ROWS
 MISS = 1e-6  # chance, at each batch, that a pruned pair is similar after all
 BLOCK = 1000  # members of a bucket that are compared with as many others at once
+BLOCK_BYTES = 32 << 20  # of these members' sets, one longer set aside
 MAX_BROADCAST = 2_000_000  # class ids (8 bytes each)
 
 _rng = np.random.default_rng(20240501)
@@ -247,35 +250,65 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return written(rest.select("bucket", "band", "node", "label", "n"), "near-open")
 
 
+def in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
+    """Every member (bucket, band, node, label, …) beside each pair of blocks (i, j) of its bucket that holds its own."""
+    rest = [c for c in members.columns if c not in ("bucket", "band", "node", "label")]
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own")
+    # a block meets itself and all others
+    other = F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("other")
+    return members.select("bucket", "band", "node", "label", *rest, own, other).select(
+        "bucket", "band", "node", "label", *rest, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def compared(part: pd.DataFrame, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Per member of block i the members of block j, nearest first, that have another label, survive, and share no earlier
+    band; ``label`` may change meanwhile."""
+    i, j, band = int(part["i"].iloc[0]), int(part["j"].iloc[0]), int(part["band"].iloc[0])
+    sig, nodes, own = signatures_of(part["sig"]), part["node"].to_numpy(), part["own"].to_numpy()
+    later = np.nonzero(own == j)[0]
+    for x in np.nonzero(own == i)[0]:
+        apart = later[(label[later] != label[x]) & ((nodes[later] > nodes[x]) if i == j else True)]
+        apart = apart[survivors(np.broadcast_to(sig[x], (len(apart), HASHES)), sig[apart])]
+        same = sig[apart] == sig[x]
+        first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        yield x, apart[first][np.argsort(-same[first].sum(axis=1), kind="stable")]
+
+
+def surviving(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, band, node, label): the members that survive a comparison with another component's; signatures alone."""
+    def named(part: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(len(part), bool)
+        for x, ys in compared(part, part["label"].to_numpy()):
+            on[x] |= len(ys) > 0
+            on[ys] = True
+        return part.loc[on, ["bucket", "band", "node", "label"]]
+
+    dealt = in_blocks(known, F.ceil(F.col("n") / BLOCK)).drop("n").join(classes.select("node", "sig"), "node")
+    found = dealt.groupBy("bucket", "i", "j").applyInPandas(named, "bucket long, band int, node long, label long")
+    return written(found.distinct(), "near-surviving")
+
+
 def open_links(known: DataFrame, classes: DataFrame, full: DataFrame) -> DataFrame:
-    """Links (a, b) that join components inside buckets: in every pair of blocks each two members that nothing joins yet
-    are compared and, if they survive, verified in place, so that a block returns fewer links than it has members."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    # a block meets itself and all others: each member goes to the pairs of blocks that hold its own
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    dealt = (known.select("bucket", "band", "node", "label", own.alias("own"), other.alias("other"))
-             .select("bucket", "band", "node", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    """Links (a, b) that join components inside buckets, of the surviving members: each two that nothing joins yet are
+    compared in their pair of blocks and, if they survive, verified in place, so that a block returns fewer links than it
+    has members."""
+    sized = known.join(full.select("node", F.octet_length("set").alias("bytes")), "node")
+    blocks = sized.groupBy("bucket").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
+    dealt = (in_blocks(known.join(blocks, "bucket"), F.col("blocks")).drop("blocks")
              .join(classes.select("node", "sig"), "node").join(full, "node"))
 
-    def compared(part: pd.DataFrame) -> pd.DataFrame:
-        i, j, band = int(part["i"].iloc[0]), int(part["j"].iloc[0]), int(part["band"].iloc[0])
-        sig, nodes, sets = signatures_of(part["sig"]), part["node"].to_numpy(), part["set"].to_list()
-        label, own = part["label"].to_numpy().copy(), part["own"].to_numpy()
+    def joined(part: pd.DataFrame) -> pd.DataFrame:
+        nodes, sets, label = part["node"].to_numpy(), part["set"].to_list(), part["label"].to_numpy().copy()
         out = []
-        later = np.nonzero(own == j)[0]
-        for x in np.nonzero(own == i)[0]:
-            apart = later[(label[later] != label[x]) & ((nodes[later] > nodes[x]) if i == j else True)]
-            apart = apart[survivors(np.broadcast_to(sig[x], (len(apart), HASHES)), sig[apart])]
-            same = sig[apart] == sig[x]
-            first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-            for y in apart[first][np.argsort(-same[first].sum(axis=1), kind="stable")]:
+        for x, ys in compared(part, label):
+            for y in ys:
                 if label[x] != label[y] and similar(*(np.frombuffer(sets[k], np.uint64) for k in (x, y))):
                     out.append((nodes[x], nodes[y]))
                     label[label == label[y]] = label[x]
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(compared, "a long, b long").distinct()
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(joined, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,7 +325,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = written(pruned(star, classes), "near-star")
     both = star.select(F.col("a").alias("node")).union(star.select("b"))
     links = verified(star, sets_of(both, classes, docs, id_col, text_col))
-    known = open_members(members, components(links))
+    known = surviving(open_members(members, components(links)), classes)
     full = sets_of(known.select("node"), classes, docs, id_col, text_col)
     links = links.unionByName(written(open_links(known, classes, full), "near-more"))
     found = (classes.select("node", "first").join(components(links), "node", "left")

@@ -83,6 +83,32 @@ def test_blocks_of_one_bucket(docs_of, monkeypatch):
     assert sorted(map(tuple, component_rows(docs_of(docs)).collect()), key=str) == brute(docs)
 
 
+def test_blocks_by_bytes(docs_of, monkeypatch):
+    """Long members make blocks of few; one set beyond the limit is still compared."""
+    monkeypatch.setattr(near_dups, "BLOCK_BYTES", 4000)
+    texts = near_copies(3, 12, 900, 40) + near_copies(4, 30, 60, 4) + near_copies(5, 3, 3000, 100)
+    docs = list(enumerate(texts))
+    assert sorted(map(tuple, component_rows(docs_of(docs)).collect()), key=str) == brute(docs)
+
+
+def test_only_survivors_bring_their_sets(docs_of, monkeypatch):
+    """Texts on a template, far below the similarity, fill buckets; hardly any set is fetched for them."""
+    rng, asked = random.Random(6), []
+    frame = [f"t{k}" for k in range(60)]
+    texts = [" ".join(frame + [f"o{rng.randrange(10**6)}" for _ in range(60)]) for _ in range(300)]
+    docs = list(enumerate(texts))
+    plain = near_dups.sets_of
+
+    def counted(nodes, *rest):
+        asked.append(nodes.distinct().count())
+        return plain(nodes, *rest)
+
+    monkeypatch.setattr(near_dups, "sets_of", counted)
+    monkeypatch.setattr(near_dups, "BLOCK", 50)
+    assert sorted(map(tuple, component_rows(docs_of(docs)).collect()), key=str) == brute(docs)
+    assert asked[1] < 60
+
+
 def test_empty_tables(docs_of):
     assert component_rows(docs_of([])).count() == 0
     got = component_rows(docs_of([(1, ""), (2, None)])).orderBy("doc_id").collect()
