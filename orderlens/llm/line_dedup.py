@@ -13,10 +13,12 @@ largest id that holds them.
 3. Documents send their keys to the shards, which answer from the arrays; only
    lines to be dropped come back. No text and no line is joined with a line.
 
-A key that more than ``1 / (8 * shards)`` of all probes ask for can't number
-more than ``8 * shards``; these hot keys have an index of their own, which is
-small enough to go to every task, so that no shard gets their probes. Shards
-therefore hold about ``SHARD`` probes each, however the lines are spread.
+Keys that more than ``1 / (8 * shards)`` and more than ``1 / HOT`` of all probes
+ask for can't number more than the lesser of ``8 * shards`` and ``HOT``; these
+hot keys have an index of their own, at most some 30 MB at any input size, which
+goes to every task, so that no shard gets their probes. Shards therefore hold
+about ``SHARD`` probes each, and any other key adds at most a ``HOT``-th of all
+probes to its shard (two million of 10^12).
 
 Documents are known by id and text hash: equal rows get the same answer. Every
 row counts as a document of its own. Defined results: null and empty texts have one empty
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 from orderlens.llm.common import written
 
 SHARD = 200_000  # probes a shard
+HOT = 500_000  # keys that every task may hold
 SPACE = b" \t\n\x0b\x0c\r"
 M64 = (1 << 64) - 1
 
@@ -154,8 +157,9 @@ def lost_keys(docs: DataFrame, min_docs: int = 3, min_length: int = 20, id_col:
     keys = written(asked.groupBy("high", "low").agg(F.count("*").alias("n"), F.max("_id").alias("owner")), "line-keys")
     total = keys.agg(F.sum("n")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
-    often = max(total // (8 * shards), min_docs)
-    hot_rows = keys.filter(F.col("n") > often).toPandas()  # at most 8 * shards rows: their counts add up to the total
+    often = max(total // (8 * shards), -(-total // HOT), min_docs)
+    # at most min(8 * shards, HOT) rows: their counts add up to no more than the total
+    hot_rows = keys.filter(F.col("n") > often).toPandas()
     hot = spark.sparkContext.broadcast(index_of(hot_rows, min_docs))
     hot_keys = spark.createDataFrame(hot_rows[["high", "low"]], "high long, low long")
 

@@ -44,6 +44,16 @@ def test_against_brute_force(docs_of, weird):
     assert line_digest(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 3, 500_000])
+def test_few_hot_keys(docs_of, monkeypatch, hot):
+    """Whatever number of keys every task may hold, the rest is answered by the shards."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "SHARD", 50)
+    lines = [f"line number {k} of the shared ones" for k in range(12)]
+    docs = [(i, "\n".join(lines[:1 + i % 12] + [f"line of document {i} alone"])) for i in range(200)]
+    assert sorted(map(tuple, line_digest(docs_of(docs)).collect()), key=str) == brute(docs)
+
+
 def test_stage_keeps_columns(docs_of):
     docs = docs_of([(*d, 5, "l") for d in DOCS], ("doc_id", "text", "n_chars", "low"), ("long", "string", "long", "string"))
     got = without_lines(docs)
