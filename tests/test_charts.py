@@ -58,3 +58,12 @@ def test_profile_lists_top_values(spark):
     assert (rows["e"].non_null, rows["e"].distinct_count, rows["e"].top_values) == (0, 0, None)
     assert {(r.column, r.value, r.n) for r in stats.column_values(df).collect()} == {
         ("k", "a", 1), ("k", "b", 2), ("n", "1", 1), ("n", "2", 1), ("n", "3", 2)}
+
+
+def test_profile_has_every_value(spark):
+    """More values than the most frequent ones: each has its row; a column of nulls has one row without a value."""
+    df = spark.createDataFrame([(f"v{i:02d}", None) for i in range(30)] + [("v07", None)], "k string, e string")
+    rows = stats.column_profile(df).collect()
+    assert {(r.value, r.n) for r in rows if r.column == "k"} == {(f"v{i:02d}", 1 + (i == 7)) for i in range(30)}
+    assert {(r.non_null, r.distinct_count, r.is_categorical) for r in rows if r.column == "k"} == {(31, 30, False)}
+    assert [(r.value, r.n, r.non_null) for r in rows if r.column == "e"] == [(None, None, 0)]
