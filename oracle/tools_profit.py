@@ -53,7 +53,7 @@ tops AS (SELECT col, string_agg(value || ' (' || n || ')', '; ' ORDER BY r) AS t
 names AS (SELECT * FROM (VALUES {names}) t(col, dtype))
 SELECT names.col AS "column", dtype, CAST(COALESCE(non_null, 0) AS BIGINT) AS non_null,
   COALESCE(distinct_count, 0) AS distinct_count, example, COALESCE(distinct_count, 0) <= 20 AS is_categorical, top_values,
-  cnt.value, cnt.n
+  cnt.value, COALESCE(cnt.n, 0) AS n
 FROM names LEFT JOIN per ON names.col = per.col LEFT JOIN tops ON names.col = tops.col LEFT JOIN cnt ON names.col = cnt.col"""
     return f"{counted}\n{profile}", f'{counted}\nSELECT col AS "column", value, n FROM cnt'
 
