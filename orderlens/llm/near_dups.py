@@ -15,6 +15,10 @@ has fewer words). Documents are linked if 100 * |A & B| >= 75 * |A | B|.
    name the members that any comparison leaves open, then with the sets of
    those, in blocks by bytes, verified in place and joined where linked: a
    block returns no more rows than it has members, and pairs are never rows.
+   Members meet their signatures and sets before they are dealt to blocks, and
+   blocks number with the root of a bucket's members (more only where their
+   sets need the room), so a bucket of n makes n rows up to 4 * ``BLOCK`` and
+   n ** 1.5 / ``BLOCK`` ** 0.5 at most beyond.
    A pair is verified in its first common band only.
 4. A comparison reads signatures in batches of 16 and stops when the posterior
    probability of similarity >= 0.75 (uniform prior) is below ``MISS``.
@@ -47,7 +51,7 @@ SHINGLE, SIMILAR = 5, 75  # words; percent
 BANDS, ROWS, BATCH = 32, 4, 16
 HASHES = BANDS * ROWS
 MISS = 1e-6  # chance, at each batch, that a pruned pair is similar after all
-BLOCK = 1000  # members of a bucket that are compared with as many others at once
+BLOCK = 1000  # a bucket of n members is cut into the root of n / BLOCK blocks
 BLOCK_BYTES = 32 << 20  # of these members' sets, one longer set aside
 MAX_BROADCAST = 2_000_000  # class ids (8 bytes each)
 
@@ -250,6 +254,11 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return written(rest.select("bucket", "band", "node", "label", "n"), "near-open")
 
 
+def block_count(n: Column) -> Column:
+    """Blocks of a bucket of ``n`` members: copies of a member grow with the root of n, and so do the blocks."""
+    return F.greatest(F.lit(1), F.floor(F.sqrt(n / BLOCK)))
+
+
 def in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
     """Every member (bucket, band, node, label, …) beside each pair of blocks (i, j) of its bucket that holds its own."""
     rest = [c for c in members.columns if c not in ("bucket", "band", "node", "label")]
@@ -275,16 +284,18 @@ def compared(part: pd.DataFrame, label: np.ndarray) -> Iterator[tuple[int, np.nd
 
 
 def surviving(known: DataFrame, classes: DataFrame) -> DataFrame:
-    """(bucket, band, node, label): the members that survive a comparison with another component's; signatures alone."""
+    """(bucket, band, node, label, n_shingles): the members that survive a comparison with another component's;
+    signatures alone."""
     def named(part: pd.DataFrame) -> pd.DataFrame:
         on = np.zeros(len(part), bool)
         for x, ys in compared(part, part["label"].to_numpy()):
             on[x] |= len(ys) > 0
             on[ys] = True
-        return part.loc[on, ["bucket", "band", "node", "label"]]
+        return part.loc[on, ["bucket", "band", "node", "label", "n_shingles"]]
 
-    dealt = in_blocks(known, F.ceil(F.col("n") / BLOCK)).drop("n").join(classes.select("node", "sig"), "node")
-    found = dealt.groupBy("bucket", "i", "j").applyInPandas(named, "bucket long, band int, node long, label long")
+    dealt = in_blocks(known.join(classes.select("node", "sig", "n_shingles"), "node"), block_count(F.col("n"))).drop("n")
+    found = dealt.groupBy("bucket", "i", "j").applyInPandas(
+        named, "bucket long, band int, node long, label long, n_shingles long")
     return written(found.distinct(), "near-surviving")
 
 
@@ -292,11 +303,10 @@ def open_links(known: DataFrame, classes: DataFrame, full: DataFrame) -> DataFra
     """Links (a, b) that join components inside buckets, of the surviving members: each two that nothing joins yet are
     compared in their pair of blocks and, if they survive, verified in place, so that a block returns fewer links than it
     has members."""
-    sized = known.join(full.select("node", F.octet_length("set").alias("bytes")), "node")
-    blocks = sized.groupBy("bucket").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
-    dealt = (in_blocks(known.join(blocks, "bucket"), F.col("blocks")).drop("blocks")
-             .join(classes.select("node", "sig"), "node").join(full, "node"))
+    blocks = known.groupBy("bucket").agg(
+        F.greatest(block_count(F.count("*")), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).alias("blocks"))
+    own = full.join(classes.select("node", "sig"), "node")  # a row per class, not per member
+    dealt = in_blocks(known.drop("n_shingles").join(blocks, "bucket").join(own, "node"), F.col("blocks")).drop("blocks")
 
     def joined(part: pd.DataFrame) -> pd.DataFrame:
         nodes, sets, label = part["node"].to_numpy(), part["set"].to_list(), part["label"].to_numpy().copy()
@@ -315,9 +325,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(_id, _hash, node, n_shingles, component_id) per row of ``docs``: id, text hash, class, set size, and the smallest
     id that its links reach."""
     told = written(described(docs, id_col, text_col), "near-told")
-    # a class's smallest id and its signature, which is the same in all its rows
+    # a class's smallest id, and its signature and set size, which are the same in all its rows
     classes = written(told.filter("sig is not null").groupBy("node")
-                      .agg(F.min("_id").alias("first"), F.first("sig").alias("sig")), "near-classes")
+                      .agg(F.min("_id").alias("first"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")),
+                      "near-classes")
     bands = written(bands_of(classes), "near-bands")
     buckets = bands.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     members = written(bands.join(buckets, "bucket"), "near-members")

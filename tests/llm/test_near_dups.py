@@ -91,6 +91,27 @@ def test_blocks_by_bytes(docs_of, monkeypatch):
     assert sorted(map(tuple, component_rows(docs_of(docs)).collect()), key=str) == brute(docs)
 
 
+def test_rows_of_a_large_bucket(spark, docs_of, monkeypatch):
+    """A bucket four times as large makes at most eight times the rows; no join makes more rows than there are members."""
+    monkeypatch.setattr(near_dups, "BLOCK", 4)
+    rows = {}
+    for n in (256, 1024):
+        members = spark.range(n).selectExpr("1L bucket", "0 band", "id node", "id label", f"{n}L n")
+        rows[n] = near_dups.in_blocks(members, near_dups.block_count(members["n"])).count()
+    assert rows == {256: 256 * 8, 1024: 1024 * 16}
+
+    dealt, plain = [], near_dups.in_blocks
+
+    def counted(members, blocks):
+        dealt.append((members.count(), "sig" in members.columns))
+        return plain(members, blocks)
+
+    monkeypatch.setattr(near_dups, "in_blocks", counted)
+    docs = list(enumerate(near_copies(7, 120, 40, 4)))
+    assert sorted(map(tuple, component_rows(docs_of(docs)).collect()), key=str) == brute(docs)
+    assert len(dealt) == 2 and all(with_sig and n <= 120 * near_dups.BANDS for n, with_sig in dealt)
+
+
 def test_only_survivors_bring_their_sets(docs_of, monkeypatch):
     """Texts on a template, far below the similarity, fill buckets; hardly any set is fetched for them."""
     rng, asked = random.Random(6), []
