@@ -19,7 +19,9 @@ Text reaches shards so that equal strings always meet, without a row a byte:
 3. Of keys with several different cuts, each cut's bytes are fetched once, from
    its smallest document, into the key's shard. The shard's suffix array names
    the strings; a cut's first document loses the strings that another cut has in
-   a smaller document.
+   a smaller document. Before that, cuts shrink to the strings between those whose
+   first and last eight bytes another document's cut in the shard has too; the
+   others can't repeat.
 4. Every document unites its lost places and drops their bytes.
 
 Keys that occur in two documents of one batch are known to repeat there and
@@ -41,6 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,22 +54,29 @@ LENGTH, GRAM = 50, 16
 PLACES = 64  # of a run at most: its lost places are the bits of one number
 SHARD = 1_000_000  # runs, in finding keys; bytes of cuts, in sorting suffixes
 DOCUMENTS = 1000  # whose runs are dealt at once
-HASHED = 1 << 20  # bytes of texts whose cuts are hashed at once
+AT_ONCE = 1 << 16  # bytes of texts whose runs are found at once; a text beyond it comes whole
+CUT = 1 << 20  # bytes of cuts that go on at once
 MANY = 20_000  # cuts of one key that a shard takes
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-def keys_of(text: np.ndarray) -> np.ndarray:
-    """The key of the string at every place of a text of bytes."""
-    eight = np.lib.stride_tricks.sliding_window_view(text, 8).copy().view("<u8").ravel()
-    n = len(text) - GRAM + 1
-    least = mixed(eight[:n] * P1 + mixed(eight[8:8 + n] * P2 + mixed(eight[GRAM - 8:GRAM - 8 + n] * P1)))
+def words_at(text: bytes) -> np.ndarray:
+    """The eight bytes from every place of a text as one number."""
+    return np.ndarray(max(len(text) - 7, 0), "<u8", text, strides=(1,)).copy()
+
+
+def keys_of(eight: np.ndarray) -> np.ndarray:
+    """The key of the string at every place of a text of at least ``LENGTH`` bytes, from its ``words_at``."""
+    least = mixed(eight[:8 - GRAM] * P1 + eight[GRAM - 8:] * P2)
     width, span = LENGTH - GRAM + 1, 1
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -74,28 +84,46 @@ def keys_of(text: np.ndarray) -> np.ndarray:
     return np.minimum(least[:len(least) - (width - span)], least[width - span:])
 
 
-def runs_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, start, places) of the runs of a text: following places with one key, at most ``PLACES``."""
-    if len(text) < LENGTH:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys = keys_of(np.frombuffer(text, np.uint8))
-    first = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1])
-    size = np.diff(np.append(first, len(keys)))
+def runs_in(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, cut_hash, start, places) of the runs of texts: following places of one text with one key, at most ``PLACES``."""
+    sizes = np.array([len(t) for t in texts])
+    begin = np.cumsum(sizes) - sizes
+    whole = b"".join(texts)
+    if not len(sizes) or sizes.max() < LENGTH:
+        none = np.zeros(0, np.int64)
+        return none, none.view(np.uint64), none, none, none
+    eight = words_at(whole)
+    keys = keys_of(eight)
+    new = np.empty(len(keys) + 1, bool)  # where a key, a text, or the places that cross a text's end begin
+    new[0] = new[-1] = True
+    np.not_equal(keys[1:], keys[:-1], out=new[1:-1])
+    crossing = np.maximum(begin + sizes - LENGTH + 1, begin)
+    new[np.minimum(begin, len(keys))] = new[np.minimum(crossing, len(keys))] = True
+    first = np.nonzero(new)[0]
+    size = np.diff(first)
+    first = first[:-1]
+    owner = np.searchsorted(begin, first, "right") - 1
+    inside = first < crossing[owner]
+    first, size, owner = first[inside], size[inside], owner[inside]
     if size.max() > PLACES:  # periodic text
         parts = -(-size // PLACES)
         before = np.repeat(first, parts)
         nth = np.arange(len(before)) - np.repeat(np.cumsum(parts) - parts, parts)
         end = np.repeat(first + size, parts)
+        owner = np.repeat(owner, parts)
         first = before + nth * PLACES
         size = np.minimum(end - first, PLACES)
-    return keys[first], first, size
+    return owner, keys[first], hashes_of(eight, first, size + LENGTH - 1), first - begin[owner], size
 
 
-def hashes_of(text: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def runs_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, start, places) of the runs of one text."""
+    _, key, _, start, places = runs_in([text])
+    return key, start, places
+
+
+def hashes_of(eight: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of every cut (at least ``LENGTH``): a sum of mixed words of eight bytes, each with its place."""
-    if not len(start):
-        return np.zeros(0, np.int64)
-    eight = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), 8).copy().view("<u8").ravel()
     total = mixed(eight[start + size - 8] + size.astype(np.uint64) * P1)
     for k in range(int(size.max(initial=0)) // 8):
         some = slice(None) if 8 * k + 8 <= LENGTH else np.nonzero(size >= 8 * k + 8)[0]
@@ -167,9 +195,38 @@ def named(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
+def narrowed(cuts: list[bytes], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cut, low, high): the cuts with strings whose first and last eight bytes a cut of another ``first`` document has too,
+    with the places of the first and the last of these strings. All strings of two documents are among them."""
+    sizes = np.array([len(c) for c in cuts])
+    places = np.maximum(sizes - LENGTH + 1, 0)
+    owner = np.repeat(np.arange(len(cuts)), places)
+    if not len(owner):
+        return owner, owner, owner
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(places) - places, places)
+    eight = words_at(b"".join(cuts))
+    at = (np.cumsum(sizes) - sizes)[owner] + inside
+    ends = eight[at] * P1 + eight[at + LENGTH - 8] * P2
+    order = np.argsort(ends)
+    start = np.concatenate([[0], np.nonzero(np.diff(ends[order]))[0] + 1])
+    documents = first[owner[order]]
+    several = np.minimum.reduceat(documents, start) != np.maximum.reduceat(documents, start)
+    there = np.zeros(len(owner), bool)
+    there[order[np.repeat(several, np.diff(np.append(start, len(order))))]] = True
+    there = np.nonzero(there)[0]
+    cut, low = np.unique(owner[there], return_index=True)
+    return cut, inside[there[low]], inside[there[np.append(low[1:], len(there)) - 1]] if len(there) else low
+
+
 def lost_places(cuts: list[bytes], first: np.ndarray) -> np.ndarray:
     """Per cut the bits of the places whose string another cut holds with a smaller ``first`` document."""
-    text = np.frombuffer(b"\0".join(cuts) + b"\0", np.uint8)
+    bits = np.zeros(len(cuts), np.uint64)
+    cut, low, high = narrowed(cuts, first)
+    if not len(cut):
+        return bits
+    cuts = [cuts[c][i:j + LENGTH] for c, i, j in zip(cut.tolist(), low.tolist(), high.tolist(), strict=True)]
+    ended = b"\0".join(cuts) + b"\0"
+    text = np.frombuffer(ended, np.uint8)
     sizes = np.array([len(c) for c in cuts])
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     # ends of cuts are 1 and the bytes that occur 2, 3, ..., so a string of LENGTH bytes never matches across an end
@@ -183,19 +240,16 @@ def lost_places(cuts: list[bytes], first: np.ndarray) -> np.ndarray:
     whole = inside + LENGTH <= sizes[owner]
     order = np.nonzero(whole)[0]
     order = order[np.argsort(place[order])]
-    if not len(order):
-        return np.zeros(len(cuts), np.uint64)
-    eight = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"\0".join(cuts) + bytes(9), np.uint8), 8)
-    eight = eight.copy().view(np.uint64).ravel()
+    eight = words_at(ended)
     same = np.ones(len(order) - 1, bool)  # as the suffix before it, in its first LENGTH bytes
     for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
         same &= eight[order[:-1] + k] == eight[order[1:] + k]
     start = np.concatenate([[0], np.nonzero(~same)[0] + 1])
-    documents = first[owner[order]]
+    documents = first[cut[owner[order]]]
     least = np.repeat(np.minimum.reduceat(documents, start), np.diff(np.append(start, len(order))))
     lost = order[documents > least]
-    bits = np.zeros(len(cuts), np.uint64)
-    np.bitwise_or.at(bits, owner[lost], np.uint64(1) << inside[lost].astype(np.uint64))
+    bit = np.uint64(1) << (inside[lost] + low[owner[lost]]).astype(np.uint64)
+    np.bitwise_or.at(bits, cut[owner[lost]], bit)
     return bits
 
 
@@ -234,36 +288,22 @@ def repeating_runs(docs: DataFrame, shards: int) -> DataFrame:
         for batch in (b.slice(k, DOCUMENTS) for b in batches for k in range(0, b.num_rows, DOCUMENTS)):
             kept = once([batch.column(c).to_numpy() for c in (0, 1)])
             own = [batch.column(c).to_numpy()[kept] for c in (0, 1)]
-            parts, hashes, texts, new = [], [], [], 0  # texts of some size are hashed at once
-
-            def hashed() -> None:
-                after = np.cumsum([0, *map(len, texts)])
-                mine = parts[len(parts) - len(texts):]
-                start = np.concatenate([p[1] + b for p, b in zip(mine, after, strict=False)])
-                hashes.append(hashes_of(b"".join(texts), start, np.concatenate([p[2] for p in mine]) + LENGTH - 1))
-                texts.clear()
-
-            for i in kept.tolist():
-                texts.append(batch.column(2)[i].as_py().encode())
-                parts.append(runs_of(texts[-1]))
-                new += len(texts[-1])
-                if new >= HASHED or i == kept[-1]:
-                    hashed()
-                    new = 0
-            key = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
+            texts = batch.column(2).take(pa.array(kept)).cast(pa.binary())
+            part = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // AT_ONCE
+            ends = np.append(np.nonzero(np.diff(part))[0] + 1, len(texts)).tolist()
+            told = [runs_in(texts[i:j].to_pylist()) for i, j in zip([0, *ends], ends, strict=False)]
+            doc = np.concatenate([t[0] + i for t, i in zip(told, [0, *ends], strict=False)])
+            key, cut_hash, start, places = (np.concatenate([t[c] for t in told]) for c in (1, 2, 3, 4))
             if not len(key):
                 continue
-            doc = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
             order = own[0][doc]
-            by = np.lexsort((order, key))
+            by = np.argsort(key)
             first = np.concatenate([[0], np.nonzero(np.diff(key[by]))[0] + 1])
-            again = order[by][first] != np.maximum.reduceat(order[by], first)
+            again = np.minimum.reduceat(order[by], first) != np.maximum.reduceat(order[by], first)
             state = np.empty(len(key), np.int8)
             state[by] = np.repeat(np.where(again, passing, alone), np.diff(np.append(first, len(key))))
             marks = by[first[again]]
-            rows = [np.concatenate([c, c[marks]]) for c in (
-                order, own[1][doc], key, np.concatenate(hashes),
-                np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))]
+            rows = [np.concatenate([c, c[marks]]) for c in (order, own[1][doc], key, cut_hash, start, places)]
             state = np.concatenate([state, np.full(len(marks), mark, np.int8)])
             spread = np.where(state == passing, mixed(rows[1].view(np.uint64) + rows[4].astype(np.uint64)), rows[2])
             shard = (spread % np.uint64(shards)).astype(np.int32)
@@ -278,12 +318,12 @@ def repeating_runs(docs: DataFrame, shards: int) -> DataFrame:
     def met(part: pd.DataFrame) -> pd.DataFrame:
         order, hashes, key, cut_hash, start, places, state = (
             np.frombuffer(b"".join(part[f]), t) for f, t in zip(fields, types, strict=True))
-        by = np.lexsort((order, key))
-        by = by[state[by] != passing]
+        by = np.nonzero(state != passing)[0]
+        by = by[np.argsort(key[by])]
         keep = state == passing
         if len(by):
             first = np.concatenate([[0], np.nonzero(np.diff(key[by]))[0] + 1])
-            many = (order[by][first] != np.maximum.reduceat(order[by], first)) | np.maximum.reduceat(state[by] == mark, first)
+            many = (np.minimum.reduceat(order[by], first) != np.maximum.reduceat(order[by], first)) | np.maximum.reduceat(state[by] == mark, first)
             keep[by] = np.repeat(many, np.diff(np.append(first, len(by)))) & (state[by] == alone)
         keep = np.nonzero(keep)[0]
         keep = keep[once([c[keep] for c in (order, hashes, start)])]
@@ -300,14 +340,22 @@ def with_bytes(cuts: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.groupBy("_order", "_hash").agg(F.first("_text").alias("_text"))  # rows of equal id and text are read once
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = ["key", "cut_hash", "first", "cut"]
         for batch in batches:
-            for k in range(batch.num_rows):  # a batch per document: its cuts are a few times its text
+            keys, hashes, first, found, held = [], [], [], [], 0
+            for k in range(batch.num_rows):
                 text, cuts = batch.column(1)[k].as_py().encode(), batch.column(2)[k].values
                 start, places = cuts.field("start").to_pylist(), cuts.field("places").to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [cuts.field("key"), cuts.field("cut_hash"), pa.array([batch.column(0)[k].as_py()] * len(start), pa.int64()),
-                     pa.array([text[i:i + n + LENGTH - 1] for i, n in zip(start, places, strict=True)], pa.binary())],
-                    ["key", "cut_hash", "first", "cut"])
+                keys.append(cuts.field("key"))
+                hashes.append(cuts.field("cut_hash"))
+                first += [batch.column(0)[k].as_py()] * len(start)
+                found += [text[i:i + n + LENGTH - 1] for i, n in zip(start, places, strict=True)]
+                held += sum(places) + len(start) * (LENGTH - 1)
+                if held >= CUT or k == batch.num_rows - 1:  # a document's cuts are a few times its text
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.concat_arrays(keys), pa.concat_arrays(hashes), pa.array(first, pa.int64()),
+                         pa.array(found, pa.binary())], fields)
+                    keys, hashes, first, found, held = [], [], [], [], 0
 
     return texts.join(wanted, ["_order", "_hash"]).select("_order", "_text", "cuts").mapInArrow(
         cut, "key long, cut_hash long, first long, cut binary")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from orderlens.llm import suffix_dedup
-from orderlens.llm.suffix_dedup import LENGTH, PLACES, lost_places, removal_digest, runs_of, suffix_places
+from orderlens.llm.suffix_dedup import LENGTH, PLACES, lost_places, removal_digest, runs_in, runs_of, suffix_places
 
 
 def brute(docs):
@@ -135,3 +135,47 @@ def test_runs_cover_every_place():
         key, start, places = runs_of(text)
         assert sum(places) == max(0, len(text) - LENGTH + 1) and all(0 < p <= PLACES for p in places)
         assert [i for s, p in zip(start, places, strict=True) for i in range(s, s + p)] == list(range(sum(places)))
+
+
+def test_runs_of_texts_at_once():
+    """Texts told together have the runs that each has alone, and equal cuts equal hashes."""
+    rng = random.Random(12)
+    texts = [bytes(rng.choices(b"abcd ", k=n)) for n in (0, 300, 49, 50, 0, 0, 51, 10, 1200)] + [b"ab" * 400, b"", b"x" * 49]
+    texts += [texts[1], b"q" + texts[8]]
+    owner, key, cut_hash, start, places = runs_in(texts)
+    at, seen = 0, {}
+    for t, text in enumerate(texts):
+        alone = runs_of(text)
+        mine = slice(at, at + len(alone[0]))
+        at = mine.stop
+        assert (owner[mine] == t).all()
+        for got, want in zip((key, start, places), alone, strict=True):
+            assert got[mine].tolist() == want.tolist()
+        for h, i, n in zip(cut_hash[mine].tolist(), *(x.tolist() for x in alone[1:]), strict=True):
+            assert seen.setdefault(h, text[i:i + n + LENGTH - 1]) == text[i:i + n + LENGTH - 1]
+    assert at == len(owner) and len(set(seen.values())) == len(seen)
+
+
+def test_only_strings_that_can_repeat_are_sorted(monkeypatch):
+    """Cuts that share no string don't reach the suffix array; the verdicts are those of comparing all strings."""
+    sorted_bytes, plain = [], suffix_dedup.suffix_places
+
+    def counted(s, depth=0):
+        if not depth:
+            sorted_bytes.append(len(s))
+        return plain(s, depth)
+
+    monkeypatch.setattr(suffix_dedup, "suffix_places", counted)
+    rng = random.Random(13)
+    word = lambda k: bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz", k=k))
+    middle, common, ends = word(16), word(60), (word(8), word(8))
+    cuts = [word(30) + middle + word(30) for _ in range(200)] + [word(20) + common + word(5), common + word(30)]
+    cuts += [ends[0] + word(34) + ends[1] for _ in range(2)]  # alike at both ends alone
+    first = np.array([rng.randrange(1000) for _ in cuts])
+    first[200:204] = 7, 5, 3, 4
+    want = []
+    for c, f in zip(cuts, first, strict=True):
+        strings = [c[i:i + LENGTH] for i in range(len(c) - LENGTH + 1)]
+        want.append(sum(1 << i for i, x in enumerate(strings) if any(x in d and g < f for d, g in zip(cuts, first, strict=True))))
+    assert lost_places(cuts, first).tolist() == want and want[200] and not want[201]
+    assert sum(sorted_bytes) <= 2 * 61 + 2 * 51
